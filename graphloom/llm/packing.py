@@ -114,36 +114,41 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return where, offset
 
 
-def pack(pieces: DataFrame, capacity: int, id_col: str = "doc_id", group_rows: int = 6000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, id_col: str = "doc_id", group_rows: int = 20_000) -> DataFrame:
     """Add sequence_id and offset to a table of pieces.
 
     ``pieces`` should be a written table; it is counted once to choose the
-    number of groups.
+    number of groups. Whole sequences need no packing. Within a group pieces
+    of over half a sequence come first, the longest leading, then the others
+    in order of a hash: with both orders mixed fewer gaps stay open than with
+    either alone.
     """
-    groups = max(1, round(pieces.count() / group_rows))
+    short = pieces.filter(F.col("length") < capacity)
+    groups = max(1, round(short.count() / group_rows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def flush(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["length"], ascending=False, kind="stable")
+        def flush(parts: list[pd.DataFrame]) -> pd.DataFrame:
+            rows = pd.concat(parts)
             where, offset = sum_of_squares(rows["length"].to_numpy(), capacity)
             return rows.assign(sequence_id=(rows["group"].to_numpy().astype(np.int64) << 32) + where, offset=offset).drop(columns=["group"])
 
+        held: list[pd.DataFrame] = []
         for batch in batches:
-            held.append(batch)
-            if batch["group"].iat[0] != batch["group"].iat[-1] or held[0]["group"].iat[0] != batch["group"].iat[0]:
-                rows = pd.concat(held)
-                last = rows["group"].iat[-1]
-                for _, own in rows[rows["group"] != last].groupby("group", sort=False):
-                    yield flush(own)
-                held = [rows[rows["group"] == last]]
+            for group, own in batch.groupby("group", sort=False):
+                if held and held[0]["group"].iat[0] != group:
+                    yield flush(held)
+                    held = []
+                held.append(own)
         if held:
-            yield flush(pd.concat(held))
+            yield flush(held)
 
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(F.col(id_col), F.col("piece"), F.lit(1)), F.lit(groups)).cast("int"))
+    dealt = short.withColumn("group", F.pmod(F.xxhash64(F.col(id_col), F.col("piece"), F.lit(1)), F.lit(groups)).cast("int"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.repartition(groups, "group").sortWithinPartitions("group", F.desc("length"), id_col, "piece").mapInPandas(run, schema + ", sequence_id long, offset long")
+    long_ = F.col("length") * 2 > capacity
+    order = ["group", F.desc(long_), F.desc(F.when(long_, F.col("length"))), F.xxhash64(F.col(id_col), F.col("piece"), F.lit(2)), "length"]
+    packed = dealt.repartition(groups, "group").sortWithinPartitions(*order).mapInPandas(run, schema + ", sequence_id long, offset long")
+    whole = pieces.filter(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    return packed.unionByName(whole)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

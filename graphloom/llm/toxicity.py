@@ -86,7 +86,7 @@ class Machine:
         return float(self.bias + self.weights[ids].sum() + 0.5 * (s @ s - (v * v).sum()))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, rank: int = 4, epochs: int = 150, rate: float = 0.15, l2: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, rank: int = 4, epochs: int = 400, rate: float = 0.3, l2: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
     """Full-batch AdaGrad on the log loss; rows are arrays of term numbers."""
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(size), rng.normal(0, 0.01, (size, rank)), float(np.log((labels.mean() + 1e-9) / (1 - labels.mean() + 1e-9)))
@@ -141,7 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     p0, p1 = (table["n0"] + 0.5) / (n0 + 1), (table["n1"] + 0.5) / (n1 + 1)
     pooled = (table["n0"] + table["n1"] + 1) / (n0 + n1 + 2)
     z = (p1 - p0) / np.sqrt(pooled * (1 - pooled) * (1 / (n0 + 1) + 1 / (n1 + 1)))
-    table = table.assign(z=z.abs()).query("z >= 3").sort_values(["z", "bucket"], ascending=[False, True]).head(kept)
+    # As large as the largest of so many terms without any relation to the label.
+    least = max(3.0, float(np.sqrt(2 * np.log(max(1, len(table))))))
+    table = table.assign(z=z.abs()).query("z >= @least").sort_values(["z", "bucket"], ascending=[False, True]).head(kept)
     index = {int(x): i for i, x in enumerate(table["bucket"])}
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
