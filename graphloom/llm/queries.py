@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontaminate, langid, mainhtml, media, packing, pseudonyms, simhash, toxicity
+from . import decontaminate, langid, mainhtml, maxent, media, packing, pseudonyms, simhash, toxicity
 from .common import read, remainder
 
 
@@ -52,6 +52,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "overlap", "question_overlap", "answer_overlap")])
 
 
+def op7_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = maxent.score_texts(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -79,6 +84,7 @@ _ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_decontamination": op6_decontamination,
+    "op7_maxent_scores": op7_maxent_scores,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_media_columns": op10_media_columns,
 }
