@@ -44,20 +44,24 @@ def grams(word: str, n: int) -> list[str]:
 @dataclass
 class Model:
     langs: list[str]
-    #: Log frequencies by length (0: whole words), a vector over ``langs``.
-    tables: dict[int, dict[str, np.ndarray]]
+    #: Row of each entry in ``votes`` by length (0: whole words).
+    tables: dict[int, dict[str, int]]
+    #: Log frequencies, a column for each language.
+    votes: np.ndarray
     prior: np.ndarray
     longest: int = 5
 
-    def vote(self, word: str) -> np.ndarray | None:
+    def entries(self, word: str) -> list[int]:
+        """Rows whose mean is the word's vote; none if nothing is known."""
         known = self.tables[0].get(word)
         if known is not None:
-            return known
+            return [known]
         for n in range(self.longest, 0, -1):
-            found = [v for g in grams(word, n) if (v := self.tables[n].get(g)) is not None]
+            get = self.tables[n].get
+            found = [r for g in grams(word, n) if (r := get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
-        return None
+                return found
+        return []
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_docs: int = 3000, top: int = 20_000, longest: int = 5) -> Model:
@@ -65,7 +69,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     sizes = {r[0]: r[1] for r in labelled.filter(F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], {n: {} for n in range(longest + 1)}, np.zeros(0), longest)
+        return Model([], {n: {} for n in range(longest + 1)}, np.zeros((0, 0)), np.zeros(0), longest)
     keep: Column = F.lit(False)
     for lang in langs:
         keep = keep | ((F.col(lang_col) == lang) & by_hash(id_col, bounded_fraction(sizes[lang], train_docs), 11))
@@ -91,50 +95,65 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     best = Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram")
     chosen = counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).toPandas()
     at = {lang: i for i, lang in enumerate(langs)}
-    tables: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(longest + 1)}
+    tables: dict[int, dict[str, int]] = {n: {} for n in range(longest + 1)}
+    parts: list[np.ndarray] = []
     for n, rows in chosen.groupby("n"):
         raw: dict[str, np.ndarray] = {}
         for lang, gram, c in zip(rows["lang"], rows["gram"], rows["count"]):
             raw.setdefault(gram, np.zeros(len(langs)))[at[lang]] = c
-        total = np.sum(list(raw.values()), axis=0)
-        floor = np.log(0.5 / (total + 0.5 * len(raw)))
-        tables[int(n)] = {g: np.maximum(np.log((v + 0.5) / (total + 0.5 * len(raw))), floor) for g, v in raw.items()}
+        counts_ = np.array(list(raw.values()))
+        used = sum(map(len, parts))
+        tables[int(n)] = {g: used + i for i, g in enumerate(raw)}
+        parts.append(np.log((counts_ + 0.5) / (counts_.sum(axis=0) + 0.5 * len(raw))))
+    votes = np.concatenate(parts) if parts else np.zeros((0, len(langs)))
     prior = np.log(np.array([sizes[x] for x in langs], float) / sum(sizes.values()))
-    return Model(langs, tables, prior, longest)
+    return Model(langs, tables, votes, prior, longest)
 
 
 class _Scorer:
-    """Rows of votes by raw token; unseen tokens are worked out and kept for a while."""
+    """Rows of votes by raw token; a text's new tokens are worked out together."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.width = model, len(model.langs)
         self._reset()
 
     def _reset(self) -> None:
-        outer = self
+        outer, model = self, self.model
 
         class Rows(dict):
             def __missing__(self, token: str) -> int:
-                votes = [outer.model.vote(w) for w in WORD.findall(token.lower())]
-                known = [v for v in votes if v is not None]
-                if not known:
-                    row = 1 if votes else 0
-                else:
+                found = [model.entries(w) for w in WORD.findall(token.lower())]
+                known = [x for x in found if x]
+                if known:
                     row = outer.used
-                    if row == len(outer.table):
-                        outer.table = np.concatenate([outer.table, np.zeros_like(outer.table)])
-                    outer.table[row, : outer.width] = np.sum(known, axis=0)
-                    outer.table[row, outer.width :] = len(known), len(votes)
                     outer.used += 1
+                    outer.new.append((row, known, len(found)))
+                else:
+                    row = 1 if found else 0
                 self[token] = row
                 return row
 
-        self.rows = Rows()
+        self.rows, self.new = Rows(), []
         # Votes, number of voting words, number of words with a letter.
         self.table = np.zeros((4096, self.width + 2))
         self.table[1, self.width + 1] = 1
         self.used = 2
 
+    def _settle(self) -> None:
+        """Fill the rows of new tokens: the sum over words of their entries' means."""
+        while self.used > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        words = [(row, w) for row, known, _ in self.new for w in known]
+        n = np.array([len(w) for _, w in words])
+        flat = np.fromiter((x for _, w in words for x in w), np.int64, int(n.sum()))
+        means = np.add.reduceat(self.model.votes[flat], np.cumsum(n) - n, axis=0) / n[:, None]
+        where = np.array([row for row, _ in words])
+        first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+        self.table[where[first], : self.width] = np.add.reduceat(means, first, axis=0)
+        self.table[where[first], self.width] = [len(known) for _, known, _ in self.new]
+        self.table[where[first], self.width + 1] = [n for _, _, n in self.new]
+        self.new = []
+
     def __call__(self, text: str | None) -> tuple[str, float]:
         if not self.width or not text:
             return "und", 0.0
@@ -142,6 +161,8 @@ class _Scorer:
             self._reset()
         tokens = text.split()
         ids = np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens))
+        if self.new:
+            self._settle()
         total = self.table[ids].sum(axis=0) if len(ids) < 50_000 else sum(self.table[ids[i : i + 50_000]].sum(axis=0) for i in range(0, len(ids), 50_000))
         if not total[-1]:
             return "und", 0.0
