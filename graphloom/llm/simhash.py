@@ -38,11 +38,23 @@ BITS = 64
 SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Majority bits over the shingles' hashes, repeats included."""
+def content_words(words: list[bytes]) -> list[bytes]:
+    """Distinct words of five bytes or more; all distinct words if few are so."""
+    long_ = {w for w in words if len(w) >= 5}
+    return sorted(long_ if len(long_) >= 5 else set(words))
+
+
+def fingerprint(text: str | None, shingle: int = 3, content: bool = False) -> int:
+    """Majority bits over the shingles' hashes, repeats included.
+
+    With ``content`` the distinct content words take the shingles' place: an
+    edited word changes one feature instead of ``shingle``.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
+    if content:
+        words, shingle = content_words(words), 1
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -56,12 +68,12 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(bits * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, content: bool = False) -> DataFrame:
     """Per row: the id and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fp = np.array([fingerprint(t, shingle) for t in batch["text"]], dtype=np.uint64)
+            fp = np.array([fingerprint(t, shingle, content) for t in batch["text"]], dtype=np.uint64)
             yield pd.DataFrame({"id": batch["id"], "fp": fp.view(np.int64)})
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -92,6 +104,13 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
+def first_link(fps: np.ndarray, distance: int) -> np.ndarray:
+    """For each of a run's fingerprints the first index within the distance."""
+    n = len(fps)
+    step = max(1, (1 << 22) // n)
+    return np.concatenate([(popcount(fps[a : a + step, None] ^ fps[None, :]) <= distance).argmax(axis=1) for a in range(0, n, step)])
+
+
 def link_run(fps: np.ndarray, distance: int) -> np.ndarray:
     """For each of a run's fingerprints the first index of its component.
 
@@ -133,7 +152,7 @@ def link_run(fps: np.ndarray, distance: int) -> np.ndarray:
     return parent
 
 
-def _links(distance: int, run_limit: int, level: int):
+def _links(distance: int, run_limit: int, level: int, direct: bool):
     """Edges inside runs of equal keys; long runs come back under second keys."""
     masks = dict(variants(distance))
 
@@ -153,7 +172,7 @@ def _links(distance: int, run_limit: int, level: int):
             if len(fp) < 2:
                 return None
             order = np.argsort(rep, kind="stable")
-            first = link_run(fp[order].view(np.uint64), distance)
+            first = (first_link if direct else link_run)(fp[order].view(np.uint64), distance)
             a, b = rep[order], rep[order][first]
             moved = a != b
             if not moved.any():
@@ -194,18 +213,21 @@ def _links(distance: int, run_limit: int, level: int):
 _EDGE = "a long, b long, key_no int, key long, no2 int, key2 long, fp long"
 
 
-def edges(reps: DataFrame, distance: int = 3, run_limit: int = 4096) -> DataFrame:
+def edges(reps: DataFrame, distance: int = 3, run_limit: int = 4096, direct: bool = False) -> DataFrame:
     """Edges (a, b), b < a, that span the links among distinct fingerprints.
 
+    With ``direct`` each edge is a link itself: to the smallest name of a run
+    within the distance.
+
     ``reps`` has fp and rep, a long that names the fingerprint.
     """
     n = shuffle_partitions(reps.sparkSession)
     key = F.explode(F.array(*[F.struct(F.lit(i).alias("key_no"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in variants(distance)])).alias("v")
     first = reps.select("fp", "rep", key).select(F.col("v.key_no"), F.col("v.key"), F.lit(-1).alias("no2"), F.lit(0).cast("long").alias("key2"), "fp", "rep")
     sort = ["key_no", "key", "no2", "key2"]
-    one = materialize(first.repartition(n, *sort).sortWithinPartitions(*sort).mapInPandas(_links(distance, run_limit, 1), _EDGE), "simhash-runs")
+    one = materialize(first.repartition(n, *sort).sortWithinPartitions(*sort).mapInPandas(_links(distance, run_limit, 1, direct), _EDGE), "simhash-runs")
     more = one.filter("no2 >= 0").select("key_no", "key", "no2", "key2", "fp", F.col("a").alias("rep"))
-    two = more.repartition(n, *sort).sortWithinPartitions(*sort).mapInPandas(_links(distance, run_limit, 2), _EDGE)
+    two = more.repartition(n, *sort).sortWithinPartitions(*sort).mapInPandas(_links(distance, run_limit, 2, direct), _EDGE)
     return one.filter("no2 < 0").select("a", "b").union(two.select("a", "b")).distinct()
 
 
@@ -244,11 +266,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 7) -> DataFrame:
-    """Rows of ``docs`` whose id names their component, and rows without id.
+def shingle_set(text: str | None, shingle: int) -> set[int]:
+    """Hashes of a text's distinct word shingles."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
 
-    Of rows that share both id and text one stays.
+def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``docs`` (id, text) whose shingles' Jaccard similarity is enough."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: tuple[int | None, set[int]] = (None, set())
+        for batch in batches:
+            keep = []
+            for b, x, y in zip(batch["b"], batch["x"], batch["y"]):
+                if b != last[0]:
+                    last = (b, shingle_set(y, shingle))
+                own, other = shingle_set(x, shingle), last[1]
+                both = len(own & other)
+                keep.append(both >= similarity * (len(own) + len(other) - both))
+            yield batch.loc[keep, ["a", "b"]]
+
+    left = docs.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    right = docs.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 5) -> DataFrame:
+    """Rows of ``docs`` with one of each group of near copies, the smallest id.
+
+    Exact copies are grouped by a hash of the text. Fingerprints of content
+    words, linked at ``distance`` bits through the deletion variants, propose
+    pairs; a pair links if the Jaccard similarity of its ``shingle``-word
+    shingles is at least ``similarity``. A fingerprint's texts are compared
+    with its smallest id. Rows without id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, distance)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    hashed = texts.select(F.xxhash64(F.coalesce("text", F.lit("")), F.octet_length("text")).alias("copy"), "id")
+    firsts = materialize(hashed.groupBy("copy").agg(F.min("id").alias("first")), "copies")
+    fps = materialize(fingerprints(texts, "id", "text", content=True), "content-fingerprints")
+    reps = materialize(fps.join(firsts.select(F.col("first").alias("id")), "id", "left_semi").groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
+    same = fps.join(firsts.select(F.col("first").alias("id")), "id", "left_semi").join(reps, "fp").select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a != b")
+    proposed = materialize(same.union(edges(reps, distance, direct=True)).distinct(), "near-pairs")
+    ids = proposed.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    some = materialize(texts.dropDuplicates(["id"]).join(ids, "id", "left_semi"), "near-texts")
+    found = components(materialize(similar(proposed, some, shingle, similarity), "near-links"))
+    near = found.filter("name != component").select(F.col("name").alias("_gone"))
+    copies = hashed.join(firsts, "copy").filter("id != first").select(F.col("id").alias("_gone"))
+    gone = near.union(copies).distinct()
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
