@@ -14,7 +14,7 @@ to one over the training words and an unknown one for each hashed class.
 
 Counts cover all training texts. Weights come from ``rounds`` of distributed
 gradient updates, which together see every training text once: each task takes
-AdaGrad steps on its share of the round's texts from the same weights, and the
+blockwise AdaGrad steps on its share of the round's texts from the same weights, and the
 tasks' changes are averaged, weighted by how often a task used a row. Weights
 have a fixed size, as have the tables sent to tasks: counts of words outside
 the ``heavy`` commonest are joined, not sent.
@@ -27,7 +27,9 @@ result. Texts have no length limit.
 
 from __future__ import annotations
 
+import math
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import materialize, remainder
 
 END = b""  # no word is empty
-PER_CLASS, COMMON_CLASSES, HASHED_CLASSES = 16, 16, 24
+PER_CLASS, COMMON_CLASSES, HASHED_CLASSES = 16, 8, 16
 COMMON, CLASSES = PER_CLASS * COMMON_CLASSES, COMMON_CLASSES + HASHED_CLASSES
 #: Rows of class weights: previous word, skipped word, both, both classes, bias.
 ONE, TWO, BOTH, PAIR = 4096, 4096, 8192, (CLASSES + 1) ** 2
@@ -50,8 +52,9 @@ IN_ONE = 1024
 IN_ROWS = (IN_ONE + CLASSES + 1 + 1) * COMMON_CLASSES
 #: Code of the place before a text's first word.
 START = COMMON + HASHED_CLASSES * (1 << 17)
-LEXICON = 300_000
-STEP = 8192
+LEXICON = 400_000
+NAN = float("nan")
+STEP = 4096
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -147,18 +150,20 @@ def _scatter(target: np.ndarray, grads: np.ndarray, sums: np.ndarray, used: np.n
 
 
 def learn(w: Weights, codes: np.ndarray, starts: np.ndarray, state: dict, rate: float = 0.12) -> None:
-    """Steps over a run of texts; ``state`` keeps sums of squares and uses."""
+    """Steps over a run of texts; ``state`` keeps sums of squares and uses.
+
+    Every step's gradient goes to one half of the feature groups, in turns.
+    """
     own, rows, inner = features(codes, starts)
-    for at in range(0, len(codes), STEP):
+    for turn, at in enumerate(range(0, len(codes), STEP)):
         part = slice(at, at + STEP)
         p, common, q = probabilities(w, own[part], rows[part], inner[part], codes[part])
         p[np.arange(len(p)), own[part]] -= 1
-        for k in range(rows.shape[1]):
+        for k in range(turn % 2, rows.shape[1], 2):
             _scatter(w.outer, p, state["outer"], state["outer_used"], rows[part, k], rate)
         if len(common):
             q[np.arange(len(q)), codes[part][common] % PER_CLASS] -= 1
-            for k in range(inner.shape[1]):
-                _scatter(w.inner, q, state["inner"], state["inner_used"], inner[part][common, k], rate)
+            _scatter(w.inner, q, state["inner"], state["inner_used"], inner[part][common, turn % 2], rate)
 
 
 def score_codes(w: Weights, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -186,7 +191,7 @@ class Vocabulary:
     class_mass: np.ndarray
 
     def base(self, count: int) -> float:
-        return float(np.log10((count + 1) / (self.total + self.distinct + 1)))
+        return math.log10((count + 1) / (self.total + self.distinct + 1))
 
 
 class _Lexicon(dict):
@@ -195,14 +200,17 @@ class _Lexicon(dict):
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
         self.v = vocabulary
-        self.codes = np.zeros(LEXICON + 2, np.int64)
-        self.bases = np.zeros(LEXICON + 2)
+        self.codes, self.bases = array("q"), array("d")
 
     def __missing__(self, token: bytes) -> int:
         row = len(self)
         c = self.v.heavy.get(token)
-        self.codes[row] = code_of(token, self.v.common)
-        self.bases[row] = np.nan if c is None else self.v.base(c)
+        if c is None:
+            self.codes.append(COMMON + zlib.crc32(token[-2:]) % HASHED_CLASSES + HASHED_CLASSES * (zlib.crc32(token) & 0x1FFFF))
+            self.bases.append(NAN)
+        else:
+            self.codes.append(code_of(token, self.v.common))
+            self.bases.append(self.v.base(c))
         self[token] = row
         return row
 
@@ -213,8 +221,10 @@ class _Lexicon(dict):
             part = tokens[at : at + LEXICON // 3]
             if len(self) + len(part) > LEXICON:
                 self.clear()
+                self.codes, self.bases = array("q"), array("d")
             ids = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
-            codes[at : at + len(part)], bases[at : at + len(part)] = self.codes[ids], self.bases[ids]
+            codes[at : at + len(part)] = np.frombuffer(self.codes, np.int64)[ids]
+            bases[at : at + len(part)] = np.frombuffer(self.bases)[ids]
         return codes, bases
 
 

@@ -232,8 +232,54 @@ def _find(buckets: int):
     return run
 
 
-def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step 1, after it: (text key, anchor numbers) of hashes that met."""
+def _deal(keys: np.ndarray, numbers: np.ndarray, parts: int) -> pd.DataFrame:
+    """Anchor numbers by text key, one row for each part of the keys."""
+    return pd.DataFrame([(k, _pack(_planes(a), _planes(b)), len(a)) for k, a, b in _by_key((keys % parts).astype(np.int64), keys, numbers)], columns=["part", "blob", "n"])
+
+
+def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each text key: its anchor numbers."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settle() -> pd.DataFrame:
+        keys, numbers = (np.concatenate(x) for x in zip(*held))
+        return pd.DataFrame([(k, v.tobytes()) for k, v in _by_key(keys.astype(np.int64), numbers)], columns=["key", "blob"])
+
+    open_ = None
+    for batch in batches:
+        for part, blob, n in zip(batch["part"], batch["blob"], batch["n"]):
+            if part != open_ and held:
+                yield settle()
+                held = []
+            open_ = part
+            raw = _unpack(blob)
+            held.append((_unplanes(raw[: 4 * n], n, np.uint32), _unplanes(raw[4 * n :], n, np.uint32)))
+    if held:
+        yield settle()
+
+
+def _meet(parts: int):
+    """Step 1, after it: anchors whose hash was met, dealt by text key."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, numbers, size = [], [], 0
+        for found in _met(batches):
+            for key, blob in zip(found["key"], found["blob"]):
+                own = np.frombuffer(blob, np.uint32)
+                keys.append(np.full(len(own), key, np.uint32))
+                numbers.append(own)
+                size += len(own)
+            if size > 4_000_000:
+                yield _deal(np.concatenate(keys), np.concatenate(numbers), parts)
+                keys, numbers, size = [], [], 0
+        if size:
+            yield _deal(np.concatenate(keys), np.concatenate(numbers), parts)
+
+    return run
+
+
+def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(text key, anchor numbers) of hashes that met."""
 
     def settle(blobs: list[tuple[int, bytes]]) -> pd.DataFrame:
         parts = []
@@ -277,8 +323,8 @@ def _cut_out(buckets: int):
                 continue
             wanted = np.zeros(len(which), bool)
             starts = np.searchsorted(which, np.arange(len(raw) + 1))
-            for i, blobs in enumerate(batch["blobs"]):
-                numbers = np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64)
+            for i, blob in enumerate(batch["blob"]):
+                numbers = np.frombuffer(blob, np.uint32).astype(np.int64)
                 numbers = numbers[numbers < starts[i + 1] - starts[i]]
                 wanted[starts[i] + numbers] = True
             which, lo, n, h = which[wanted], lo[wanted], n[wanted], h[wanted]
@@ -406,9 +452,10 @@ def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = F.col(id_col).cast("long")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(own, F.lit(int(LAST))).alias("ord"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rk"))
     long_ = texts.filter(F.octet_length("text") >= WINDOW)
-    met = long_.select("text", "rk").mapInPandas(_find(buckets), _ROW).repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInPandas(_meet, "key long, blob binary")
-    survivors = materialize(met.groupBy("key").agg(F.collect_list("blob").alias("blobs")), "suffix-anchors")
-    again = long_.withColumn("key", F.col("rk").bitwiseAND(F.lit(NONE))).join(survivors, "key").select("text", "rk", "ord", "blobs")
+    met = long_.select("text", "rk").mapInPandas(_find(buckets), _ROW).repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInPandas(_meet(buckets), "part int, blob binary, n long")
+    gathered = met.repartition(n, "part").sortWithinPartitions("part").mapInPandas(_gather, "key long, blob binary")
+    survivors = materialize(gathered, "suffix-anchors")
+    again = long_.withColumn("key", F.col("rk").bitwiseAND(F.lit(NONE))).join(survivors, "key").select("text", "rk", "ord", "blob")
     sorted_ = again.mapInPandas(_cut_out(buckets), _ROW).repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInPandas(_sort(windows), "key long, blob binary")
     return texts, materialize(sorted_.groupBy(F.col("key").alias("rk")).agg(F.collect_list("blob").alias("blobs")), "suffix-ranges")
 
