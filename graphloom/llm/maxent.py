@@ -54,7 +54,7 @@ IN_ROWS = (IN_ONE + CLASSES + 1 + 1) * COMMON_CLASSES
 START = COMMON + HASHED_CLASSES * (1 << 17)
 LEXICON = 400_000
 NAN = float("nan")
-STEP = 4096
+STEP = 8192
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -243,8 +243,16 @@ def count_tokens(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 def read_vocabulary(counts: DataFrame, heavy: int) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
     """The vocabulary, token counts by class and by common word."""
-    top = counts.orderBy(F.desc("count"), "token").limit(heavy).collect()
-    pairs = [(bytes(r[0]), r[1]) for r in top]
+    # Counts by size, to find from which count on at most ``heavy`` words are left.
+    step = F.floor(F.log2("count") * 8)
+    least, words_left = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("count").alias("least")).collect(), key=lambda r: -r["step"]):
+        words_left += r["n"]
+        if words_left > heavy:
+            break
+        least = r["least"]
+    top = counts.filter(F.col("count") >= least).collect() if least is not None else []
+    pairs = sorted(((bytes(r["token"]), r["count"]) for r in top), key=lambda x: (-x[1], x[0]))
     common = {t: i for i, (t, _) in enumerate(pairs[:COMMON])}
     words = np.zeros(COMMON)
     words[: len(common)] = [c for _, c in pairs[:COMMON]]
