@@ -38,6 +38,21 @@ class PropertyGraph:
 
     # Scans and lookups
 
+    @property
+    def node_columns(self) -> list[str]:
+        return self.nodes.columns
+
+    @property
+    def edge_columns(self) -> list[str]:
+        return self.edges.columns
+
+    def nodes_with(self, labels: list[str]) -> DataFrame:
+        """Nodes of some labels; of all if none is named."""
+        return self.nodes.filter(F.col("label").isin(*labels)) if labels else self.nodes
+
+    def edges_with(self, types: list[str]) -> DataFrame:
+        return self.edges.filter(F.col("type").isin(*types)) if types else self.edges
+
     def by_label(self, *labels: str) -> DataFrame:
         return self.nodes.filter(F.col("label").isin(*labels))
 

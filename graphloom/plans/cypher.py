@@ -112,9 +112,9 @@ class _Lowering:
         if kind == "value":
             return F.col(f"`{name}`")
         if kind == "node":
-            return F.struct(*[F.col(f"{name}__{c}").alias(c) for c in self.g.nodes.columns])
+            return F.struct(*[F.col(f"{name}__{c}").alias(c) for c in self.g.node_columns])
         if kind == "rel":
-            return F.struct(*[F.col(f"{name}__{c}").alias(c) for c in self.g.edges.columns])
+            return F.struct(*[F.col(f"{name}__{c}").alias(c) for c in self.g.edge_columns])
         if kind == "rels":
             return F.col(f"{name}__rels")
         if kind == "path":
@@ -123,7 +123,7 @@ class _Lowering:
 
     def prop(self, of: tuple, key: str) -> Column:
         if of[0] == "var" and of[1] not in self.local and self.kinds.get(of[1]) in ("node", "rel"):
-            cols = self.g.nodes.columns if self.kinds[of[1]] == "node" else self.g.edges.columns
+            cols = self.g.node_columns if self.kinds[of[1]] == "node" else self.g.edge_columns
             if key == "size" and "communitySize" in cols:
                 return F.coalesce(F.col(f"{of[1]}__size"), F.col(f"{of[1]}__communitySize").cast("long"))
             if key in cols:
@@ -177,7 +177,7 @@ class _Lowering:
         if name in ("startnode", "endnode"):
             return F.col(f"{of[1]}__{'src' if name == 'startnode' else 'dst'}")
         if name in ("keys", "properties") and kind in ("node", "rel"):
-            cols = [c for c in (self.g.nodes if kind == "node" else self.g.edges).columns if c not in ("props", "labels", "src", "dst", "edge_id")]
+            cols = [c for c in (self.g.node_columns if kind == "node" else self.g.edge_columns) if c not in ("props", "labels", "src", "dst", "edge_id")]
             m = F.map_filter(F.create_map(*[x for c in cols for x in (F.lit(c), F.col(f"{of[1]}__{c}").cast("string"))]), lambda k, v: v.isNotNull())
             return F.array_sort(F.map_keys(m)) if name == "keys" else m
         if name in ("length", "size") and kind == "path":
@@ -191,7 +191,7 @@ class _Lowering:
             "toupper": lambda: F.upper(a[0]),
             "trim": lambda: F.regexp_replace(F.regexp_replace(a[0], r"^\s+", ""), r"\s+$", ""),
             "tostring": lambda: a[0].cast("string"),
-            "tointeger": lambda: F.coalesce(F.expr("try_cast(null as bigint)"), F.when(F.regexp_like(a[0].cast("string"), F.lit(r"^\s*[+-]?\d")), F.regexp_extract(F.trim(a[0].cast("string")), r"^([+-]?\d+)", 1).try_cast("bigint"))),
+            "tointeger": lambda: F.regexp_extract(F.trim(a[0].cast("string")), r"^([+-]?\d+)", 1).try_cast("bigint"),
             "tofloat": lambda: a[0].try_cast("double"),
             "head": lambda: F.try_element_at(a[0], F.lit(1)),
             "last": lambda: F.try_element_at(a[0], F.lit(-1)),
@@ -234,16 +234,12 @@ class _Lowering:
     # Patterns
 
     def nodes_as(self, var: str, n) -> DataFrame:
-        df = self.g.nodes
-        if n.labels:
-            df = df.filter(F.col("label").isin(*n.labels))
+        df = self.g.nodes_with(n.labels)
         df = df.select(*[F.col(c).alias(f"{var}__{c}") for c in df.columns])
         return self.restrict(df, var, n.props, "node")
 
     def edges_as(self, var: str, r: Rel) -> DataFrame:
-        df = self.g.edges
-        if r.types:
-            df = df.filter(F.col("type").isin(*r.types))
+        df = self.g.edges_with(r.types)
         df = df.select(*[F.col(c).alias(f"{var}__{c}") for c in df.columns])
         df = self.restrict(df, var, r.props, "rel")
         if r.direction == "both":
@@ -263,8 +259,6 @@ class _Lowering:
 
     def with_path(self, df: DataFrame | None, p: Path, bound: dict[str, str], seen: set[str], used: list[Rel]) -> DataFrame:
         """Join a path's pattern to ``df``; ``bound`` grows by its names."""
-        lookups: list[tuple[str, object]] = []
-
         def place(n, df: DataFrame | None, key: str | None) -> DataFrame:
             """Bind a node; its id is column ``key`` if given."""
             if bound.get(n.var) == "node":
@@ -313,26 +307,24 @@ class _Lowering:
             df = place(b, df, f"{r.var}__to")
         if p.var is not None:
             bound[p.var] = "path"
-            keep = [c for c in ("id", "label", "name", "filePath") if c in self.g.nodes.columns]
+            keep = [c for c in ("id", "label", "name", "filePath") if c in self.g.node_columns]
             struct = lambda v: F.struct(*[F.col(f"{v}__{c}").alias(c) for c in keep])
             parts_n, parts_r = [F.array(struct(nodes[0].var))], []
             for r, b in zip(rels, nodes[1:]):
                 if r.low is not None:
                     parts_n.append(F.col(f"{r.var}__inner"))
                     parts_r.append(F.col(f"{r.var}__rels"))
-                    if r is not rels[-1] or True:
-                        continue
+                    continue
                 parts_n.append(F.array(struct(b.var)))
                 parts_r.append(F.array(F.struct(*[F.col(f"{r.var}__{c}").alias(c) for c in ("edge_id", "type", "src", "dst")])))
             df = df.withColumns({f"{p.var}__nodes": F.concat(*parts_n), f"{p.var}__rels": F.concat(*parts_r) if parts_r else F.array()})
-        del lookups
         return df
 
     def hops(self, df: DataFrame, r: Rel, start: str, bound: dict[str, str], p: Path) -> DataFrame:
         """Variable length by unrolled joins; no relationship occurs twice."""
         low, high = r.low or 0, self.max_hops if r.high is None else r.high
         v = r.var
-        keep = [c for c in ("id", "label", "name", "filePath") if c in self.g.nodes.columns]
+        keep = [c for c in ("id", "label", "name", "filePath") if c in self.g.node_columns]
         step_rel = F.struct(*[F.col(f"_h__{c}").alias(c) for c in ("edge_id", "type", "src", "dst")])
         rel_type = "array<struct<edge_id:string,type:string,src:string,dst:string>>"
         node_type = "array<struct<" + ",".join(f"{c}:string" for c in keep) + ">>"

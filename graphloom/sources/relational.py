@@ -1,12 +1,11 @@
 """Relational tables as a property graph.
 
-Labels and types are literals in each branch of a union, so a pattern on one
-label or type reads that branch alone.
+A pattern on some labels or types reads only their tables.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,40 +21,82 @@ def _id(prefix: str, *cols: str) -> Column:
     return F.concat(F.lit(prefix + ":"), F.concat_ws("-", *[F.col(c).cast("string") for c in cols]))
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+#: Properties of the nodes and edges beside the common ones.
+NODE_PROPS = {"segment": "string", "acctbal": "double", "brand": "string", "kind": "string", "size": "int", "price": "double", "status": "string", "priority": "string", "total": "double", "date": "timestamp", "value": "double"}
+EDGE_PROPS = {"step": "int", "quantity": "double", "amount": "double"}
+NODES, EDGES = ["id", "label", "name", *NODE_PROPS], ["edge_id", "src", "dst", "type", *EDGE_PROPS]
+
+
+class RelationalGraph(PropertyGraph):
+    """The tables' graph; a table is read when a label or type asks for it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        nodes, edges = _sources()
+        for name, value in (("_table", lambda name: _table(spark, sf_dir, name)), ("_node_sources", nodes), ("_edge_sources", edges)):
+            object.__setattr__(self, name, value)
+
+    node_columns, edge_columns = NODES, EDGES
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self.nodes_with([])
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self.edges_with([])
+
+    def nodes_with(self, labels: list[str]) -> DataFrame:
+        chosen = [x for x in labels or self._node_sources if x in self._node_sources]
+        parts = [self._node(x) for x in chosen]
+        return reduce(DataFrame.union, parts) if parts else self._node("Region").filter("false")
+
+    def edges_with(self, types: list[str]) -> DataFrame:
+        chosen = [x for x in types or self._edge_sources if x in self._edge_sources]
+        parts = [self._edge(x) for x in chosen]
+        return reduce(DataFrame.union, parts) if parts else self._edge("IN_REGION").filter("false")
+
+    def _node(self, label: str) -> DataFrame:
+        table, key, name, props = self._node_sources[label]
+        own = [F.col(props[p]).cast(t).alias(p) if p in props else F.lit(None).cast(t).alias(p) for p, t in NODE_PROPS.items()]
+        return self._table(table).select(key.alias("id"), F.lit(label).alias("label"), F.col(name).cast("string").alias("name"), *own)
+
+    def _edge(self, kind: str) -> DataFrame:
+        table, key, src, dst, props = self._edge_sources[kind]
+        df = self._table(table)
+        if kind == "SUPPLIES":
+            df = df.select("l_suppkey", "l_partkey").distinct()
+        elif kind == "REPLIES":
+            df = df.filter("turn > 0")
+        own = [F.col(props[p]).cast(t).alias(p) if p in props else F.lit(None).cast(t).alias(p) for p, t in EDGE_PROPS.items()]
+        return df.select(_id(kind, *key).alias("edge_id"), src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), *own)
+
+
+def _sources() -> tuple[dict, dict]:
+    """By label: table, id, name, properties. By type: table, key, ends, properties."""
+    nodes = {
+        "Region": ("region", _id("region", "r_regionkey"), "r_name", {}),
+        "Nation": ("nation", _id("nation", "n_nationkey"), "n_name", {}),
+        "Customer": ("customer", _id("customer", "c_custkey"), "c_name", {"segment": "c_mktsegment", "acctbal": "c_acctbal"}),
+        "Supplier": ("supplier", _id("supplier", "s_suppkey"), "s_name", {"acctbal": "s_acctbal"}),
+        "Part": ("part", _id("part", "p_partkey"), "p_name", {"brand": "p_brand", "kind": "p_type", "size": "p_size", "price": "p_retailprice"}),
+        "Order": ("orders", _id("order", "o_orderkey"), "o_orderkey", {"status": "o_orderstatus", "priority": "o_orderpriority", "total": "o_totalprice", "date": "o_orderdate"}),
+        "Event": ("events", _id("event", "event_id"), "event_type", {"value": "value", "date": "ts"}),
+        "Turn": ("conversations", _id("turn", "conv_id", "turn"), "role", {}),
+    }
+    before = F.concat(F.lit("turn:"), F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - 1).cast("string"))
+    edges = {
+        "IN_REGION": ("nation", ["n_nationkey"], _id("nation", "n_nationkey"), _id("region", "n_regionkey"), {}),
+        "IN_NATION": ("customer", ["c_custkey"], _id("customer", "c_custkey"), _id("nation", "c_nationkey"), {}),
+        "LOCATED_IN": ("supplier", ["s_suppkey"], _id("supplier", "s_suppkey"), _id("nation", "s_nationkey"), {}),
+        "PLACED": ("orders", ["o_orderkey"], _id("customer", "o_custkey"), _id("order", "o_orderkey"), {}),
+        "HAS_ITEM": ("lineitem", ["l_orderkey", "l_linenumber"], _id("order", "l_orderkey"), _id("part", "l_partkey"), {"step": "l_linenumber", "quantity": "l_quantity", "amount": "l_extendedprice"}),
+        "SUPPLIED_BY": ("lineitem", ["l_orderkey", "l_linenumber"], _id("order", "l_orderkey"), _id("supplier", "l_suppkey"), {}),
+        "SUPPLIES": ("lineitem", ["l_suppkey", "l_partkey"], _id("supplier", "l_suppkey"), _id("part", "l_partkey"), {}),
+        "REPLIES": ("conversations", ["conv_id", "turn"], _id("turn", "conv_id", "turn"), before, {}),
+    }
+    return nodes, edges
 
 
 def relational_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """Regions, nations, customers, suppliers, parts and orders with their edges."""
-    t = {n: _table(spark, sf_dir, n) for n in "region nation customer supplier part orders lineitem events conversations".split()}
-
-    def node(label: str, df: DataFrame, key: Column, name: Column, **props: Column) -> DataFrame:
-        return df.select(key.alias("id"), F.lit(label).alias("label"), name.alias("name"), *[c.alias(k) for k, c in props.items()])
-
-    def edge(kind: str, df: DataFrame, src: Column, dst: Column, *key: str, **props: Column) -> DataFrame:
-        return df.select(_id(kind, *key).alias("edge_id"), src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), *[c.alias(k) for k, c in props.items()])
-
-    c = F.col
-    nodes = [
-        node("Region", t["region"], _id("region", "r_regionkey"), c("r_name")),
-        node("Nation", t["nation"], _id("nation", "n_nationkey"), c("n_name")),
-        node("Customer", t["customer"], _id("customer", "c_custkey"), c("c_name"), segment=c("c_mktsegment"), acctbal=c("c_acctbal")),
-        node("Supplier", t["supplier"], _id("supplier", "s_suppkey"), c("s_name"), acctbal=c("s_acctbal")),
-        node("Part", t["part"], _id("part", "p_partkey"), c("p_name"), brand=c("p_brand"), kind=c("p_type"), size=c("p_size"), price=c("p_retailprice")),
-        node("Order", t["orders"], _id("order", "o_orderkey"), c("o_orderkey").cast("string"), status=c("o_orderstatus"), priority=c("o_orderpriority"), total=c("o_totalprice"), date=c("o_orderdate")),
-        node("Event", t["events"], _id("event", "event_id"), c("event_type"), value=c("value"), date=c("ts")),
-        node("Turn", t["conversations"], _id("turn", "conv_id", "turn"), c("role")),
-    ]
-    pairs = t["lineitem"].select("l_suppkey", "l_partkey").distinct()
-    edges = [
-        edge("IN_REGION", t["nation"], _id("nation", "n_nationkey"), _id("region", "n_regionkey"), "n_nationkey"),
-        edge("IN_NATION", t["customer"], _id("customer", "c_custkey"), _id("nation", "c_nationkey"), "c_custkey"),
-        edge("LOCATED_IN", t["supplier"], _id("supplier", "s_suppkey"), _id("nation", "s_nationkey"), "s_suppkey"),
-        edge("PLACED", t["orders"], _id("customer", "o_custkey"), _id("order", "o_orderkey"), "o_orderkey"),
-        edge("HAS_ITEM", t["lineitem"], _id("order", "l_orderkey"), _id("part", "l_partkey"), "l_orderkey", "l_linenumber", step=c("l_linenumber"), quantity=c("l_quantity"), amount=c("l_extendedprice")),
-        edge("SUPPLIED_BY", t["lineitem"], _id("order", "l_orderkey"), _id("supplier", "l_suppkey"), "l_orderkey", "l_linenumber"),
-        edge("SUPPLIES", pairs, _id("supplier", "l_suppkey"), _id("part", "l_partkey"), "l_suppkey", "l_partkey"),
-        edge("REPLIES", t["conversations"].filter("turn > 0"), _id("turn", "conv_id", "turn"), F.concat(F.lit("turn:"), c("conv_id").cast("string"), F.lit("-"), (c("turn") - 1).cast("string")), "conv_id", "turn"),
-    ]
-    return PropertyGraph(_union(nodes), _union(edges))
+    """Regions, nations, customers, suppliers, parts, orders, events and turns with their edges."""
+    return RelationalGraph(spark, sf_dir)
