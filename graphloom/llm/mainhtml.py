@@ -207,7 +207,7 @@ def scores(nodes: list[Node]) -> dict[str, float]:
 
 def extract(nodes: list[Node], path: str) -> str:
     """Text of all containers on a path, with what stands in them."""
-    chosen = [n.path == path or (n.parent >= 0 and False) for n in nodes]
+    chosen = [n.path == path for n in nodes]
     for i, n in enumerate(nodes):
         chosen[i] = chosen[i] or (n.parent >= 0 and chosen[n.parent])
     pieces = sorted(x for n, c in zip(nodes, chosen) if c for x in n.pieces)

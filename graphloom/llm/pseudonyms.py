@@ -59,8 +59,8 @@ def feistel(digits: str, radices: str, key: str, tag: str) -> str:
     def step(k: int) -> str:
         lo, hi = ("1", "size(x.l)"), ("size(x.l) + 1", "size(x.r)")
         own, other, (first, n) = ("x.l", "x.r", lo) if k % 2 == 0 else ("x.r", "x.l", hi)
-        # 32 pairs of four hex digits would need 128; longer values wrap round
-        # to a second hash by block of 16 places.
+        # A hash has four hex digits for each of 16 places; longer halves take
+        # another hash for each further 16.
         added = (
             f"transform({own}, (d, i) -> cast((d + cast(conv(substring(sha2(concat_ws('|', {_sql(key)}, {_sql(tag)}, '{k}', cast(i div 16 as string), array_join({other}, ',')), 256),"
             f" cast(4 * (i % 16) + 1 as int), 4), 16, 10) as int)) % element_at(m, cast(i + {first} as int)) as int))"
