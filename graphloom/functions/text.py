@@ -25,6 +25,13 @@ FLOW_LABELS = [
     ("Registration", "register bind wire connect"), ("Configuration", "config option setting"), ("Migration", "migrat upgrade schema"), ("Lifecycle", "start stop restart"),
 ]
 
+# Paths of tests, examples and command-line programs.
+TEST_DIRS = r"(^|/)(_*test(s|ing|data|util|utils)?([_-]\w+)?_*|_*specs?_*|__tests__|__mocks__|__snapshots__|e2e|cypress|fixtures?|mocks?|mirage|androidtest)(/|$)"
+TEST_NAMES = "testing.go test_helpers.go test_helper.go testutil.go testutils.go conftest.py test_helpers.rb test_helper.rb spec_helper.rb rails_helper.rb".split()
+TEST_PARTS, TEST_ENDS = [".test.", ".spec.", ".cy."], ["_test.go", "_test.py", "_spec.rb", "_test.rb"]
+EXAMPLE_DIRS = r"(^|/)(_*examples?([_-]\w+)?_*|_*demos?([_-]\w+)?_*|_*samples?([_-]\w+)?_*|_*tutorials?([_-]\w+)?_*|_*cookbooks?([_-]\w+)?_*|docs?([_-]\w+)?|storybook|stories|playgrounds?|sandbox(es)?|snippets?|quickstart|getting[_-]started|how[_-]?to|recipes?|showcase)(/|$)"
+COMMAND_DIRS = "cmd command commands cli".split()
+
 
 def camel_split(c: Column) -> Column:
     """A space before a capital that follows a small letter or digit."""
@@ -55,6 +62,27 @@ def path_base(c: Column) -> Column:
     return F.regexp_extract(c, r"([^/]*)$", 1)
 
 
+def is_test_path(path: Column) -> Column:
+    """Whether a file belongs to tests; false for null."""
+    low = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    base = path_base(low)
+    found = low.rlike(TEST_DIRS) | base.isin(*TEST_NAMES) | base.rlike(r"^test(_.*)?\.go$|^test_.*\.py$")
+    for part in TEST_PARTS:
+        found = found | low.contains(part)
+    for end in TEST_ENDS:
+        found = found | low.endswith(end)
+    return F.coalesce(found, F.lit(False))
+
+
+def is_usage_path(path: Column) -> Column:
+    """Whether a file shows how others are used: tests, examples, documents."""
+    return is_test_path(path) | F.coalesce(F.lower(path).rlike(EXAMPLE_DIRS), F.lit(False))
+
+
+def is_command_path(path: Column) -> Column:
+    return F.coalesce(F.arrays_overlap(F.split(F.lower(path), "/"), F.array(*map(F.lit, COMMAND_DIRS))), F.lit(False))
+
+
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 

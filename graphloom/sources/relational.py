@@ -100,3 +100,40 @@ def _sources() -> tuple[dict, dict]:
 def relational_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Regions, nations, customers, suppliers, parts, orders, events and turns with their edges."""
     return RelationalGraph(spark, sf_dir)
+
+
+def call_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The trade as calls: customers and orders are functions, parts methods.
+
+    A customer calls its orders, an order its parts, one edge a line; returned
+    lines are unsure (confidence 0.4). A part's file is its brand's, a
+    customer's its market segment's.
+    """
+    t = lambda name: _table(spark, sf_dir, name)
+    node = lambda df, key, label, name, path: df.select(key.alias("id"), F.lit(label).alias("label"), name.alias("name"), path.alias("filePath"))
+    nodes = node(t("customer"), _id("customer", "c_custkey"), "Function", F.col("c_name"), F.concat(F.lit("segments/"), F.lower("c_mktsegment"), F.lit("/customers.py")))
+    nodes = nodes.union(node(t("orders"), _id("order", "o_orderkey"), "Function", F.col("o_orderkey").cast("string"), F.concat(F.lit("orders/"), F.substring("o_orderpriority", 1, 1), F.lit("/order.py"))))
+    nodes = nodes.union(node(t("part"), _id("part", "p_partkey"), "Method", F.col("p_name"), F.concat(F.lit("parts/"), F.col("p_brand"), F.lit("/part.py"))))
+    edge = lambda df, kind, key, src, dst, sure: df.select(_id(kind, *key).alias("edge_id"), src.alias("src"), dst.alias("dst"), F.lit("CALLS").alias("type"), sure.alias("confidence"))
+    edges = edge(t("orders"), "PLACED", ["o_orderkey"], _id("customer", "o_custkey"), _id("order", "o_orderkey"), F.lit(None).cast("double"))
+    edges = edges.union(edge(t("lineitem"), "HAS_ITEM", ["l_orderkey", "l_linenumber"], _id("order", "l_orderkey"), _id("part", "l_partkey"), F.when(F.col("l_returnflag") == "R", 0.4).otherwise(0.5 + F.col("l_linenumber") / 100)))
+    return PropertyGraph.of(nodes, edges)
+
+
+def class_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Nations as classes that extend their suppliers, whose methods are the parts they supply.
+
+    Suppliers with a balance above 5,000 are classes, the others interfaces.
+    Nations' languages go round python, java and rust by key.
+    """
+    t = lambda name: _table(spark, sf_dir, name)
+    name = lambda c: F.col(c).alias("name")
+    lang = F.element_at(F.array(F.lit("python"), F.lit("java"), F.lit("rust")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    nodes = t("nation").select(_id("nation", "n_nationkey").alias("id"), F.lit("Class").alias("label"), name("n_name"), lang.alias("language"))
+    kind = F.when(F.col("s_acctbal") > 5000, "Class").otherwise("Interface")
+    nodes = nodes.union(t("supplier").select(_id("supplier", "s_suppkey"), kind, name("s_name"), F.lit(None)))
+    nodes = nodes.union(t("part").select(_id("part", "p_partkey"), F.lit("Method"), name("p_name"), F.lit(None)))
+    edges = t("supplier").select(_id("nation", "s_nationkey").alias("src"), _id("supplier", "s_suppkey").alias("dst"), F.lit("EXTENDS").alias("type"), F.col("s_suppkey").cast("int").alias("step"))
+    own = t("lineitem").select("l_suppkey", "l_partkey").distinct()
+    edges = edges.union(own.select(_id("supplier", "l_suppkey"), _id("part", "l_partkey"), F.lit("HAS_METHOD"), F.lit(None)))
+    return PropertyGraph.of(nodes, edges)
