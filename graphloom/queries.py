@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import graph_queries
 from .functions import text
 from .operators import search, traverse
 from .plans.cypher import cypher
@@ -15,6 +16,14 @@ from .sources.relational import relational_graph
 
 #: name: (Cypher, SQL)
 CYPHER: dict[str, tuple[str, str]] = {
+    "order_desc": ("MATCH (p:Part) WHERE p.size = 7 RETURN p.name AS name, p.price AS price ORDER BY p.price DESC", "SELECT p_name AS name, p_retailprice AS price FROM part WHERE p_size = 7"),
+    "order_multi": ("MATCH (p:Part) RETURN p.brand AS brand, id(p) AS id ORDER BY p.brand DESC, p.price, id(p) LIMIT 25", "SELECT p_brand AS brand, 'part:' || p_partkey AS id FROM part ORDER BY p_brand DESC, p_retailprice, 'part:' || p_partkey LIMIT 25"),
+    "skip_limit": ("MATCH (c:Customer) RETURN id(c) AS id ORDER BY id(c) SKIP 10 LIMIT 15", "SELECT 'customer:' || c_custkey AS id FROM customer ORDER BY id OFFSET 10 LIMIT 15"),
+    "topk_ties": ("MATCH (p:Part) RETURN id(p) AS id, p.size AS size ORDER BY p.size DESC, id(p) LIMIT 12", "SELECT 'part:' || p_partkey AS id, p_size AS size FROM part ORDER BY p_size DESC, id LIMIT 12"),
+    "name_contains": ("MATCH (s:Supplier) WHERE toLower(s.name) CONTAINS '5' RETURN s.name AS name", "SELECT s_name AS name FROM supplier WHERE lower(s_name) LIKE '%5%'"),
+    "fk_rollup_distinct": ("MATCH (c:Customer)-[:IN_NATION]->(n:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS region, count(DISTINCT c.segment) AS segments, count(c) AS n", "SELECT r_name AS region, count(DISTINCT c_mktsegment) AS segments, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1"),
+    "edge_rollup_count": ("MATCH (o:Order)-[:SUPPLIED_BY]->(s:Supplier) RETURN s.name AS name, count(o) AS n", "SELECT s_name AS name, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY s_suppkey, s_name"),
+    "fn_coalesce": ("MATCH (n:Order) WHERE n.total > 100000 RETURN id(n) AS id, coalesce(n.brand, n.priority, 'none') AS v", "SELECT 'order:' || o_orderkey AS id, o_orderpriority AS v FROM orders WHERE o_totalprice > 100000"),
     "segment_orders": ("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.segment AS seg, count(o) AS n ORDER BY n DESC", "SELECT c_mktsegment AS seg, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
     "node_scan_label": ("MATCH (n:Nation) RETURN n.name AS name", "SELECT n_name AS name FROM nation"),
     "node_lookup_id": ("MATCH (c:Customer) WHERE id(c) = 'customer:7' RETURN c.name AS name, c.segment AS seg", "SELECT c_name AS name, c_mktsegment AS seg FROM customer WHERE c_custkey = 7"),
@@ -183,5 +192,6 @@ def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
     return run
 
 
-QUERIES = {n: _ready(_cypher(c)) for n, (c, _) in CYPHER.items()} | {n: _ready(q) for n, (q, _) in OTHERS.items()}
-ORACLE_SQL = {n: s for n, (_, s) in CYPHER.items()} | {n: s for n, (_, s) in OTHERS.items()}
+_PLAIN = OTHERS | graph_queries.ALL
+QUERIES = {n: _ready(_cypher(c)) for n, (c, _) in CYPHER.items()} | {n: _ready(q) for n, (q, _) in _PLAIN.items()}
+ORACLE_SQL = {n: s for n, (_, s) in CYPHER.items()} | {n: s for n, (_, s) in _PLAIN.items() if s}

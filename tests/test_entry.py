@@ -36,6 +36,8 @@ def test_core_queries_match_their_sql(spark):
     for t in os.listdir(DATA):
         db.sql(f"create view {t.split('.')[0]} as select * from '{DATA}/{t}'")
     for name, query in core.QUERIES.items():
+        if name not in core.ORACLE_SQL:
+            continue
         df = query(spark, DATA)
         cols = sorted(df.columns)
         got = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
