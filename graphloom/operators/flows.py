@@ -68,28 +68,35 @@ def starts(graph: PropertyGraph, tests: bool = False) -> DataFrame:
 
 
 def _advance(depth: int, branch: int):
-    """One level of all flows: takes a flow's steps and candidates, returns its new steps.
+    """One level of all flows: turns a flow's steps and candidates into its new steps.
 
+    Rows come by flow, its steps first, then its candidates by parent and rank.
     The budget of a node counts only children that are new to its flow, so the
-    choice runs through a level's nodes in their order.
+    choice runs through a level's nodes in their order. One flow's steps are
+    held at a time.
     """
     budget = 2 * branch if depth == 0 else branch
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        seen = set(rows.loc[rows["to"].isna(), "node"])
-        near = rows[rows["to"].notna()].sort_values(["pos", "confidence", "to"], ascending=[True, False, True])
-        out, at, used = [], None, 0
-        last = int(rows["pos"].max())
-        for pos, to in zip(near["pos"], near["to"]):
-            if pos != at:
-                at, used = pos, 0
-            if used < budget and to not in seen:
-                seen.add(to)
-                used += 1
-                out.append(to)
-        found = pd.DataFrame({"node": pd.Series(out, dtype=object), "pos": range(last + 1, last + 1 + len(out)), "depth": depth + 1})
-        found.insert(0, "flow", pd.Series([rows["flow"].iloc[0]] * len(out), dtype=object))
-        return found
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flow, seen, last, at, used = None, set(), 0, None, 0
+        for rows in batches:
+            out = []
+            for f, node, pos, new in zip(rows["flow"], rows["node"], rows["pos"], rows["new"]):
+                if f != flow:
+                    flow, seen, last, at = f, set(), 0, None
+                if not new:
+                    seen.add(node)
+                    last = max(last, pos)
+                    continue
+                if pos != at:
+                    at, used = pos, 0
+                if used < budget and node not in seen:
+                    seen.add(node)
+                    used += 1
+                    last += 1
+                    out.append((f, node, last, depth + 1))
+            if out:
+                yield pd.DataFrame(out, columns=["flow", "node", "pos", "depth"])
 
     return run
 
@@ -111,12 +118,13 @@ def trace(graph: PropertyGraph, begin: DataFrame, depth: int = DEPTH, branch: in
     levels = [_written(begin.select(F.col("id").alias("flow"), F.col("id").alias("node"), F.lit(1).alias("pos"), F.lit(0).alias("depth")).distinct())]
     for k in range(depth):
         front = levels[-1]
-        near = front.join(steps, F.col("node") == F.col("src")).select("flow", "node", "pos", "to", "confidence")
+        near = front.join(steps, F.col("node") == F.col("src")).select("flow", F.col("to").alias("node"), "pos", "confidence", F.lit(True).alias("new"))
         known = levels[0]
         for level in levels[1:]:
             known = known.union(level)
-        known = known.join(front.select("flow").distinct(), "flow", "left_semi").select("flow", "node", "pos", F.lit(None).cast("string").alias("to"), F.lit(None).cast("double").alias("confidence"))
-        new = near.union(known).groupBy("flow").applyInPandas(_advance(k, branch), "flow string, node string, pos int, depth int")
+        known = known.join(front.select("flow").distinct(), "flow", "left_semi").select("flow", "node", "pos", F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("new"))
+        ordered = near.union(known).repartition("flow").sortWithinPartitions("flow", "new", "pos", F.desc("confidence"), "node")
+        new = ordered.mapInPandas(_advance(k, branch), "flow string, node string, pos int, depth int")
         level = _written(new)
         if level.isEmpty():
             break
