@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,16 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{Nd}_]+"), lambda w: w != "")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once a row.
+
+    The optimizer copies a projected column into each lambda that names it,
+    where it would be worked out for every element; a lambda's own variable
+    isn't copied.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def bm25(docs: DataFrame, query: list[str], id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Score of each document that holds a query word: id, score.
 
@@ -20,9 +34,9 @@ def bm25(docs: DataFrame, query: list[str], id_col: str = "id", text_col: str =
     """
     terms = list(dict.fromkeys(w.lower() for w in query))
     ws = words(F.coalesce(F.col(text_col), F.lit("")))
-    times = lambda t: F.size(F.filter("w", lambda x: x == F.lit(t)))
-    tf = [times(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = docs.select(F.col(id_col).alias("id"), ws.alias("w")).select("id", F.size("w").alias("dl"), *tf)
+    times = lambda w, t: F.size(F.filter(w, lambda x: x == F.lit(t)))
+    counts = once(ws, lambda w: F.struct(F.size(w).alias("dl"), *[times(w, t).alias(f"tf{i}") for i, t in enumerate(terms)]))
+    rows = docs.select(F.col(id_col).alias("id"), counts.alias("c")).select("id", "c.*")
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -34,12 +48,19 @@ def bm25(docs: DataFrame, query: list[str], id_col: str = "id", text_col: str =
 
 
 def phrase(docs: DataFrame, query: list[str], id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Documents with the words one after another: id and number of times."""
-    n = len(query)
+    """Documents with the words one after another: id and number of times.
+
+    A query of no words finds none.
+    """
+    if not query:
+        return docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("times")).filter("false")
     ws = words(F.coalesce(F.col(text_col), F.lit("")))
-    same = lambda i: F.forall(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get(F.col("w"), (i + k).cast("int")) == F.get(F.array(*map(F.lit, query)), k))
-    starts = F.when(F.size("w") >= n, F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), same)).otherwise(F.array().cast("array<int>"))
-    return docs.select(F.col(id_col).alias("id"), ws.alias("w")).select("id", F.size(starts).cast("long").alias("times")).filter("times > 0")
+
+    def starts(w: Column) -> Column:
+        at = lambda x, i: reduce(and_, [F.coalesce(F.get(w, i + k), F.lit("")) == t for k, t in enumerate(query)])
+        return F.size(F.filter(w, at))
+
+    return docs.select(F.col(id_col).alias("id"), once(ws, starts).cast("long").alias("times")).filter("times > 0")
 
 
 def reciprocal_rank_fusion(lists: DataFrame) -> DataFrame:
