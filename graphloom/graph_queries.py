@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import text
-from .operators import classes, communities, flows, ranking, resolve, search, traverse
+from .functions import distance, text
+from .operators import classes, communities, embedding, flows, modules, ranking, resolve, search, traverse
+from .operators.graph import PropertyGraph
+from .sources import files
 from .sources.relational import call_graph, class_graph, relational_graph
 
 SIGN_IN = "login session of a request"
@@ -165,11 +167,81 @@ def context_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.context(g, g.nodes.filter("id = 'order:7'").select("id")).select("section", "id")
 
 
+def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits between a nation's and its region's name."""
+    n = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select("n_name", distance.edit_distance(F.col("n_name"), F.col("r_name")).cast("long").alias("edits"))
+
+
+def skipped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files in folders by size, with endings by brand."""
+    name = F.concat(F.lower(F.regexp_replace("p_name", " ", "_")), F.element_at(F.array(*map(F.lit, [".min.js", ".go", "_gen.go", ".PNG", ".py"])), F.col("p_partkey").cast("int") % 5 + 1))
+    path = F.concat(F.when(F.col("p_size") % 7 == 0, "vendor/").otherwise("src/"), name)
+    p = _table(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+    return p.select("p_partkey", files.is_skipped(F.col("path")).alias("skipped"), files.language(F.col("path")).alias("language"))
+
+
+def git_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "git@code.example:").otherwise("https://code.example/"), F.lit("team/"), F.col("s_suppkey").cast("string"), F.lit(".git"))
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", files.git_import_path(url).alias("path"))
+
+
+def cat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines 2 to 4 of every document."""
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("filePath"), F.col("text").alias("content"))
+    return files.cat(d, "2-4").select("filePath", "content", "lineCount")
+
+
+def embed_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the trade's calls, names of an even length being exported."""
+    g = call_graph(spark, sf_dir)
+    nodes = g.nodes.withColumn("isExported", F.length("name") % 2 == 0)
+    return embedding.priorities(PropertyGraph(nodes, g.edges))
+
+
+def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.texts(call_graph(spark, sf_dir)).select("id", "hash")
+
+
+def stale_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a stored vector, or whose text differs from the one stored."""
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    stored = d.filter("id % 3 > 0").select("id", F.sha2(F.when(F.col("id") % 3 == 1, F.col("text")).otherwise(""), 256).alias("hash"))
+    return embedding.stale(d.select("id", F.sha2("text", 256).alias("hash")), stored).select("id", "why")
+
+
+def _trade_modules(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Segments, priorities and brands as modules of the trade's calls."""
+    t = lambda name: _table(spark, sf_dir, name)
+    of = lambda df, kind, key, by: df.select(F.concat(F.lit(f"{kind}:"), F.col(key).cast("string")).alias("src"), F.col(by).alias("module"))
+    m = of(t("customer"), "customer", "c_custkey", "c_mktsegment").union(of(t("orders"), "order", "o_orderkey", "o_orderpriority")).union(of(t("part"), "part", "p_partkey", "p_brand"))
+    m = m.withColumn("dst", F.concat(F.lit("module:"), "module"))
+    edges = m.select(F.concat(F.lit("member:"), "src").alias("edge_id"), "src", "dst", F.lit("MEMBER_OF").alias("type"))
+    return call_graph(spark, sf_dir).add(m.select(F.col("dst").alias("id"), F.lit("Community").alias("label"), F.col("module").alias("name")).distinct(), edges)
+
+
+def module_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.between(_trade_modules(spark, sf_dir))
+
+
+def module_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.pages(_trade_modules(spark, sf_dir))
+
+
 _FILE = "'b/' || p_brand || '/' || p_type || '.py'"
 _COS = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {}))"
 
 #: name: (query, SQL or None)
 ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "edit_distance": (edit_distance, "SELECT n_name, damerau_levenshtein(n_name, r_name)::BIGINT AS edits FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "skipped_paths": (skipped_paths, "SELECT p_partkey, p_size % 7 = 0 OR p_partkey % 5 IN (0, 2, 3) AS skipped, CASE p_partkey % 5 WHEN 0 THEN 'javascript' WHEN 1 THEN 'go' WHEN 2 THEN 'go' WHEN 3 THEN '' ELSE 'python' END AS language FROM part"),
+    "git_addresses": (git_addresses, "SELECT s_suppkey, 'code.example/team/' || s_suppkey AS path FROM supplier"),
+    "cat_lines": (cat_lines, "WITH d AS (SELECT doc_id::VARCHAR AS filePath, text, str_split(text, chr(10)) AS l FROM documents) SELECT filePath, array_to_string(l[least(2, len(l)):least(4, len(l))], chr(10)) AS content, (len(l) - CASE WHEN text = '' OR text LIKE '%' || chr(10) THEN 1 ELSE 0 END)::BIGINT AS lineCount FROM d"),
+    "embed_priority": (embed_priority, "WITH e AS (SELECT 'customer:' || o_custkey AS a, 'order:' || o_orderkey AS b FROM orders UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey FROM lineitem), g AS (SELECT id, count(*) AS d FROM (SELECT a AS id FROM e UNION ALL SELECT b FROM e) GROUP BY 1), n AS (SELECT 'customer:' || c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 'order:' || o_orderkey, o_orderkey::VARCHAR FROM orders UNION ALL SELECT 'part:' || p_partkey, p_name FROM part), x AS (SELECT n.id, length(name) % 2 = 0 AS p, coalesce(d, 0) AS d FROM n LEFT JOIN g ON g.id = n.id) SELECT id, CASE WHEN p AND d >= 5 THEN 1 WHEN p AND d >= 2 THEN 2 ELSE 3 END AS priority, p OR d >= 3 AS embed FROM x"),
+    "embedding_texts": (embedding_texts, None),
+    "stale_vectors": (stale_vectors, "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'missing' ELSE 'changed' END AS why FROM documents WHERE doc_id % 3 = 0 OR (doc_id % 3 = 2 AND coalesce(text, '') <> '')"),
+    "module_links": (module_links, "SELECT c_mktsegment AS source, o_orderpriority AS target, count(DISTINCT (c_name, o_orderkey)) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2 UNION ALL SELECT o_orderpriority, p_brand, count(DISTINCT (o_orderkey, p_name)) FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2"),
+    "module_pages": (module_pages, None),
     "components": (components, "SELECT 'turn:' || conv_id || '-' || turn AS id, min('turn:' || conv_id || '-' || turn) OVER (PARTITION BY conv_id) AS component FROM conversations"),
     "call_graph_projection": (call_graph_projection, "WITH e AS (SELECT 'customer:' || o_custkey AS a, 'order:' || o_orderkey AS b, 1.0::DOUBLE AS w FROM orders UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey, CASE WHEN l_returnflag = 'R' THEN 0.4 ELSE 0.5 + l_linenumber / 100 END FROM lineitem), b AS (SELECT * FROM e UNION ALL SELECT b, a, w FROM e) SELECT a AS src, b AS dst, round(sum(w), 4) AS w FROM b GROUP BY 1, 2"),
     "entry_points": (entry_points, "SELECT 'customer:' || c_custkey AS id FROM customer UNION ALL SELECT 'part:' || p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)"),
