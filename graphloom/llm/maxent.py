@@ -139,6 +139,8 @@ def probabilities(w: Weights, own: np.ndarray, rows: np.ndarray, inner: np.ndarr
 
 def _scatter(target: np.ndarray, grads: np.ndarray, sums: np.ndarray, used: np.ndarray, index: np.ndarray, rate: float) -> None:
     """One AdaGrad step on the rows named by ``index``."""
+    # Two-byte row numbers are sorted by radix.
+    index = index.astype(np.min_scalar_type(len(target)))
     order = np.argsort(index, kind="stable")
     at = index[order]
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
@@ -150,20 +152,18 @@ def _scatter(target: np.ndarray, grads: np.ndarray, sums: np.ndarray, used: np.n
 
 
 def learn(w: Weights, codes: np.ndarray, starts: np.ndarray, state: dict, rate: float = 0.12) -> None:
-    """Steps over a run of texts; ``state`` keeps sums of squares and uses.
-
-    Every step's gradient goes to one half of the feature groups, in turns.
-    """
+    """Steps over a run of texts; ``state`` keeps sums of squares and uses."""
     own, rows, inner = features(codes, starts)
-    for turn, at in enumerate(range(0, len(codes), STEP)):
+    for at in range(0, len(codes), STEP):
         part = slice(at, at + STEP)
         p, common, q = probabilities(w, own[part], rows[part], inner[part], codes[part])
         p[np.arange(len(p)), own[part]] -= 1
-        for k in range(turn % 2, rows.shape[1], 2):
+        for k in range(rows.shape[1]):
             _scatter(w.outer, p, state["outer"], state["outer_used"], rows[part, k], rate)
         if len(common):
             q[np.arange(len(q)), codes[part][common] % PER_CLASS] -= 1
-            _scatter(w.inner, q, state["inner"], state["inner_used"], inner[part][common, turn % 2], rate)
+            for k in range(inner.shape[1]):
+                _scatter(w.inner, q, state["inner"], state["inner_used"], inner[part][common, k], rate)
 
 
 def score_codes(w: Weights, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -235,6 +235,23 @@ def test_model_is_a_distribution_and_base_scores_are_exact(spark):
 # Suffixes
 
 
+def test_one_step_trains_every_feature_group():
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, maxent.COMMON + 500, 2000)
+    starts = np.zeros(len(codes), bool)
+    starts[::50] = True
+    w = maxent.Weights.initial(np.ones(maxent.CLASSES), np.ones(maxent.COMMON))
+    state = {"outer": np.full_like(w.outer, 1.0), "inner": np.full_like(w.inner, 1.0), "outer_used": np.zeros(maxent.ROWS, np.int64), "inner_used": np.zeros(maxent.IN_ROWS, np.int64)}
+    maxent.learn(w, codes, starts, state)
+    edges = np.cumsum([0, maxent.ONE, maxent.TWO, maxent.BOTH, maxent.PAIR])
+    for a, b in zip(edges, edges[1:]):
+        assert state["outer_used"][a:b].sum() == len(codes) and np.abs(w.outer[a:b]).sum() > 0
+    cut, common = maxent.IN_ONE * maxent.COMMON_CLASSES, (codes < maxent.COMMON).sum()
+    end = maxent.IN_ROWS - maxent.COMMON_CLASSES
+    for a, b in ((0, cut), (cut, end)):
+        assert state["inner_used"][a:b].sum() == common and np.abs(w.inner[a:b]).sum() > 0
+
+
 def brute_removed(texts):
     raw = [(t or "").encode() for t in texts]
     first: dict[bytes, int] = {}
