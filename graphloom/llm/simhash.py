@@ -152,7 +152,20 @@ def link_run(fps: np.ndarray, distance: int) -> np.ndarray:
     return parent
 
 
-def _links(distance: int, run_limit: int, level: int, direct: bool):
+def apart(fps: np.ndarray, comps: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices i > j of a run's pairs within the distance that differ in component, in blocks."""
+    n = len(fps)
+    step = max(1, (1 << 20) // n)
+    for a in range(0, n, step):
+        near = (popcount(fps[a : a + step, None] ^ fps[None, :]) <= distance) & (comps[a : a + step, None] != comps[None, :])
+        i, j = np.nonzero(near)
+        i += a
+        keep = j < i
+        if keep.any():
+            yield i[keep], j[keep]
+
+
+def _links(distance: int, run_limit: int, level: int, direct: bool, split: bool):
     """Edges inside runs of equal keys; long runs come back under second keys."""
     masks = dict(variants(distance))
 
@@ -161,28 +174,32 @@ def _links(distance: int, run_limit: int, level: int, direct: bool):
         return [(i, m) for i, m in enumerate(_mask(s) & ~(1 << p) for s in segments(rest, distance) for p in s)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []  # of the open run: key number, value, second number, second value, fps, reps
+        held: list[tuple] = []  # of the open run: fps, reps, components
         size, long_run = 0, False
 
-        def spill(key_no, fp, rep) -> pd.DataFrame:
-            parts = [pd.DataFrame({"a": rep, "b": rep, "key_no": key_no, "key": fp & np.int64(_signed(masks[key_no])), "no2": i, "key2": fp & np.int64(_signed(m)), "fp": fp}) for i, m in second(key_no)]
+        def spill(key_no, fp, rep, comp) -> pd.DataFrame:
+            parts = [pd.DataFrame({"a": rep, "b": comp, "key_no": key_no, "key": fp & np.int64(_signed(masks[key_no])), "no2": i, "key2": fp & np.int64(_signed(m)), "fp": fp}) for i, m in second(key_no)]
             return pd.concat(parts)
 
-        def close(fp, rep) -> pd.DataFrame | None:
+        def close(fp, rep, comp) -> Iterator[pd.DataFrame]:
             if len(fp) < 2:
-                return None
+                return
             order = np.argsort(rep, kind="stable")
-            first = (first_link if direct else link_run)(fp[order].view(np.uint64), distance)
-            a, b = rep[order], rep[order][first]
-            moved = a != b
-            if not moved.any():
-                return None
-            return pd.DataFrame({"a": a[moved], "b": b[moved], "key_no": -1, "key": np.int64(0), "no2": -1, "key2": np.int64(0), "fp": np.int64(0)})
+            fp, rep, comp = fp[order].view(np.uint64), rep[order], comp[order]
+            if split:
+                found = ((rep[i], rep[j]) for i, j in apart(fp, comp, distance))
+            else:
+                first = rep[(first_link if direct else link_run)(fp, distance)]
+                found = [(rep[rep != first], first[rep != first])]
+            for a, b in found:
+                if len(a):
+                    yield pd.DataFrame({"a": a, "b": b, "key_no": -1, "key": np.int64(0), "no2": -1, "key2": np.int64(0), "fp": np.int64(0)})
 
         open_key = None
         for batch in batches:
             keys = batch[["key_no", "key", "no2", "key2"]].to_numpy()
             fp, rep = batch["fp"].to_numpy(), batch["rep"].to_numpy()
+            comp = batch["comp"].to_numpy() if split else rep
             starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
             ends = np.append(starts[1:], len(keys))
             # Runs of one row inside the batch can't link; only its ends may go on.
@@ -191,21 +208,17 @@ def _links(distance: int, run_limit: int, level: int, direct: bool):
                 key = tuple(keys[s])
                 if key != open_key:
                     if held and not long_run:
-                        out = close(*(np.concatenate(x) for x in zip(*held)))
-                        if out is not None:
-                            yield out
+                        yield from close(*(np.concatenate(x) for x in zip(*held)))
                     open_key, held, size, long_run = key, [], 0, False
                 if level == 1 and (long_run or size + e - s > run_limit):
-                    for f, r in [*held, (fp[s:e], rep[s:e])]:
-                        yield spill(int(key[0]), f, r)
+                    for part in [*held, (fp[s:e], rep[s:e], comp[s:e])]:
+                        yield spill(int(key[0]), *part)
                     held, long_run = [], True
                 else:
-                    held.append((fp[s:e], rep[s:e]))
+                    held.append((fp[s:e], rep[s:e], comp[s:e]))
                     size += e - s
         if held and not long_run:
-            out = close(*(np.concatenate(x) for x in zip(*held)))
-            if out is not None:
-                yield out
+            yield from close(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
@@ -213,21 +226,23 @@ def _links(distance: int, run_limit: int, level: int, direct: bool):
 _EDGE = "a long, b long, key_no int, key long, no2 int, key2 long, fp long"
 
 
-def edges(reps: DataFrame, distance: int = 3, run_limit: int = 4096, direct: bool = False) -> DataFrame:
+def edges(reps: DataFrame, distance: int = 3, run_limit: int = 4096, direct: bool = False, split: bool = False) -> DataFrame:
     """Edges (a, b), b < a, that span the links among distinct fingerprints.
 
     With ``direct`` each edge is a link itself: to the smallest name of a run
-    within the distance.
+    within the distance. With ``split`` all links between rows of different
+    components are edges; ``reps`` then has comp, the component, too.
 
     ``reps`` has fp and rep, a long that names the fingerprint.
     """
     n = shuffle_partitions(reps.sparkSession)
     key = F.explode(F.array(*[F.struct(F.lit(i).alias("key_no"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in variants(distance)])).alias("v")
-    first = reps.select("fp", "rep", key).select(F.col("v.key_no"), F.col("v.key"), F.lit(-1).alias("no2"), F.lit(0).cast("long").alias("key2"), "fp", "rep")
+    comp = ["comp"] if split else []
+    first = reps.select("fp", "rep", *comp, key).select(F.col("v.key_no"), F.col("v.key"), F.lit(-1).alias("no2"), F.lit(0).cast("long").alias("key2"), "fp", "rep", *comp)
     sort = ["key_no", "key", "no2", "key2"]
-    one = materialize(first.repartition(n, *sort).sortWithinPartitions(*sort).mapInPandas(_links(distance, run_limit, 1, direct), _EDGE), "simhash-runs")
-    more = one.filter("no2 >= 0").select("key_no", "key", "no2", "key2", "fp", F.col("a").alias("rep"))
-    two = more.repartition(n, *sort).sortWithinPartitions(*sort).mapInPandas(_links(distance, run_limit, 2, direct), _EDGE)
+    one = materialize(first.repartition(n, *sort).sortWithinPartitions(*sort).mapInPandas(_links(distance, run_limit, 1, direct, split), _EDGE), "simhash-runs")
+    more = one.filter("no2 >= 0").select("key_no", "key", "no2", "key2", "fp", F.col("a").alias("rep"), *[F.col("b").alias(c) for c in comp])
+    two = more.repartition(n, *sort).sortWithinPartitions(*sort).mapInPandas(_links(distance, run_limit, 2, direct, split), _EDGE)
     return one.filter("no2 < 0").select("a", "b").union(two.select("a", "b")).distinct()
 
 
@@ -298,19 +313,36 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Exact copies are grouped by a hash of the text. Fingerprints of content
     words, linked at ``distance`` bits through the deletion variants, propose
     pairs; a pair links if the Jaccard similarity of its ``shingle``-word
-    shingles is at least ``similarity``. A fingerprint's texts are compared
-    with its smallest id. Rows without id stay.
+    shingles is at least ``similarity``. First a fingerprint's texts are compared
+    with its smallest id and each fingerprint with the first of its run; then
+    all texts whose fingerprints link and that are still in different
+    components, so that the components are those of all linked pairs. Rows
+    without id stay.
     """
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hashed = texts.select(F.xxhash64(F.coalesce("text", F.lit("")), F.octet_length("text")).alias("copy"), "id")
     firsts = materialize(hashed.groupBy("copy").agg(F.min("id").alias("first")), "copies")
     fps = materialize(fingerprints(texts, "id", "text", content=True), "content-fingerprints")
-    reps = materialize(fps.join(firsts.select(F.col("first").alias("id")), "id", "left_semi").groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
-    same = fps.join(firsts.select(F.col("first").alias("id")), "id", "left_semi").join(reps, "fp").select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a != b")
+    own = fps.join(firsts.select(F.col("first").alias("id")), "id", "left_semi")
+    reps = materialize(own.groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
+    same = own.join(reps, "fp").select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a != b")
     proposed = materialize(same.union(edges(reps, distance, direct=True)).distinct(), "near-pairs")
-    ids = proposed.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = materialize(texts.dropDuplicates(["id"]).join(ids, "id", "left_semi"), "near-texts")
-    found = components(materialize(similar(proposed, some, shingle, similarity), "near-links"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        some = materialize(texts.dropDuplicates(["id"]).join(ids, "id", "left_semi"), "near-texts")
+        return materialize(similar(pairs, some, shingle, similarity), "near-links")
+
+    links = confirmed(proposed)
+    found = components(links)
+    placed = materialize(own.join(found, own["id"] == found["name"], "left").select("id", "fp", F.coalesce("component", "id").alias("comp")).distinct(), "near-components")
+    groups = materialize(placed.groupBy("fp", "comp").agg(F.min("id").alias("rep")), "near-groups")
+    members = materialize(placed.join(groups, ["fp", "comp"]).select("rep", "id"), "near-members")
+    left = members.select(F.col("rep").alias("_a"), F.col("id").alias("a"))
+    right = members.select(F.col("rep").alias("_b"), F.col("id").alias("b"))
+    apart_ = edges(groups, distance, split=True).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    rest = materialize(apart_.join(left, "_a").join(right, "_b").select("a", "b"), "near-pairs")
+    found = components(links.union(confirmed(rest)))
     near = found.filter("name != component").select(F.col("name").alias("_gone"))
     copies = hashed.join(firsts, "copy").filter("id != first").select(F.col("id").alias("_gone"))
     gone = near.union(copies).distinct()

@@ -335,6 +335,37 @@ def test_near_duplicates_and_edges(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_keep_one_against_all_pairs(spark):
+    rng = random.Random(7)
+    texts = []
+    for g in range(6):
+        base = [f"word{g}x{i}" for i in range(60)]
+        for _ in range(3):  # the same content words in another order: one fingerprint, low Jaccard
+            order = rng.sample(base, len(base))
+            texts.append(" ".join(order))
+            for k in (20, 40):
+                texts.append(" ".join([*order[:k], "a", *order[k:]]))
+            texts.append(" ".join(["other" + str(g), *order[1:]]))
+    rng.shuffle(texts)
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    fps = [simhash.fingerprint(t, content=True) for t in texts]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (fps[i] ^ fps[j]).bit_count() <= 5 and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    want = [i for i in range(len(texts)) if root(i) == i]
+    assert sorted(r["doc_id"] for r in simhash.keep_one(frame(spark, texts)).collect()) == want
+
+
 # Media
 
 
