@@ -221,35 +221,65 @@ def test_model_is_a_distribution_and_base_scores_are_exact(spark):
         assert got[i]["score"] < 0
     few = maxent.score_texts(docs, heavy=3)
     assert {r["doc_id"]: r["n_known"] for r in few.collect()} == {i: r["n_known"] for i, r in got.items()}
-    # Over all words after one context, and one unknown word a hashed class.
+    # Over all words after one context, and one unknown word a shared slot.
     _, vocabulary, w = maxent.fit(docs)
-    codes = np.array([maxent.code_of(t, vocabulary.common) for t in counts])
+    codes = np.array([maxent.code_of(t, vocabulary.own, vocabulary.class_of_unit) for t in counts])
     total = 0.0
     for code, token in zip(codes, counts):
         p = maxent.score_codes(w, np.array([7, code]), np.array([True, False]))[1]
-        tail = code >= maxent.COMMON
-        total += 10 ** (p + (vocabulary.base(counts[token]) - vocabulary.base(0) - vocabulary.class_mass[(code - maxent.COMMON) % maxent.HASHED_CLASSES] if tail else 0))
-    assert 0 < total <= 1 + 1e-6
-
-
-# Suffixes
-
-
-def test_one_step_trains_every_feature_group():
+        place = code % maxent.PLACES
+        shared = place % maxent.SLOTS >= maxent.OWN
+        total += 10 ** (p + (vocabulary.base(counts[token]) - vocabulary.base(0) - vocabulary.mass[place] if shared else 0))
+    assert 0 < total <= 1 + 1e-5
+    assert maxent.score_texts(frame(spark, [])).count() == 0
+    # Repeated rows and null ids keep their rows and scores.
+    twice = docs.filter("doc_id < 3").union(docs.filter("doc_id < 3")).union(docs.filter("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
+    again = maxent.score(twice, *maxent.fit(docs)).collect()
+    assert sorted(str(r["doc_id"]) for r in again) == ["0", "0", "1", "1", "2", "2", "None"]
+    assert all(r["n_tokens"] == len(maxent.tokens_of(texts[5 if r["doc_id"] is None else r["doc_id"]])) for r in again)
+
+
+def test_scores_against_a_plain_softmax():
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, maxent.PLACES, 60) + maxent.PLACES * rng.integers(0, 50, 60)
+    starts = np.zeros(60, bool)
+    starts[[0, 1, 20]] = True
+    w = maxent.Weights(rng.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32), rng.normal(size=(maxent.IN_ROWS, maxent.SLOTS)).astype(np.float32))
+    got = maxent.score_codes(w, codes, starts)
+    mix = lambda x, size: (((int(x) + 1) * 0x9E3779B97F4A7C15) % 2**64) >> (65 - size.bit_length())
+    for i, code in enumerate(codes.tolist()):
+        at = max(j for j in range(i + 1) if starts[j])
+        one = int(codes[i - 1]) if i - 1 >= at else maxent.START
+        two = int(codes[i - 2]) if i - 2 >= at else maxent.START
+        kind = lambda c: maxent.CLASSES if c == maxent.START else c % maxent.PLACES // maxent.SLOTS
+        k, slot = kind(code), code % maxent.SLOTS
+        h = mix(one, maxent.ONE)
+        z = w.outer[[h, maxent.ONE + mix(two, maxent.TWO), maxent.ONE + maxent.TWO + mix(one * 1_000_003 + two, maxent.BOTH), maxent.ONE + maxent.TWO + maxent.BOTH + kind(one) * (maxent.CLASSES + 1) + kind(two), -1]].astype(float).sum(axis=0)
+        y = w.inner[[k * maxent.IN_CLASS + h % maxent.IN_ONE, k * maxent.IN_CLASS + maxent.IN_ONE + kind(one), (k + 1) * maxent.IN_CLASS - 1]].astype(float).sum(axis=0)
+        want = z[k] - math.log(np.exp(z).sum()) + y[slot] - math.log(np.exp(y).sum())
+        assert got[i] == pytest.approx(want / math.log(10), abs=1e-4)
+
+
+def test_a_thousand_tokens_train_every_feature_group():
     rng = np.random.default_rng(1)
-    codes = rng.integers(0, maxent.COMMON + 500, 2000)
+    codes = rng.integers(0, 20 * maxent.PLACES, 1000)
     starts = np.zeros(len(codes), bool)
     starts[::50] = True
-    w = maxent.Weights.initial(np.ones(maxent.CLASSES), np.ones(maxent.COMMON))
+    w = maxent.Weights.initial(np.ones(maxent.PLACES))
+    old = maxent.Weights(w.outer.copy(), w.inner.copy())
     state = {"outer": np.full_like(w.outer, 1.0), "inner": np.full_like(w.inner, 1.0), "outer_used": np.zeros(maxent.ROWS, np.int64), "inner_used": np.zeros(maxent.IN_ROWS, np.int64)}
+    before = maxent.score_codes(w, codes, starts).sum()
     maxent.learn(w, codes, starts, state)
-    edges = np.cumsum([0, maxent.ONE, maxent.TWO, maxent.BOTH, maxent.PAIR])
+    edges = np.cumsum([0, maxent.ONE, maxent.TWO, maxent.BOTH, maxent.PAIR, 1])
     for a, b in zip(edges, edges[1:]):
-        assert state["outer_used"][a:b].sum() == len(codes) and np.abs(w.outer[a:b]).sum() > 0
-    cut, common = maxent.IN_ONE * maxent.COMMON_CLASSES, (codes < maxent.COMMON).sum()
-    end = maxent.IN_ROWS - maxent.COMMON_CLASSES
-    for a, b in ((0, cut), (cut, end)):
-        assert state["inner_used"][a:b].sum() == common and np.abs(w.inner[a:b]).sum() > 0
+        assert state["outer_used"][a:b].sum() == len(codes) and np.abs(w.outer[a:b] - old.outer[a:b]).sum() > 0
+    of_class = np.arange(maxent.IN_ROWS) % maxent.IN_CLASS
+    for rows in (of_class < maxent.IN_ONE, (of_class >= maxent.IN_ONE) & (of_class < maxent.IN_CLASS - 1), of_class == maxent.IN_CLASS - 1):
+        assert state["inner_used"][rows].sum() == len(codes) and np.abs(w.inner[rows] - old.inner[rows]).sum() > 0
+    assert maxent.score_codes(w, codes, starts).sum() > before
+
+
+# Suffixes
 
 
 def brute_removed(texts):
