@@ -16,10 +16,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is used.
+    Only a local session may name none (tests): a temporary folder is used.
+    Elsewhere executors couldn't read the driver's folder, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -67,3 +70,11 @@ def by_hash(id_col: str, fraction: float, salt: int) -> Column:
     """True for about ``fraction`` of the ids; the same ids at each call."""
     h = F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(1_000_000))
     return h < F.lit(int(fraction * 1_000_000))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever its case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name

@@ -16,13 +16,17 @@ passage holds at least ``overlap`` of the item's shingles, or of both its
 question's and its answer's. The answer is an item's last line or, on one line,
 its last sentence; an item of one sentence is all question.
 
-The index is built for at most ``shard_items`` items at a time (a hash of the
-id deals larger benchmarks into shards), so what is broadcast has a bound; each
-shard is one pass over the texts.
-
-Null or wordless texts and items match nothing. Ties and repeated rows each
-give their own row for a pair of ids only once. Null ids are kept as null.
-Other columns are ignored. An empty table on either side gives an empty result.
+The index is built for at most ``shard_items`` items or ``shard_bytes`` of text
+at a time (a hash of id and text deals larger benchmarks into shards), so what
+is broadcast has a bound; each shard is one pass over the texts. Numbers of
+items, their mean length and document frequencies are those of all items, so
+shards don't change a score.
+
+Null or wordless texts and items match nothing. Repeated rows give a row for a
+pair of ids only once; a null id is an id here. ``clean`` decides by the text
+alone, so rows with null or repeated ids are judged one by one. Other columns
+are ignored or stay. An empty table on either side gives an empty result, or
+``docs`` as it is.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 EDGE = re.compile(r"^\W+|\W+$")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 CACHE = 200_000
@@ -91,20 +97,35 @@ class Index:
     longest: int
 
 
-def build_index(items: list[tuple], threshold: float, k1: float = 1.2, b: float = 0.75, block_items: int = 4) -> Index | None:
-    """Index (id, text) pairs; None if no item has a word."""
+@dataclass
+class Statistics:
+    """Number of items with words, their mean length, document frequencies."""
+
+    items: int
+    mean: float
+    frequencies: dict[str, int]
+
+
+def build_index(items: list[tuple], threshold: float, k1: float = 1.2, b: float = 0.75, block_items: int = 4, statistics: Statistics | None = None) -> Index | None:
+    """Index (id, text) pairs; None if no item has a word.
+
+    ``statistics`` of all items, where these are a part.
+    """
     parsed = [(key, words(text), *(words(x) for x in split_item(text or ""))) for key, text in items]
     parsed = sorted((x for x in parsed if x[1]), key=lambda x: (len(x[1]), str(x[0])))
     if not parsed:
         return None
     n, mean = len(parsed), sum(len(x[1]) for x in parsed) / len(parsed)
-    df = Counter(w for x in parsed for w in set(x[1]))
+    df: dict[str, int] = Counter(w for x in parsed for w in set(x[1]))
+    every = n
+    if statistics is not None:
+        every, mean, df = statistics.items, statistics.mean, {w: statistics.frequencies[w] for w in df}
     vocabulary = {w: i for i, w in enumerate(sorted(df))}
     terms, shares = [], []
     for _, ws, _, _ in parsed:
         tf = Counter(ws)
         own = sorted(tf, key=vocabulary.__getitem__)
-        impact = np.array([np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * (k1 + 1) / (tf[w] + k1 * (1 - b + b * len(ws) / mean)) for w in own])
+        impact = np.array([np.log(1 + (every - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * (k1 + 1) / (tf[w] + k1 * (1 - b + b * len(ws) / mean)) for w in own])
         terms.append(np.array([vocabulary[w] for w in own]))
         shares.append(impact / impact.sum())
     # Set aside the commonest terms as long as each item keeps terms that it
@@ -209,6 +230,24 @@ def search(index: Index, texts: list[np.ndarray], threshold: float, overlap: flo
     return found
 
 
+def _runs(texts: Iterator[tuple], number: _Words, limit: int = 2_000_000) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Keys and term numbers of texts with words, in runs of a bounded length."""
+    keys, found, size = [], [], 0
+    for key, text in texts:
+        tokens = (text or "").split()
+        ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+        ids = ids[ids != -2]
+        if len(ids):
+            keys.append(key)
+            found.append(ids)
+            size += len(ids)
+        if size > limit:
+            yield keys, found
+            keys, found, size = [], [], 0
+    if found:
+        yield keys, found
+
+
 def _pairs(docs: DataFrame, index: Index, threshold: float, overlap: float, item_type: str, id_col: str, text_col: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -225,19 +264,7 @@ def _pairs(docs: DataFrame, index: Index, threshold: float, overlap: float, item
             return pd.DataFrame(rows, columns=["id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"]).astype({"id": object, "item_id": object})
 
         for batch in batches:
-            keys, texts, size = [], [], 0
-            for key, text in zip(batch["id"], batch["text"]):
-                tokens = (text or "").split()
-                ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-                ids = ids[ids != -2]
-                if len(ids):
-                    keys.append(key)
-                    texts.append(ids)
-                    size += len(ids)
-                if size > 2_000_000:
-                    yield answer(keys, texts)
-                    keys, texts, size = [], [], 0
-            if texts:
+            for keys, texts in _runs(zip(batch["id"], batch["text"]), number):
                 yield answer(keys, texts)
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -246,17 +273,39 @@ def _pairs(docs: DataFrame, index: Index, threshold: float, overlap: float, item
     return picked.mapInPandas(run, schema)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.75, overlap: float = 0.8, shard_items: int = 20_000) -> DataFrame:
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, threshold: float, shard_items: int, shard_bytes: int) -> Iterator[Index]:
+    """Indexes over all items, each of a bounded part."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    rows, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = max(1, -(-rows // shard_items), -(-size // shard_bytes))
+    if shards == 1:
+        index = build_index([tuple(r) for r in items.collect()], threshold)
+        if index is not None:
+            yield index
+        return
+
+    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = [words(t) for t in batch["text"]]
+            seen = Counter(w for ws in own for w in set(ws))
+            # No word is empty: the empty one counts items and their words.
+            yield pd.DataFrame({"term": ["", *seen], "df": [sum(1 for ws in own if ws), *seen.values()], "n": [sum(map(len, own)), *[0] * len(seen)]})
+
+    table = materialize(items.mapInPandas(terms, "term string, df long, n long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n")), "benchmark-terms")
+    _, n, total = table.filter("term = ''").first()
+    for k in range(shards):
+        own = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k).collect()]
+        have = sorted({w for _, t in own for w in words(t)})
+        if have:
+            wanted = benchmark.sparkSession.createDataFrame([(w,) for w in have], "term string")
+            frequencies = {r["term"]: r["df"] for r in table.join(F.broadcast(wanted), "term", "left_semi").collect()}
+            yield build_index(own, threshold, statistics=Statistics(n, total / n, frequencies))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.75, overlap: float = 0.8, shard_items: int = 20_000, shard_bytes: int = 32 << 20) -> DataFrame:
     """One row for each pair of a text and a test item that it holds."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter(F.col("text").isNotNull())
     item_type = benchmark.schema[item_col].dataType.simpleString()
-    shards = max(1, -(-items.count() // shard_items))
-    parts = []
-    for k in range(shards):
-        own = items if shards == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(shards)) == k)
-        index = build_index([tuple(r) for r in own.collect()], threshold)
-        if index is not None:
-            parts.append(_pairs(docs, index, threshold, overlap, item_type, id_col, text_col))
+    parts = [_pairs(docs, index, threshold, overlap, item_type, id_col, text_col) for index in _indexes(benchmark, item_col, item_text_col, threshold, shard_items, shard_bytes)]
     if not parts:
         kind = docs.schema[id_col].dataType.simpleString()
         return docs.sparkSession.createDataFrame([], f"`{id_col}` {kind}, item_id {item_type}, score double, overlap double, question_overlap double, answer_overlap double")
@@ -265,7 +314,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return best.withColumnRenamed("id", id_col)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.75, overlap: float = 0.8, shard_items: int = 20_000, shard_bytes: int = 32 << 20) -> DataFrame:
     """Rows of ``docs`` that hold no test item; columns stay."""
-    gone = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    for index in _indexes(benchmark, item_col, item_text_col, threshold, shard_items, shard_bytes):
+        docs = docs.filter(_without(docs, index, threshold, overlap)(F.col(text_col)))
+    return docs
+
+
+def _without(docs: DataFrame, index: Index, threshold: float, overlap: float):
+    """A function of a text: true if it holds none of the index's items."""
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+
+    @F.pandas_udf("boolean")
+    def without(texts: pd.Series) -> pd.Series:
+        index = sent.value
+        number = _Words(index.vocabulary)
+        keep = np.ones(len(texts), bool)
+        for at, ids in _runs(enumerate(texts), number):
+            for d, *_ in search(index, ids, threshold, overlap):
+                keep[at[d]] = False
+        return pd.Series(keep)
+
+    return without

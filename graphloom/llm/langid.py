@@ -6,9 +6,9 @@ first: the first length of which any n-gram is known gives the vote, the mean
 of its n-grams' log frequencies.
 
 Learning takes a bounded sample of the labelled rows: at most ``train_docs``
-for each language, chosen by a hash of the id, and of these the ``top``
-commonest entries for each language and length, so the model has a proven size
-bound and is broadcast with the task. Prediction covers every whole text.
+for each language, chosen by a hash of the id. Every word and n-gram of the
+sample is an entry, so the sample bounds the model, which is broadcast with the
+task. Prediction covers every whole text.
 
 Null text and text without a letter give ``und`` with score 0. A text none of
 whose letters the model knows gets the commonest language. Ties go to the
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_fraction, by_hash
@@ -64,7 +64,7 @@ class Model:
         return []
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_docs: int = 3000, top: int = 20_000, longest: int = 5) -> Model:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_docs: int = 2000, longest: int = 5) -> Model:
     """Fit on at most about ``train_docs`` rows of each language."""
     sizes = {r[0]: r[1] for r in labelled.filter(F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()}
     langs = sorted(sizes)
@@ -91,21 +91,19 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
                 rows += [(lang, n, g, c) for n, table in own.items() for g, c in table.items()]
             yield pd.DataFrame(rows, columns=["lang", "n", "gram", "count"])
 
-    counts = sample.mapInPandas(count, "lang string, n int, gram string, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
-    best = Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram")
-    chosen = counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).toPandas()
-    at = {lang: i for i, lang in enumerate(langs)}
+    each = [F.sum(F.when(F.col("lang") == lang, F.col("count")).otherwise(0)).alias(f"c{i}") for i, lang in enumerate(langs)]
+    counts = sample.mapInPandas(count, "lang string, n int, gram string, count long").groupBy("n", "gram").agg(*each).toArrow()
+    lengths = counts["n"].to_numpy()
+    grams_ = counts["gram"].to_pylist()
+    of = np.stack([counts[f"c{i}"].to_numpy() for i in range(len(langs))], axis=1)
     tables: dict[int, dict[str, int]] = {n: {} for n in range(longest + 1)}
-    parts: list[np.ndarray] = []
-    for n, rows in chosen.groupby("n"):
-        raw: dict[str, np.ndarray] = {}
-        for lang, gram, c in zip(rows["lang"], rows["gram"], rows["count"]):
-            raw.setdefault(gram, np.zeros(len(langs)))[at[lang]] = c
-        counts_ = np.array(list(raw.values()))
-        used = sum(map(len, parts))
-        tables[int(n)] = {g: used + i for i, g in enumerate(raw)}
-        parts.append(np.log((counts_ + 0.5) / (counts_.sum(axis=0) + 0.5 * len(raw))))
-    votes = np.concatenate(parts) if parts else np.zeros((0, len(langs)))
+    votes = np.zeros((len(grams_), len(langs)), np.float32)
+    used = 0
+    for n in range(longest + 1):
+        at = sorted(np.flatnonzero(lengths == n).tolist(), key=grams_.__getitem__)
+        tables[n] = {grams_[i]: used + k for k, i in enumerate(at)}
+        votes[used : used + len(at)] = np.log((of[at] + 0.5) / (of[at].sum(axis=0) + 0.5 * max(1, len(at))))
+        used += len(at)
     prior = np.log(np.array([sizes[x] for x in langs], float) / sum(sizes.values()))
     return Model(langs, tables, votes, prior, longest)
 

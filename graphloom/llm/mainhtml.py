@@ -2,15 +2,15 @@
 
 Each page's containers are scored by the text that stands directly in them,
 less what is link text, with a share of the containers below. The page votes
-for its best containers, named by a generalised path of tags and classes
+for its best ``votes`` containers, named by a generalised path of tags and classes
 (digits become '#'); votes are summed for each host and path in Spark. Pages
-are then read again with their host's paths in order of votes: the first that
+are then read again with their host's first ``kept`` paths in order of votes: the first that
 the page has gives the text, from all of its containers on that path. A page
 with none of them uses its own best.
 
 Left out wherever they stand: scripts, styles, forms, menus, headers, footers,
-sidebars, notices, adverts and reader comments, by tag, role or a word of the
-class or id. Character references are decoded; block tags and line breaks
+sidebars, notices, adverts and reader comments, by tag, role or a class or id
+that names them. End tags that HTML lets out are implied. Character references are decoded; block tags and line breaks
 separate words, other tags don't.
 
 Null or empty pages give an empty text. A null or odd url belongs to the host
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 # Tags of HTML by what they do here.
-RAW = frozenset("script style noscript template svg iframe object textarea title xmp math canvas video audio".split())
+RAW = frozenset("script style noscript template svg iframe object textarea title xmp canvas video audio".split())
 SKIP = frozenset("head nav header footer aside form button select dialog menu fieldset".split())
 CONTAINERS = frozenset("html body div article main section td center".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -46,13 +46,30 @@ BOILERPLATE = frozenset(
     "modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promotion recommended related replies reply respond rss share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe taboola toolbar widget widgets".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
+#: Words before which a class says what its page has, not what it is.
+ABOUT = frozenset("has have with no not non without hide show is are uses after before below above until".split())
+# Tags whose end may be left out; what ends them, up to which tags.
+P_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
+ROW_PARTS, CELLS = frozenset(("tr", "td", "th")), frozenset(("td", "th"))
+IMPLIED = {
+    "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
+    "dt": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "dd": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "tr": (ROW_PARTS, frozenset(("table",))),
+    "tbody": (ROW_PARTS | {"thead", "tbody"}, frozenset(("table",))),
+    "td": (CELLS, frozenset(("tr", "table"))),
+    "th": (CELLS, frozenset(("tr", "table"))),
+    "option": (frozenset(("option",)), frozenset(("select", "datalist"))),
+}
+#: An end tag doesn't reach beyond these, save those of tables.
+WALLS = frozenset("table td th".split())
 #: Words that speak for a container.
 GOOD = frozenset("article articlebody body content entry main post story text".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-PART = re.compile(r"[a-z]+(?:-[a-z]+)?")
+#: One attribute after another, so that a name inside a value isn't taken for one.
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -69,22 +86,41 @@ class Node:
     pieces: list = field(default_factory=list)
 
 
-def _marks(attributes: str) -> tuple[str, set[str], str, bool]:
-    """Class text, words of class and id, role, hidden."""
-    classes, found, role, hidden = "", set(), "", False
+def boilerplate(name: str) -> bool:
+    """True if a class or id names what isn't the article.
+
+    The name as a whole, its first or its last part does so: 'sidebar-left',
+    'site_footer'; but not 'has-sidebar' or 'no-comments'.
+    """
+    parts = [re.sub(r"\d+$", "", w) for w in re.split(r"[-_]+", CAMEL.sub("-", name).lower())]
+    parts = [w for w in parts if w]
+    if not parts or ABOUT & set(parts[:-1]):
+        return False
+    return "-".join(parts) in BOILERPLATE or parts[0] in BOILERPLATE or parts[-1] in BOILERPLATE
+
+
+def _marks(attributes: str) -> tuple[str, set[str], bool]:
+    """Class text, words of class and id, left out."""
+    classes, found, out = "", set(), False
+    seen = set()
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in seen:
+            continue  # the first of equal attributes counts
+        seen.add(name)
         if name in ("class", "id"):
             if name == "class":
                 classes = value
-            for w in re.split(r"[\s_]+", CAMEL.sub(" ", value)):
-                w = w.lower()
-                found.update((w, *w.split("-")))
+            for w in value.split():
+                out = out or boilerplate(w)
+                found.update(re.split(r"[-_\d]+", CAMEL.sub("-", w).lower()))
         elif name == "role":
-            role = value.lower()
-        else:
-            hidden = hidden or name == "hidden" or value.lower() == "true"
-    return classes, {re.sub(r"\d+$", "", w) for w in found if w}, role, hidden
+            out = out or value.strip().lower() in ROLES
+        elif name == "hidden":
+            out = True
+        elif name == "aria-hidden":
+            out = out or value.strip().lower() == "true"
+    return classes, found, out
 
 
 def step_of(tag: str, classes: str) -> str:
@@ -148,9 +184,23 @@ def parse(page: str | None) -> list[Node]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
-                    gap()
+                    if tag not in INLINE:
+                        gap()
+                    break
+                if stack[k][0] in WALLS and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html") or tag in INLINE and stack[k][0] in CONTAINERS:
                     break
             continue
+        if tag in IMPLIED or tag in P_ENDS:
+            ends, until = IMPLIED.get(tag, (("p",), CONTAINERS | WALLS))
+            lowest = 0
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] in ends:
+                    lowest = k
+                elif stack[k][0] in until:
+                    break
+            if lowest:
+                del stack[lowest:]
+                gap()
         if tag in VOID or m[3].endswith("/"):
             continue
         if tag == "body":
@@ -159,8 +209,8 @@ def parse(page: str | None) -> list[Node]:
         out = stack[-1][2] or tag in SKIP
         classes = ""
         if not out and m[3].strip():
-            classes, words, role, hidden = _marks(m[3])
-            out = hidden or role in ROLES or (tag not in ("html", "body", "main") and bool(words & BOILERPLATE))
+            classes, words, marked = _marks(m[3])
+            out = marked and tag not in ("html", "body", "main")
         else:
             words = set()
         if tag in CONTAINERS:
@@ -169,9 +219,7 @@ def parse(page: str | None) -> list[Node]:
                 stack.append((tag, len(nodes) - 1, False))
             else:
                 stack.append((tag, stack[-1][1], True))
-        elif out or tag in SKIP or tag in ("ul", "ol", "table", "span", "p"):
-            if tag == "p" and not out:
-                continue
+        elif out or tag in ("ul", "ol", "dl", "table", "span"):
             stack.append((tag, stack[-1][1], out))
     for i in range(len(nodes) - 1, -1, -1):
         nodes[i].total += nodes[i].direct

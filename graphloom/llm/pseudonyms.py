@@ -7,7 +7,9 @@ ranges). A valid value becomes digits with a radix for each place; a Feistel
 network, whose round function is SHA-256 under the key, permutes them within
 those radices; the value is put back into its format, with a new check digit
 where there is one. Equal values under one key stay equal in every document,
-whatever their separators, and different values stay different.
+whatever their separators, and different values stay different. Dates are equal
+in all their formats: days up to 12 are permuted among themselves, so that a
+date with its month first doesn't turn into one with its day first.
 
 Kinds: card numbers (first digit stays), North American phone numbers, social
 security numbers, IPv4 addresses, dates from 1900 to 2099 (year first with
@@ -22,9 +24,15 @@ columns are untouched; an empty table stays empty. There is no length limit.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
+KEY_SETTING = "spark.graphloom.pseudonym.key"
+
 ROUNDS = 8
 
 # The formats looked for, as Java patterns.
@@ -36,8 +44,7 @@ PHONE = r"(?<![\d+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\
 CARD = r"(?<![\d-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\d-])"
 SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?[A-Za-z0-9_+/.-]{8,}+)"
 KINDS = {"email": EMAIL, "date": DATE, "ipv4": IPV4, "ssn": SSN, "phone": PHONE, "card": CARD, "secret": SECRET}
-#: Days from 1900 to 2099 are 17 * 4297.
-FIRST_DAY, DAYS, DAY_RADIX = "1900-01-01", 73049, 4297
+FIRST_DAY, DAYS = "1900-01-01", 73049
 
 
 def _sql(text: str) -> str:
@@ -134,9 +141,27 @@ def _ipv4(v: str, key: str) -> str:
     return _let("o", f"transform(split({v}, '[.]'), e -> cast(e as int))", f"if(forall(o, e -> e <= 255), {out}, {v})")
 
 
+def _moved_date(t: str, key: str) -> str:
+    """SQL for the pseudonym of a date from 1900 to 2099.
+
+    Days up to 12 stay such days, so that a date reads alike with day and
+    month in either order; the others move among months of their length.
+    """
+    y, m, d = f"year({t})", f"month({t})", f"day({t})"
+    long_, short = "array(1, 3, 5, 7, 8, 10, 12)", "array(4, 6, 9, 11)"
+    cases = [
+        (f"{d} <= 12", f"array({y} - 1900, {m} - 1, {d} - 1)", "array(200, 12, 12)", "make_date(w[0] + 1900, w[1] + 1, w[2] + 1)"),
+        (f"array_contains({long_}, {m})", f"array({y} - 1900, cast(array_position({long_}, {m}) as int) - 1, {d} - 13)", "array(200, 7, 19)", f"make_date(w[0] + 1900, {long_}[w[1]], w[2] + 13)"),
+        (f"array_contains({short}, {m})", f"array({y} - 1900, cast(array_position({short}, {m}) as int) - 1, {d} - 13)", "array(200, 4, 18)", f"make_date(w[0] + 1900, {short}[w[1]], w[2] + 13)"),
+        (f"{d} <= 28", f"array({y} - 1900, {d} - 13)", "array(200, 16)", "make_date(w[0] + 1900, 2, w[1] + 13)"),
+        # The 49 leap days, 1904 to 2096.
+        ("true", f"array(cast(({y} - 1904) div 28 as int), cast(({y} - 1904) % 28 div 4 as int))", "array(7, 7)", "make_date(1904 + 28 * w[0] + 4 * w[1], 2, 29)"),
+    ]
+    return "case " + " ".join(f"when {c} then {_let('w', feistel(g, r, key, f'date{i}'), out)}" for i, (c, g, r, out) in enumerate(cases)) + " end"
+
+
 def _date(v: str, key: str) -> str:
-    body = feistel(f"array(cast(datediff(t, date'{FIRST_DAY}') div {DAY_RADIX} as int), cast(datediff(t, date'{FIRST_DAY}') % {DAY_RADIX} as int))", f"array({DAYS // DAY_RADIX}, {DAY_RADIX})", key, "date")
-    moved = _let("w", body, f"date_add(date'{FIRST_DAY}', w[0] * {DAY_RADIX} + w[1])")
+    moved = _moved_date("t", key)
     parse = "to_date(try_to_timestamp({0}, '{1}'))"
     sep = f"if(contains({v}, '/'), '/', '.')"
     plain = f"replace({v}, '.', '/')"
@@ -165,16 +190,35 @@ def pseudonym(value: str, key: str) -> str:
     return "case " + " ".join(f"when {value} rlike {whole[k]} then {make[k](value, key)}" for k in KINDS) + f" else {value} end"
 
 
-def pseudonymize(docs: DataFrame, key: str = "pseudonym-key", text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """``docs`` with pseudonyms in ``text_col``; ``count_col`` gets their number."""
+def session_key(spark: SparkSession) -> str:
+    """The key named by ``spark.graphloom.pseudonym.key``.
+
+    Where the session names none, a random one that lasts as long as it: values
+    are then linked within the session's results, and nobody can turn them back.
+    """
+    named = spark.conf.get(KEY_SETTING, None)
+    if not named:
+        named = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, named)
+    return named
+
+
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """``docs`` with pseudonyms in ``text_col``; ``count_col`` gets their number.
+
+    The key stands in the query's plan: keep plans and event logs as safe as it.
+    """
+    if not key:
+        raise ValueError("a key is needed")
     any_ = _sql("|".join(KINDS.values()))
     c = f"`{text_col}`"
+    found, put = fresh(docs, "_found"), fresh(docs, "_put")
     # A text with neither a digit nor '@' holds none of the kinds but secrets.
     hint = f"{c} rlike {_sql('[0-9@]|(?i:passw|pwd|secret|token|key)')}"
-    out = docs.withColumn("_found", F.expr(f"if({hint}, regexp_extract_all({c}, {any_}, 0), cast(array() as array<string>))"))
-    out = out.withColumn("_put", F.expr(f"transform(_found, v -> {pseudonym('v', key)})"))
-    joined = f"if(size(_found) > 0, array_join(transform(split({c}, {any_}, -1), (s, j) -> concat(s, coalesce(get(_put, j), ''))), ''), {c})"
-    counted: Column = F.expr("cast(aggregate(zip_with(_found, _put, (a, b) -> if(a != b, 1, 0)), 0, (s, d) -> s + d) as long)")
+    out = docs.withColumn(found, F.expr(f"if({hint}, regexp_extract_all({c}, {any_}, 0), cast(array() as array<string>))"))
+    out = out.withColumn(put, F.expr(f"transform({found}, v -> {pseudonym('v', key)})"))
+    joined = f"if(size({found}) > 0, array_join(transform(split({c}, {any_}, -1), (s, j) -> concat(s, coalesce(get({put}, j), ''))), ''), {c})"
+    counted: Column = F.expr(f"cast(aggregate(zip_with({found}, {put}, (a, b) -> if(a != b, 1, 0)), 0, (s, d) -> s + d) as long)")
     if count_col:
         out = out.withColumn(count_col, counted)
-    return out.withColumn(text_col, F.expr(joined)).drop("_found", "_put")
+    return out.withColumn(text_col, F.expr(joined)).drop(found, put)

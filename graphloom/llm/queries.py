@@ -44,7 +44,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonyms.pseudonymize(docs, count_col="n_replaced").select("doc_id", "text", "n_replaced")
+    return pseudonyms.pseudonymize(docs, pseudonyms.session_key(spark), count_col="n_replaced").select("doc_id", "text", "n_replaced")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -31,30 +32,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import fresh, materialize, shuffle_partitions
 
 BITS = 64
 #: XXH64 seed.
 SEED = 42
+#: Runs of so many rows are linked pair by pair.
+SHORT = 8
 
 
-def content_words(words: list[bytes]) -> list[bytes]:
-    """Distinct words of five bytes or more; all distinct words if few are so."""
-    long_ = {w for w in words if len(w) >= 5}
-    return sorted(long_ if len(long_) >= 5 else set(words))
-
-
-def fingerprint(text: str | None, shingle: int = 3, content: bool = False) -> int:
-    """Majority bits over the shingles' hashes, repeats included.
-
-    With ``content`` the distinct content words take the shingles' place: an
-    edited word changes one feature instead of ``shingle``.
-    """
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Majority bits over the shingles' hashes, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    if content:
-        words, shingle = content_words(words), 1
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -68,12 +59,12 @@ def fingerprint(text: str | None, shingle: int = 3, content: bool = False) -> in
     return int.from_bytes(np.packbits(bits * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, content: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """Per row: the id and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fp = np.array([fingerprint(t, shingle, content) for t in batch["text"]], dtype=np.uint64)
+            fp = np.array([fingerprint(t, shingle) for t in batch["text"]], dtype=np.uint64)
             yield pd.DataFrame({"id": batch["id"], "fp": fp.view(np.int64)})
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -165,8 +156,24 @@ def apart(fps: np.ndarray, comps: np.ndarray, distance: int) -> Iterator[tuple[n
             yield i[keep], j[keep]
 
 
+def _short_runs(starts: np.ndarray, ends: np.ndarray, fp: np.ndarray, rep: np.ndarray, comp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links (greater, smaller name) inside runs of at most ``SHORT`` rows, together."""
+    lengths = ends - starts
+    index = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+    f, r, c, run = fp[index].view(np.uint64), rep[index], comp[index], np.repeat(np.arange(len(starts)), lengths)
+    a, b = [], []
+    for lag in range(1, int(lengths.max())):
+        near = np.flatnonzero((run[lag:] == run[:-lag]) & (popcount(f[lag:] ^ f[:-lag]) <= distance) & (c[lag:] != c[:-lag]))
+        a.append(np.maximum(r[near + lag], r[near]))
+        b.append(np.minimum(r[near + lag], r[near]))
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _links(distance: int, run_limit: int, level: int, direct: bool, split: bool):
-    """Edges inside runs of equal keys; long runs come back under second keys."""
+    """Edges inside runs of equal keys; long runs come back under second keys.
+
+    With ``direct`` an edge of a name to itself marks it as one of a long run.
+    """
     masks = dict(variants(distance))
 
     def second(key_no: int) -> list[tuple[int, int]]:
@@ -190,7 +197,7 @@ def _links(distance: int, run_limit: int, level: int, direct: bool, split: bool)
                 found = ((rep[i], rep[j]) for i, j in apart(fp, comp, distance))
             else:
                 first = rep[(first_link if direct else link_run)(fp, distance)]
-                found = [(rep[rep != first], first[rep != first])]
+                found = [(rep, first), (rep, rep)] if direct else [(rep[rep != first], first[rep != first])]
             for a, b in found:
                 if len(a):
                     yield pd.DataFrame({"a": a, "b": b, "key_no": -1, "key": np.int64(0), "no2": -1, "key2": np.int64(0), "fp": np.int64(0)})
@@ -203,7 +210,13 @@ def _links(distance: int, run_limit: int, level: int, direct: bool, split: bool)
             starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
             ends = np.append(starts[1:], len(keys))
             # Runs of one row inside the batch can't link; only its ends may go on.
-            some = (ends - starts > 1) | (starts == 0) | (ends == len(keys))
+            edge = (starts == 0) | (ends == len(keys))
+            short = (ends - starts > 1) & (ends - starts <= SHORT) & ~edge
+            if short.any():
+                a, b = _short_runs(starts[short], ends[short], fp, rep, comp, distance)
+                if len(a):
+                    yield pd.DataFrame({"a": a, "b": b, "key_no": -1, "key": np.int64(0), "no2": -1, "key2": np.int64(0), "fp": np.int64(0)})
+            some = (ends - starts > SHORT) | edge
             for s, e in zip(starts[some].tolist(), ends[some].tolist()):
                 key = tuple(keys[s])
                 if key != open_key:
@@ -229,9 +242,10 @@ _EDGE = "a long, b long, key_no int, key long, no2 int, key2 long, fp long"
 def edges(reps: DataFrame, distance: int = 3, run_limit: int = 4096, direct: bool = False, split: bool = False) -> DataFrame:
     """Edges (a, b), b < a, that span the links among distinct fingerprints.
 
-    With ``direct`` each edge is a link itself: to the smallest name of a run
-    within the distance. With ``split`` all links between rows of different
-    components are edges; ``reps`` then has comp, the component, too.
+    With ``direct`` each edge is a link itself: all links of a short run, and
+    in a long one those to the smallest name within the distance; names in long
+    runs have an edge (a, a), too. With ``split`` all links between rows of
+    different components are edges; ``reps`` then has comp, the component, too.
 
     ``reps`` has fp and rep, a long that names the fingerprint.
     """
@@ -272,33 +286,127 @@ def components(edge: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+#: Stand-ins for rows without id begin here; ids must be below.
+NAMELESS = 1 << 62
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
-    """Per row: the id, fp and component_id, the smallest id reachable."""
+    """Per row: the id, fp and component_id, the smallest id reachable.
+
+    A fingerprint that only rows without id have still links others; a
+    component without any id has a null component_id.
+    """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    reps = materialize(fps.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")), "representatives")
-    found = components(edges(reps.filter("rep is not null"), distance))
-    named = reps.join(found, reps["rep"] == found["name"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    stand_in = F.lit(NAMELESS) + F.xxhash64("fp").bitwiseAND(F.lit(NAMELESS - 1))
+    reps = materialize(fps.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")).select("fp", F.coalesce("rep", stand_in).alias("rep")), "representatives")
+    found = components(edges(reps, distance))
+    name = F.coalesce("component", "rep")
+    named = reps.join(found, reps["rep"] == found["name"], "left").select("fp", F.when(name < NAMELESS, name).alias("component_id"))
     return fps.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def shingle_set(text: str | None, shingle: int) -> set[int]:
-    """Hashes of a text's distinct word shingles."""
+def word_hashes(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+
+
+def _mix(h: np.ndarray, k: int) -> np.ndarray:
+    """Another hash of a hash for each ``k`` (the finalizer of splitmix64)."""
+    h = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of a text's distinct word shingles; a shorter text is one."""
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    n = max(1, len(h) - shingle + 1)
+    rolled = np.zeros(n, np.uint64)
+    for k in range(min(shingle, len(h))):
+        rolled = rolled * np.uint64(0x100000001B3) + h[k : k + n]
+    return np.unique(_mix(rolled, len(h) if len(h) < shingle else shingle))
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Values in both of two sorted arrays of distinct values."""
+    if not len(a) or not len(b):
+        return 0
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    return int((a[at] == b).sum())
+
+
+def word_fingerprints(words: np.ndarray, number: int) -> list[int]:
+    """Independent fingerprints of distinct words, given as their hashes.
+
+    An edited word changes one feature, not as many as a shingle has words.
+    """
+    if not len(words):
+        return [0] * number
+    out = []
+    for k in range(number):
+        bits = np.zeros(BITS, np.int64)
+        for at in range(0, len(words), 1 << 16):
+            bits += np.unpackbits(_mix(words[at : at + (1 << 16)], k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(bits * 2 > len(words)).tobytes(), "big"))
+    return out
+
+
+#: Longs of a sketch's bitmap.
+LONGS = 8
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the shingles in each of 64 * LONGS places."""
+    places = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % (64 * LONGS), minlength=64 * LONGS)
+    return np.packbits((places & 1).astype(np.uint8)).view(np.int64)
+
+
+def sketches(texts: DataFrame, shingle: int, number: int) -> DataFrame:
+    """Per row of (id, text): fingerprints f0.., n distinct shingles, bitmap m0.."""
+    names = [*(f"f{k}" for k in range(number)), "n", *(f"m{k}" for k in range(LONGS))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = np.zeros((len(batch), len(names)), np.int64)
+            for i, text in enumerate(batch["text"]):
+                own = shingle_set(text, shingle)
+                rows[i, :number] = [_signed(x) for x in word_fingerprints(np.unique(word_hashes(text)), number)]
+                rows[i, number] = len(own)
+                rows[i, number + 1 :] = bitmap(own)
+            yield pd.DataFrame({"id": batch["id"], **{c: rows[:, k] for k, c in enumerate(names)}})
+
+    return texts.select("id", "text").mapInPandas(run, "id long, " + ", ".join(f"{c} long" for c in names))
+
+
+def possible(pairs: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that may reach the similarity, by an exact bound.
+
+    Two sets of n and m differ in at most (1 - s) / (1 + s) * (n + m) elements
+    at similarity s, and each place where their parities differ takes one.
+    """
+    cols = ["n", *(f"m{k}" for k in range(LONGS))]
+    left = sketch.select(F.col("id").alias("a"), *[F.col(c).alias(f"x{c}") for c in cols])
+    right = sketch.select(F.col("id").alias("b"), *[F.col(c).alias(f"y{c}") for c in cols])
+    differ = sum((F.bit_count(F.col(f"xm{k}").bitwiseXOR(F.col(f"ym{k}"))) for k in range(LONGS)), F.lit(0))
+    most = (1 - similarity) / (1 + similarity) * (F.col("xn") + F.col("yn")) + 1e-6
+    return pairs.join(left, "a").join(right, "b").filter((differ <= most) & (F.abs(F.col("xn") - F.col("yn")) <= most)).select("a", "b")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of ``docs`` (id, text) whose shingles' Jaccard similarity is enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple[int | None, set[int]] = (None, set())
+        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             keep = []
             for b, x, y in zip(batch["b"], batch["x"], batch["y"]):
                 if b != last[0]:
                     last = (b, shingle_set(y, shingle))
                 own, other = shingle_set(x, shingle), last[1]
-                both = len(own & other)
+                both = overlap(own, other)
                 keep.append(both >= similarity * (len(own) + len(other) - both))
             yield batch.loc[keep, ["a", "b"]]
 
@@ -307,43 +415,64 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 5, number: int = 3) -> DataFrame:
     """Rows of ``docs`` with one of each group of near copies, the smallest id.
 
-    Exact copies are grouped by a hash of the text. Fingerprints of content
-    words, linked at ``distance`` bits through the deletion variants, propose
-    pairs; a pair links if the Jaccard similarity of its ``shingle``-word
-    shingles is at least ``similarity``. First a fingerprint's texts are compared
-    with its smallest id and each fingerprint with the first of its run; then
-    all texts whose fingerprints link and that are still in different
-    components, so that the components are those of all linked pairs. Rows
-    without id stay.
+    Exact copies are grouped by a hash of the text. ``number`` independent
+    fingerprints of a text's distinct words, each linked at ``distance`` bits
+    through the deletion variants, propose pairs; a pair links if the Jaccard
+    similarity of its ``shingle``-word shingles is at least ``similarity``.
+    Pairs that an exact bound on sketches rules out don't reach the texts.
+
+    First a fingerprint's texts are compared with its smallest id, and
+    fingerprints of a run with each other (in a long run with the first in
+    reach). Then come all pairs of texts still in different components whose
+    fingerprints link and which that left out: those of fingerprints with more
+    than one text or in a long run, and of the fingerprints linked to them. So
+    the components are those of all linked pairs.
+
+    Null and empty texts are copies of each other. Rows without id have no part
+    in the choice and stay. Of rows that repeat an id all stay or go; where
+    their texts differ one of them speaks for the id. Other columns stay as
+    they are, whatever their names. An empty table gives an empty result.
     """
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    hashed = texts.select(F.xxhash64(F.coalesce("text", F.lit("")), F.octet_length("text")).alias("copy"), "id")
+    body = F.coalesce("text", F.lit(""))
+    hashed = texts.select(F.xxhash64(body, F.octet_length(body)).alias("copy"), "id")
     firsts = materialize(hashed.groupBy("copy").agg(F.min("id").alias("first")), "copies")
-    fps = materialize(fingerprints(texts, "id", "text", content=True), "content-fingerprints")
-    own = fps.join(firsts.select(F.col("first").alias("id")), "id", "left_semi")
-    reps = materialize(own.groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
-    same = own.join(reps, "fp").select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a != b")
-    proposed = materialize(same.union(edges(reps, distance, direct=True)).distinct(), "near-pairs")
+    own = materialize(sketches(texts, shingle, number).join(firsts.select(F.col("first").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "near-sketches")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        some = materialize(texts.dropDuplicates(["id"]).join(ids, "id", "left_semi"), "near-texts")
-        return materialize(similar(pairs, some, shingle, similarity), "near-links")
-
-    links = confirmed(proposed)
+        left = materialize(possible(pairs, own, similarity), "near-pairs")
+        ids = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        some = materialize(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
+        return materialize(similar(left, some, shingle, similarity), "near-links")
+
+    proposals, wide = [], []
+    for k in range(number):
+        reps = materialize(own.groupBy(F.col(f"f{k}").alias("fp")).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("texts")), "representatives")
+        met = materialize(edges(reps.select("fp", "rep"), distance, direct=True), "near-edges")
+        many = reps.filter("texts > 1").select("rep").union(met.filter("a = b").select(F.col("a").alias("rep"))).distinct()
+        both = met.filter("a != b").union(met.filter("a != b").select("b", "a"))
+        around = both.join(many.withColumnRenamed("rep", "a"), "a", "left_semi").select(F.col("b").alias("rep"))
+        wide.append(materialize(reps.join(many.union(around).distinct(), "rep", "left_semi").select("fp"), "near-wide"))
+        same = own.select("id", F.col(f"f{k}").alias("fp")).join(reps.select("fp", "rep"), "fp").filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        proposals.append(same.union(met.filter("a != b")))
+    links = confirmed(reduce(DataFrame.union, proposals).distinct())
     found = components(links)
-    placed = materialize(own.join(found, own["id"] == found["name"], "left").select("id", "fp", F.coalesce("component", "id").alias("comp")).distinct(), "near-components")
-    groups = materialize(placed.groupBy("fp", "comp").agg(F.min("id").alias("rep")), "near-groups")
-    members = materialize(placed.join(groups, ["fp", "comp"]).select("rep", "id"), "near-members")
-    left = members.select(F.col("rep").alias("_a"), F.col("id").alias("a"))
-    right = members.select(F.col("rep").alias("_b"), F.col("id").alias("b"))
-    apart_ = edges(groups, distance, split=True).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-    rest = materialize(apart_.join(left, "_a").join(right, "_b").select("a", "b"), "near-pairs")
-    found = components(links.union(confirmed(rest)))
-    near = found.filter("name != component").select(F.col("name").alias("_gone"))
-    copies = hashed.join(firsts, "copy").filter("id != first").select(F.col("id").alias("_gone"))
-    gone = near.union(copies).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    placed = own.join(found, own["id"] == found["name"], "left").withColumn("comp", F.coalesce("component", "id"))
+    placed = materialize(placed.select("id", "comp", *[f"f{k}" for k in range(number)]), "near-components")
+    rest = []
+    for k in range(number):
+        here = placed.select("id", "comp", F.col(f"f{k}").alias("fp")).join(wide[k], "fp", "left_semi")
+        groups = materialize(here.groupBy("fp", "comp").agg(F.min("id").alias("rep")), "near-groups")
+        members = materialize(here.join(groups, ["fp", "comp"]).select("rep", "id"), "near-members")
+        left = members.select(F.col("rep").alias("_a"), F.col("id").alias("a"))
+        right = members.select(F.col("rep").alias("_b"), F.col("id").alias("b"))
+        apart_ = edges(groups, distance, split=True).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+        rest.append(materialize(apart_.join(left, "_a").join(right, "_b").select("a", "b"), "near-rest"))
+    found = components(links.union(confirmed(reduce(DataFrame.union, rest).distinct())))
+    gone = fresh(docs, "_gone")
+    near = found.filter("name != component").select(F.col("name").alias(gone))
+    copies = hashed.join(firsts, "copy").filter("id != first").select(F.col("id").alias(gone))
+    return docs.join(near.union(copies).distinct(), F.col(id_col) == F.col(gone), "left_anti")

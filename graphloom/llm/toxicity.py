@@ -6,10 +6,12 @@ words, hashed to ``buckets``. The machine scores
 of terms weigh beyond the sum of their own weights.
 
 Learning takes a bounded sample of labelled rows: at most ``train_docs`` of
-each label, chosen by a hash of the id. Of the buckets only the ``kept`` whose
-presence tells most about the label enter the machine; both bounds are
-parameters, so what is collected and broadcast is bounded. Every whole text is
-scored.
+each label, chosen by a hash of the id. All buckets whose presence tells about
+the label beyond chance enter the machine. So do the two of every pair whose
+joint presence tells beyond chance what a machine of the former leaves open:
+all pairs are tested of buckets in at least ``pair_share`` of the sample, in
+blocks of columns dealt over tasks. What is collected and broadcast is bounded
+by the sample and the number of buckets. Every whole text is scored.
 
 Null and empty texts have no terms and get the score of the bias alone. Null
 labels are not learned from; without both labels in the sample every score is
@@ -20,6 +22,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_fraction, by_hash, materialize
@@ -110,7 +113,46 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, rank: int = 4, ep
     return float(b), w, v
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = 6000, buckets: int = 1 << 18, kept: int = 4096, min_docs: int = 3, rank: int = 4) -> Machine:
+def chance(tests: int) -> float:
+    """About the largest of so many standard normal values."""
+    return max(3.0, math.sqrt(2 * math.log(max(1, tests))))
+
+
+def telling_pairs(spark: SparkSession, rows: list[np.ndarray], residuals: np.ndarray, variances: np.ndarray, columns: np.ndarray, block: int = 1024) -> set[int]:
+    """Columns in pairs whose joint presence goes with the residuals.
+
+    ``rows`` are arrays of sorted column numbers; a task tests the pairs of two
+    blocks of columns.
+    """
+    place = {int(c): i for i, c in enumerate(columns)}
+    dense = [np.array([place[x] for x in r.tolist() if x in place], np.int64) for r in rows]
+    blocks = -(-len(columns) // block)
+    least = chance(len(columns) * (len(columns) - 1) // 2) + 0.5
+    sent = spark.sparkContext.broadcast((dense, residuals.astype(np.float32), variances.astype(np.float32)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dense, r, v = sent.value
+
+        def part(k: int) -> np.ndarray:
+            x = np.zeros((len(dense), min(block, len(columns) - k * block)), np.float32)
+            for i, own in enumerate(dense):
+                x[i, own[(own >= k * block) & (own < (k + 1) * block)] - k * block] = 1
+            return x
+
+        for batch in batches:
+            for i, j in zip(batch["i"], batch["j"]):
+                x, y = part(i), part(j)
+                z = np.abs((x * r[:, None]).T @ y) / np.sqrt((x * v[:, None]).T @ y + 1e-3)
+                a, b = np.nonzero(z >= least)
+                a, b = a + i * block, b + j * block
+                yield pd.DataFrame({"column": np.unique(np.concatenate([a[a != b], b[a != b]]))})
+
+    tasks = [(i, j) for i in range(blocks) for j in range(i + 1)]
+    found = spark.createDataFrame(tasks, "i int, j int").repartition(len(tasks)).mapInPandas(run, "column long").distinct().collect()
+    return {int(columns[r[0]]) for r in found}
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = 6000, buckets: int = 1 << 18, pair_share: float = 0.01, rank: int = 4) -> Machine:
     """Fit on at most about ``train_docs`` labelled rows of each label."""
     known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
@@ -137,29 +179,47 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n0 or not n1:
         p = min(max(float(share), 0.0), 1.0)
         return Machine(buckets, {}, float(np.log((p + 1e-6) / (1 - p + 1e-6))), np.zeros(0), np.zeros((0, rank)))
-    table = table[(table["bucket"] >= 0) & (table["n0"] + table["n1"] >= min_docs)]
+    table = table[table["bucket"] >= 0].sort_values("bucket")
     p0, p1 = (table["n0"] + 0.5) / (n0 + 1), (table["n1"] + 0.5) / (n1 + 1)
     pooled = (table["n0"] + table["n1"] + 1) / (n0 + n1 + 2)
     z = (p1 - p0) / np.sqrt(pooled * (1 - pooled) * (1 / (n0 + 1) + 1 / (n1 + 1)))
-    # As large as the largest of so many terms without any relation to the label.
-    least = max(3.0, float(np.sqrt(2 * np.log(max(1, len(table))))))
-    table = table.assign(z=z.abs()).query("z >= @least").sort_values(["z", "bucket"], ascending=[False, True]).head(kept)
-    index = {int(x): i for i, x in enumerate(table["bucket"])}
+    single = {int(x) for x in table["bucket"][z.abs() >= chance(len(table))]}
+    common = table["bucket"][table["n0"] + table["n1"] >= max(2, pair_share * (n0 + n1))].to_numpy()
+    wanted = {x: i for i, x in enumerate(sorted(single | {int(x) for x in common}))}
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = _Terms(buckets, index)
+        of = _Terms(buckets, wanted)
         for batch in batches:
             yield pd.DataFrame({"label": batch["label"], "ids": [of.of(t) for t in batch["text"]]})
 
-    data = sample.mapInPandas(vectors, "label int, ids array<int>").toPandas()
+    data = sample.mapInPandas(vectors, "label int, ids array<int>").toArrow()
+    lists = data["ids"].combine_chunks()
+    ends, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+    rows = [flat[a:b].astype(np.int64) for a, b in zip(ends, ends[1:])]
+    labels_ = data["label"].to_numpy().astype(float)
     # A total order, so that sums don't depend on how tasks ended.
-    data = data.assign(k=[(y, *x) for y, x in zip(data["label"], data["ids"])]).sort_values("k")
-    rows = [np.asarray(x, np.int64) for x in data["ids"]]
-    labels_ = data["label"].to_numpy(float)
-    bias, w, v = fit(rows, labels_, len(index), rank)
+    order = sorted(range(len(rows)), key=lambda i: (labels_[i], rows[i].tobytes()))
+    rows, labels_ = [rows[i] for i in order], labels_[order]
+    names = np.array(sorted(wanted), np.int64)
+
+    def machine(columns: set[int]) -> Machine:
+        """Fitted on the columns only, for the sample's share of labels."""
+        at = np.full(len(names) + 1, -1)
+        own = sorted(columns)
+        at[own] = np.arange(len(own))
+        picked = [at[r][at[r] >= 0] for r in rows]
+        return Machine(buckets, {int(names[c]): i for i, c in enumerate(own)}, *fit(picked, labels_, len(own), rank))
+
+    first = {wanted[x] for x in single}
+    found = machine(first)
+    logits = np.array([found.logit([found.kept[int(names[c])] for c in r.tolist() if int(names[c]) in found.kept]) for r in rows])
+    p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+    more = telling_pairs(docs.sparkSession, rows, labels_ - p, p * (1 - p) + 0.01, np.array([wanted[int(x)] for x in common], np.int64)) if len(common) > 1 else set()
+    if more - first:
+        found = machine(first | more)
     # The sample may hold the labels in another proportion than all rows.
-    bias += float(np.log((share / (1 - share)) / (n1 / n0))) if 0 < share < 1 else 0.0
-    return Machine(buckets, index, bias, w, v)
+    found.bias += float(np.log((share / (1 - share)) / (n1 / n0))) if 0 < share < 1 else 0.0
+    return found
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -47,6 +47,45 @@ def test_main_text_leaves_out_what_is_not_the_article():
     assert mainhtml.step_of("div", "post-12 b") == "div.b.post-#"
 
 
+ARTICLE = "An article of some words that stands in a page."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="content" style="overflow:hidden">{ARTICLE}</div>',
+        f'<div class="content" title="a hidden gem">{ARTICLE}</div>',
+        f'<div data-id="comment-3">{ARTICLE}</div>',
+        f'<div class="content has-sidebar no-comments">{ARTICLE}</div>',
+        f'<div class="content"><p class="promo">Buy<p>{ARTICLE}</div>',
+        f"<div><ul><li class='ad'>Buy<li>{ARTICLE}</ul></div>",
+        f"<div><math><mi>{ARTICLE}</mi></math></div>",
+        f"<table><tr><td class=sidebar>Side<td>{ARTICLE}</table>",
+        f"<div hidden>No</div><div aria-hidden=true>No</div><div>{ARTICLE}</div><div class='site-footer'>No</div>",
+        f"<div><span>An article of </span>some words that stands in a page.</span></div>",
+    ],
+)
+def test_main_text_of_odd_pages(page):
+    assert mainhtml.main_text(f"<html><body>{page}</body></html>", [])[0] == ARTICLE
+
+
+def test_main_text_against_a_tree_of_generated_pages():
+    """The generator knows what is article; parts are nested and ends left out at random."""
+    rng = random.Random(11)
+    junk = ["<nav>Home</nav>", "<div class='ad-slot'>Buy</div>", "<aside>Side</aside>", "<script>if (a < b) x()</script>", "<style>p{}</style>", "<form>Mail<input></form>", "<div role=navigation>Menu</div>", "<ul class=menu><li>One<li>Two</ul>", "<!-- <p>note</p> -->"]
+    for n in range(200):
+        blocks, out = [], []
+        for k in range(rng.randrange(4, 12)):
+            own = " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(8, 30)))
+            out.append(own.replace("w7", "w&7"))
+            body = out[-1].replace("&", "&amp;").replace(" ", rng.choice([" ", "\n  ", "&nbsp;"]), 1)
+            blocks.append(rng.choice([f"<p>{body}</p>", f"<p>{body}", f"<h2>{body}</h2>", f"<ul><li>{body}</ul>", f"<div>{body}</div>", f"<blockquote>{body}</blockquote>", f"<p><b>{body}</b></p>"]))
+            if rng.random() < 0.3:
+                blocks.append(rng.choice(junk))
+        page = f"<html><head><title>t</title></head><body class=has-menu><header>Site</header>{rng.choice(junk)}<article class='post'>{''.join(blocks)}</article><footer>Foot</footer></body></html>"
+        assert mainhtml.main_text(page, [])[0] == " ".join(out), page
+
+
 def test_hosts_vote_on_paths(spark):
     good = "<body><div class='c-{0}'><p>" + "words of the article " * 20 + "</p></div><div class='x'><p>short</p></div></body>"
     odd = "<body><div class='c-9'><p>tiny</p></div><div class='x'><p>" + "longer but not chosen by the host " * 3 + "</p></div></body>"
@@ -73,6 +112,40 @@ def test_language_backs_off_to_grams(spark):
     assert langid.predict(frame(spark, []), model).count() == 0
 
 
+def test_language_votes_against_plain_counts(spark):
+    rng = random.Random(9)
+    texts = {lang: [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(30)) for _ in range(12)] for lang, letters in (("en", "abcde"), ("de", "cdefg"), ("fr", "efgha"))}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, own in texts.items() for t in own)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    langs = sorted(texts)
+    counts = [{lang: Counter(g for t in own for w in t.split() for g in ([w] if n == 0 else langid.grams(w, n))) for lang, own in texts.items()} for n in range(6)]
+    sizes = [len(set().union(*c.values())) for c in counts]
+    total = [{lang: sum(c.values()) for lang, c in by.items()} for by in counts]
+
+    def vote(n, g):
+        return [math.log((counts[n][k][g] + 0.5) / (total[n][k] + 0.5 * sizes[n])) for k in langs]
+
+    def plain(text):
+        logits, known = [0.0] * len(langs), 0
+        for w in text.split():
+            for n in range(6):
+                n = 0 if n == 0 else 6 - n
+                entries = [g for g in ([w] if n == 0 else langid.grams(w, n)) if any(c[g] for c in counts[n].values())]
+                if entries:
+                    known += 1
+                    for k in range(len(langs)):
+                        logits[k] += sum(vote(n, g)[k] for g in entries) / len(entries)
+                    break
+        z = [x / math.sqrt(max(known, 1)) for x in logits]
+        return langs[max(range(len(langs)), key=lambda k: z[k])], 1 / sum(math.exp(x - max(z)) for x in z)
+
+    tests = [texts["en"][0], "abab cdcd", "ghgh eeee aaa", "gfgfgf cccc", "zz abcde zz"]
+    got = langid.predict(frame(spark, tests), model).orderBy("doc_id").collect()
+    for t, r in zip(tests, got):
+        lang, score = plain(t)
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, rel=1e-4)
+
+
 def test_toxicity_learns_a_pair_that_singles_do_not_show():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2, 400), rng.integers(0, 2, 400)
@@ -82,6 +155,28 @@ def test_toxicity_learns_a_pair_that_singles_do_not_show():
     assert all((m.logit(list(r)) > 0) == bool(x ^ y) for r, x, y in zip(rows, a, b))
 
 
+def test_training_finds_pairs_that_no_single_word_shows(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(2000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        own = words(20, i).split() + ["kobold"] * a + ["gremlin"] * b
+        rng.shuffle(own)
+        rows.append((i, " ".join(own), int(a != b)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows[:1500]], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] > 0.5 for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert np.mean([got[i] == bool(y) for i, _, y in rows[1500:]]) > 0.95
+
+
+def test_machine_against_the_sum_over_pairs():
+    rng = np.random.default_rng(5)
+    m = toxicity.Machine(64, {}, 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
+    for ids in ([], [2], [0, 3, 4, 8]):
+        want = 0.3 + sum(m.weights[i] for i in ids) + sum(float(m.factors[i] @ m.factors[j]) for i in ids for j in ids if i < j)
+        assert m.logit(ids) == pytest.approx(want)
+
+
 def test_toxicity_on_texts(spark):
     texts = [words(40, i) + (" horrid" if i % 4 == 0 else "") for i in range(200)] + EDGE
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(150)] + [(151, None), (None, 1)], "doc_id long, toxic int")
@@ -94,6 +189,10 @@ def test_toxicity_on_texts(spark):
     assert kept.columns == docs.columns and kept.count() == len(texts) - 50
     none = toxicity.train(docs, labels.filter("false"))
     assert toxicity.score(docs, none).filter("score > 0.5").count() == 0
+    assert toxicity.score(docs.filter("false"), machine).count() == 0 and toxicity.reject(docs.filter("false"), machine).count() == 0
+    # Repeated rows and null ids keep their rows.
+    odd = docs.filter("doc_id < 2").union(docs.filter("doc_id < 2")).withColumn("doc_id", F.when(F.col("doc_id") == 1, F.col("doc_id")))
+    assert toxicity.score(odd, machine).count() == 4
 
 
 # Packing
@@ -123,6 +222,14 @@ def test_packing_is_gapless_and_tokens_match(spark):
     assert packing.pack_documents(frame(spark, []), tokenizer_path()).count() == 0
 
 
+def test_long_runs_of_white_space_have_ids():
+    from tokenizers import Tokenizer
+
+    encode, t = packing.load_encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    for text in ("a" + " " * 2_000_000 + "b", "x" + "\n" * 30_000, " " * 19_000 + "end"):
+        assert list(encode(text)) == t.encode(text, add_special_tokens=False).ids
+
+
 def test_sum_of_squares_against_the_definition():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 21, 300)
@@ -146,7 +253,7 @@ def test_sum_of_squares_against_the_definition():
 
 def test_pseudonyms_keep_formats_and_links(spark):
     texts = ["card 4111 1111 1111 1111, 4111111111111111 and 4111111111111112", "born 1999-12-31 not 2024-02-30", "ssn 123-45-6789 000-12-3456", "ip 10.0.0.1 300.1.1.1 v2.0", "bob.smith@example.com +1 (212) 555-0100 212-555-0100", None, "", "plain words, version 3.0."]
-    out = [r["text"] for r in pseudonyms.pseudonymize(frame(spark, texts)).orderBy("doc_id").collect()]
+    out = [r["text"] for r in pseudonyms.pseudonymize(frame(spark, texts), "key").orderBy("doc_id").collect()]
     spaced, joined = out[0][5:24], out[0][26:42]
     assert spaced.replace(" ", "") == joined != "4111111111111111" and out[0].endswith("4111111111111112")
     total = sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(joined))))
@@ -162,9 +269,43 @@ def test_pseudonyms_keep_formats_and_links(spark):
 
 
 def test_dates_are_permuted(spark):
-    days = spark.range(0, pseudonyms.DAYS, 7).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
-    out = pseudonyms.pseudonymize(days).agg(F.countDistinct("text"), F.min("text"), F.max("text")).first()
-    assert out[0] == days.count() and out[1] >= "1900-01-01" and out[2] <= "2099-12-31"
+    days = spark.range(0, pseudonyms.DAYS).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    forms = [(F.date_format("d", f), f) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy")]
+    moved = {}
+    for text, f in forms:
+        own = days.select("d", text.alias("text")) if f != "MM/dd/yyyy" else days.filter("day(d) > 12").select("d", text.alias("text"))
+        out = pseudonyms.pseudonymize(own, "key")
+        # Equal dates are equal in all formats.
+        moved[f] = {r[0]: r[1] for r in out.select("d", F.to_date("text", f)).collect()}
+        assert len(set(moved[f].values())) == len(moved[f]) == own.count() and None not in moved[f].values()
+        assert min(moved[f].values()).year == 1900 and max(moved[f].values()).year == 2099
+    assert moved["yyyy-MM-dd"] == moved["dd/MM/yyyy"] and all(moved["yyyy-MM-dd"][d] == x for d, x in moved["MM/dd/yyyy"].items())
+
+
+def test_feistel_against_plain_python(spark):
+    def plain(digits, radices, key, tag):
+        cut = len(digits) // 2
+        left, right = list(digits[:cut]), list(digits[cut:])
+        for k in range(pseudonyms.ROUNDS):
+            own, other, first = (left, right, 0) if k % 2 == 0 else (right, left, cut)
+            text = ",".join(map(str, other))
+            for i in range(len(own)):
+                h = hashlib.sha256(f"{key}|{tag}|{k}|{i // 16}|{text}".encode()).hexdigest()
+                own[i] = (own[i] + int(h[4 * (i % 16) : 4 * (i % 16) + 4], 16)) % radices[first + i]
+        return left + right
+
+    for digits, radices in (([4, 1, 1, 9], [10, 10, 10, 10]), ([100, 3, 7], [200, 7, 19]), (list(range(10)) * 4, [10] * 40)):
+        sql = pseudonyms.feistel(f"array({','.join(map(str, digits))})", f"array({','.join(map(str, radices))})", "k", "t")
+        assert list(spark.range(1).select(F.expr(sql)).first()[0]) == plain(digits, radices, "k", "t")
+
+
+def test_pseudonyms_leave_other_columns(spark):
+    docs = frame(spark, ["ip 10.0.0.1", None, ""]).withColumns({"_found": F.lit(1), "_put": F.lit("x")})
+    out = pseudonyms.pseudonymize(docs, "key")
+    assert out.columns == docs.columns and {(r["_found"], r["_put"]) for r in out.collect()} == {(1, "x")}
+    assert pseudonyms.pseudonymize(docs.filter("false"), "key").count() == 0
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymize(docs, "")
 
 
 # Decontamination
@@ -197,11 +338,41 @@ def test_decontamination_against_brute_force(spark):
                 expected.add((d, i))
     assert got == expected and got
     sharded = decontaminate.contaminated(docs, bench, shard_items=20)
-    assert {(r["doc_id"], r["item_id"]) for r in sharded.collect()} >= got
-    assert decontaminate.clean(docs, bench).columns == docs.columns
+    values = ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"]
+    whole = {(r[0], r[1]): r[2:] for r in decontaminate.contaminated(docs, bench).select(values).collect()}
+    parts = {(r[0], r[1]): r[2:] for r in sharded.select(values).collect()}
+    assert whole.keys() == parts.keys() and all(parts[k] == pytest.approx(v) for k, v in whole.items())
+    dirty = {d for d, _ in got}
+    for few in (20_000, 20):
+        odd = docs.withColumns({"_gone": F.lit(7), "doc_id": F.when(F.col("doc_id") >= 9, F.col("doc_id"))})
+        kept = decontaminate.clean(odd, bench, shard_items=few)
+        assert kept.columns == odd.columns and kept.count() == len(texts) - len(dirty)
+    assert decontaminate.clean(docs, bench.filter("false")).count() == len(texts)
+    assert decontaminate.clean(docs.filter("false"), bench).count() == 0
+    # A null id is an id.
+    assert decontaminate.contaminated(docs.withColumn("doc_id", F.lit(None).cast("long")), bench).count() == len({i for _, i in got})
     assert decontaminate.contaminated(docs, bench.filter("false")).count() == 0
 
 
+def test_retrieval_against_scoring_every_item():
+    rng = random.Random(6)
+    items = [(i, words(rng.randrange(4, 30), 50 + i, 60)) for i in range(40)]
+    index = decontaminate.build_index(items, 0.5)
+    number = decontaminate._Words(index.vocabulary)
+    texts = [words(rng.randrange(1, 90), 500 + i, 80) + " " + items[i][1] for i in range(40)]
+    ids = [np.array([number[t] for t in x.split()]) for x in texts]
+    got = {(d, i, round(s, 9)) for d, i, s, *_ in decontaminate.search(index, ids, 0.5, -1.0)}
+    want = set()
+    for d, own in enumerate(ids):
+        for at in range(0, len(own), index.longest):
+            passage = set(own[at : at + 2 * index.longest].tolist())
+            for i in range(len(items)):
+                s = sum(float(y) for x, y in zip(index.terms[i], index.shares[i]) if int(x) in passage)
+                if s >= 0.5 - 1e-9:
+                    want.add((d, i, round(s, 9)))
+    assert got == want and len(want) >= 40
+
+
 # Language model
 
 
@@ -362,7 +533,50 @@ def test_near_duplicates_and_edges(spark):
     docs = frame(spark, [t, " ".join(edited), words(200, 3), t, None])
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [0, 2, 4]
     assert simhash.keep_one(docs).columns == docs.columns
-    assert simhash.near_duplicates(frame(spark, [])).count() == 0
+    assert simhash.near_duplicates(frame(spark, [])).count() == 0 and simhash.keep_one(frame(spark, [])).count() == 0
+    # Links that run over a text without id, and a group without any.
+    bits = lambda f: f - (1 << 64) if f >> 63 else f
+    base = simhash.fingerprint(t)
+    assert bits(base) == simhash.near_duplicates(frame(spark, [t])).first()["fp"]
+    nameless = docs.withColumns({"_gone": F.lit(1), "doc_id": F.when(F.col("doc_id") != 2, F.col("doc_id"))})
+    kept = simhash.keep_one(nameless)
+    assert kept.columns == nameless.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["0", "4", "None"]
+    alone = simhash.near_duplicates(docs.withColumn("doc_id", F.lit(None).cast("long"))).collect()
+    assert len(alone) == 5 and all(r["component_id"] is None for r in alone)
+
+
+@pytest.mark.parametrize("text", EDGE)
+def test_fingerprint_against_the_definition(text):
+    import xxhash
+
+    own = (text or "").encode().lower().split()
+    runs = [b" ".join(own[i : i + 3]) for i in range(max(1, len(own) - 2))] if own else []
+    hashes = [xxhash.xxh64_intdigest(r, 42) for r in runs]
+    assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def test_links_over_a_text_without_id(spark):
+    """Three fingerprints in a row, the middle one without id."""
+    rows = [(5, 0), (None, 0b111), (9, 0b111111), (None, 1 << 40)]
+    fps = spark.createDataFrame(rows, "doc_id long, fp long")
+    before = simhash.fingerprints
+    simhash.fingerprints = lambda *a: fps
+    try:
+        got = {r["fp"]: r["component_id"] for r in simhash.near_duplicates(frame(spark, [])).collect()}
+    finally:
+        simhash.fingerprints = before
+    assert got == {0: 5, 0b111: 5, 0b111111: 5, 1 << 40: 5}
+
+
+def test_shingles_and_bounds():
+    for text in EDGE:
+        own = (text or "").lower().split()
+        runs = {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set()
+        assert len(simhash.shingle_set(text, 5)) == len(runs)
+    a, b = simhash.shingle_set(words(300, 1), 5), simhash.shingle_set(words(300, 1) + " " + words(20, 2), 5)
+    assert simhash.overlap(a, b) == len(set(a.tolist()) & set(b.tolist()))
+    differ = int(np.bitwise_count(simhash.bitmap(a) ^ simhash.bitmap(b)).sum())
+    assert differ <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
 def test_keep_one_against_all_pairs(spark):
@@ -370,7 +584,7 @@ def test_keep_one_against_all_pairs(spark):
     texts = []
     for g in range(6):
         base = [f"word{g}x{i}" for i in range(60)]
-        for _ in range(3):  # the same content words in another order: one fingerprint, low Jaccard
+        for _ in range(3):  # the same words in another order: one fingerprint, low Jaccard
             order = rng.sample(base, len(base))
             texts.append(" ".join(order))
             for k in (20, 40):
@@ -384,12 +598,12 @@ def test_keep_one_against_all_pairs(spark):
             i = parent[i]
         return i
 
-    fps = [simhash.fingerprint(t, content=True) for t in texts]
-    sets = [simhash.shingle_set(t, 5) for t in texts]
+    fps = [simhash.word_fingerprints(np.unique(simhash.word_hashes(t)), 3) for t in texts]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
     for i in range(len(texts)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if (fps[i] ^ fps[j]).bit_count() <= 5 and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            if any((x ^ y).bit_count() <= 5 for x, y in zip(fps[i], fps[j])) and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
                 x, y = root(i), root(j)
                 parent[max(x, y)] = min(x, y)
     want = [i for i in range(len(texts)) if root(i) == i]
