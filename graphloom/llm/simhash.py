@@ -156,14 +156,23 @@ def apart(fps: np.ndarray, comps: np.ndarray, distance: int) -> Iterator[tuple[n
             yield i[keep], j[keep]
 
 
-def _short_runs(starts: np.ndarray, ends: np.ndarray, fp: np.ndarray, rep: np.ndarray, comp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """All links (greater, smaller name) inside runs of at most ``SHORT`` rows, together."""
+def _short_runs(starts: np.ndarray, ends: np.ndarray, fp: np.ndarray, rep: np.ndarray, comp: np.ndarray, key_no: np.ndarray, before: list[np.uint64], distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (greater, smaller name) inside runs of at most ``SHORT`` rows, together.
+
+    Two fingerprints meet under many keys; a link is given under the first of
+    them alone. ``before`` holds the masks of the keys in order.
+    """
     lengths = ends - starts
     index = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-    f, r, c, run = fp[index].view(np.uint64), rep[index], comp[index], np.repeat(np.arange(len(starts)), lengths)
+    f, r, c, run, own = fp[index].view(np.uint64), rep[index], comp[index], np.repeat(np.arange(len(starts)), lengths), key_no[index]
     a, b = [], []
     for lag in range(1, int(lengths.max())):
         near = np.flatnonzero((run[lag:] == run[:-lag]) & (popcount(f[lag:] ^ f[:-lag]) <= distance) & (c[lag:] != c[:-lag]))
+        differ, first = f[near + lag] ^ f[near], own[near]
+        met = np.zeros(len(near), bool)
+        for k, mask in enumerate(before):
+            met |= (k < first) & ((differ & mask) == 0)
+        near = near[~met]
         a.append(np.maximum(r[near + lag], r[near]))
         b.append(np.minimum(r[near + lag], r[near]))
     return np.concatenate(a), np.concatenate(b)
@@ -175,6 +184,7 @@ def _links(distance: int, run_limit: int, level: int, direct: bool, split: bool)
     With ``direct`` an edge of a name to itself marks it as one of a long run.
     """
     masks = dict(variants(distance))
+    before = [np.uint64(m) for _, m in variants(distance)] if level == 1 else []
 
     def second(key_no: int) -> list[tuple[int, int]]:
         rest = [p for p in range(BITS) if not masks[key_no] >> p & 1]
@@ -213,7 +223,8 @@ def _links(distance: int, run_limit: int, level: int, direct: bool, split: bool)
             edge = (starts == 0) | (ends == len(keys))
             short = (ends - starts > 1) & (ends - starts <= SHORT) & ~edge
             if short.any():
-                a, b = _short_runs(starts[short], ends[short], fp, rep, comp, distance)
+                # Under second keys the first ones have the same number; each run stands for itself.
+                a, b = _short_runs(starts[short], ends[short], fp, rep, comp, keys[:, 0], before, distance)
                 if len(a):
                     yield pd.DataFrame({"a": a, "b": b, "key_no": -1, "key": np.int64(0), "no2": -1, "key2": np.int64(0), "fp": np.int64(0)})
             some = (ends - starts > SHORT) | edge

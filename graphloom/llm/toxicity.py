@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_fraction, by_hash, materialize
@@ -118,41 +118,51 @@ def chance(tests: int) -> float:
     return max(3.0, math.sqrt(2 * math.log(max(1, tests))))
 
 
-def telling_pairs(spark: SparkSession, rows: list[np.ndarray], residuals: np.ndarray, variances: np.ndarray, columns: np.ndarray, block: int = 1024) -> set[int]:
-    """Columns in pairs whose joint presence goes with the residuals.
+def telling_pairs(rows: DataFrame, size: int, block: int = 1024) -> set[int]:
+    """Columns below ``size`` in pairs whose joint presence goes with the residuals.
 
-    ``rows`` are arrays of sorted column numbers; a task tests the pairs of two
-    blocks of columns.
+    ``rows`` is (no, residual, variance, columns), a row a document. Documents'
+    columns are dealt by block to the tasks of their pairs of blocks; nothing
+    but the columns found comes to the driver.
     """
-    place = {int(c): i for i, c in enumerate(columns)}
-    dense = [np.array([place[x] for x in r.tolist() if x in place], np.int64) for r in rows]
-    blocks = -(-len(columns) // block)
-    least = chance(len(columns) * (len(columns) - 1) // 2) + 0.5
-    sent = spark.sparkContext.broadcast((dense, residuals.astype(np.float32), variances.astype(np.float32)))
+    blocks = -(-size // block)
+    least = chance(size * (size - 1) // 2) + 0.5
+    tasks = [(i, j) for i in range(blocks) for j in range(i + 1)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dense, r, v = sent.value
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for no, r, v, columns in zip(batch["no"], batch["residual"], batch["variance"], batch["columns"]):
+                own = np.asarray(columns, np.int64)
+                out += [(k, no, r, v, (own[own // block == k] % block).astype(np.int16).tobytes()) for k in np.unique(own // block).tolist()]
+            yield pd.DataFrame(out, columns=["block", "no", "r", "v", "cells"])
+
+    def test(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = tasks[int(rows["task"].iat[0])]
+        rows = rows.sort_values(["no", "block"])
+        docs = rows.drop_duplicates("no")
+        place = {no: n for n, no in enumerate(docs["no"])}
+        r, v = docs["r"].to_numpy(np.float32), docs["v"].to_numpy(np.float32)
 
         def part(k: int) -> np.ndarray:
-            x = np.zeros((len(dense), min(block, len(columns) - k * block)), np.float32)
-            for i, own in enumerate(dense):
-                x[i, own[(own >= k * block) & (own < (k + 1) * block)] - k * block] = 1
+            x = np.zeros((len(docs), block), np.float32)
+            for no, cells in rows.loc[rows["block"] == k, ["no", "cells"]].itertuples(index=False):
+                x[place[no], np.frombuffer(cells, np.int16)] = 1
             return x
 
-        for batch in batches:
-            for i, j in zip(batch["i"], batch["j"]):
-                x, y = part(i), part(j)
-                z = np.abs((x * r[:, None]).T @ y) / np.sqrt((x * v[:, None]).T @ y + 1e-3)
-                a, b = np.nonzero(z >= least)
-                a, b = a + i * block, b + j * block
-                yield pd.DataFrame({"column": np.unique(np.concatenate([a[a != b], b[a != b]]))})
+        x, y = part(i), part(j) if i != j else None
+        y = x if y is None else y
+        z = np.abs((x * r[:, None]).T @ y) / np.sqrt((x * v[:, None]).T @ y + 1e-3)
+        a, b = np.nonzero(z >= least)
+        a, b = a + i * block, b + j * block
+        return pd.DataFrame({"column": np.unique(np.concatenate([a[a != b], b[a != b]]))})
 
-    tasks = [(i, j) for i in range(blocks) for j in range(i + 1)]
-    found = spark.createDataFrame(tasks, "i int, j int").repartition(len(tasks)).mapInPandas(run, "column long").distinct().collect()
-    return {int(columns[r[0]]) for r in found}
+    of_block = F.array(*[F.array(*[F.lit(t) for t, pair in enumerate(tasks) if k in pair]) for k in range(blocks)])
+    dealt = rows.mapInPandas(deal, "block int, no long, r double, v double, cells binary").withColumn("task", F.explode(F.element_at(of_block, F.col("block") + 1)))
+    return {r[0] for r in dealt.groupBy("task").applyInPandas(test, "column long").distinct().collect()}
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = 6000, buckets: int = 1 << 18, pair_share: float = 0.01, rank: int = 4) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = 6000, buckets: int = 1 << 18, pair_share: float = 0.02, rank: int = 4) -> Machine:
     """Fit on at most about ``train_docs`` labelled rows of each label."""
     known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
@@ -160,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pick = F.lit(False)
     for label in (0, 1):
         pick = pick | ((F.col("label") == label) & by_hash("id", bounded_fraction(sizes.get(label, 0), train_docs), 5))
-    sample = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known.filter(pick)), "id"), "toxic-sample")
+    sample = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known.filter(pick)), "id").withColumn("no", F.monotonically_increasing_id()), "toxic-sample")
 
     def presence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = _Terms(buckets, None)
@@ -185,38 +195,35 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     z = (p1 - p0) / np.sqrt(pooled * (1 - pooled) * (1 / (n0 + 1) + 1 / (n1 + 1)))
     single = {int(x) for x in table["bucket"][z.abs() >= chance(len(table))]}
     common = table["bucket"][table["n0"] + table["n1"] >= max(2, pair_share * (n0 + n1))].to_numpy()
-    wanted = {x: i for i, x in enumerate(sorted(single | {int(x) for x in common}))}
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = _Terms(buckets, wanted)
-        for batch in batches:
-            yield pd.DataFrame({"label": batch["label"], "ids": [of.of(t) for t in batch["text"]]})
-
-    data = sample.mapInPandas(vectors, "label int, ids array<int>").toArrow()
-    lists = data["ids"].combine_chunks()
-    ends, flat = np.asarray(lists.offsets), np.asarray(lists.values)
-    rows = [flat[a:b].astype(np.int64) for a, b in zip(ends, ends[1:])]
-    labels_ = data["label"].to_numpy().astype(float)
-    # A total order, so that sums don't depend on how tasks ended.
-    order = sorted(range(len(rows)), key=lambda i: (labels_[i], rows[i].tobytes()))
-    rows, labels_ = [rows[i] for i in order], labels_[order]
-    names = np.array(sorted(wanted), np.int64)
-
-    def machine(columns: set[int]) -> Machine:
-        """Fitted on the columns only, for the sample's share of labels."""
-        at = np.full(len(names) + 1, -1)
-        own = sorted(columns)
-        at[own] = np.arange(len(own))
-        picked = [at[r][at[r] >= 0] for r in rows]
-        return Machine(buckets, {int(names[c]): i for i, c in enumerate(own)}, *fit(picked, labels_, len(own), rank))
-
-    first = {wanted[x] for x in single}
-    found = machine(first)
-    logits = np.array([found.logit([found.kept[int(names[c])] for c in r.tolist() if int(names[c]) in found.kept]) for r in rows])
-    p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
-    more = telling_pairs(docs.sparkSession, rows, labels_ - p, p * (1 - p) + 0.01, np.array([wanted[int(x)] for x in common], np.int64)) if len(common) > 1 else set()
-    if more - first:
-        found = machine(first | more)
+    def vectors(wanted: dict[int, int]) -> DataFrame:
+        """Columns of the wanted buckets in each document of the sample."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            of = _Terms(buckets, wanted)
+            for batch in batches:
+                yield pd.DataFrame({"no": batch["no"], "label": batch["label"], "columns": [of.of(t) for t in batch["text"]]})
+
+        return sample.mapInPandas(run, "no long, label int, columns array<int>")
+
+    def machine(chosen: set[int]) -> tuple[Machine, np.ndarray, list[np.ndarray], np.ndarray]:
+        """Fitted on some buckets, for the sample's share of labels; documents' numbers, columns and labels."""
+        index = {x: i for i, x in enumerate(sorted(chosen))}
+        data = vectors(index).toArrow().to_pydict()
+        # A total order, so that sums don't depend on how tasks ended.
+        order = sorted(range(len(data["no"])), key=lambda i: (data["label"][i], data["columns"][i], data["no"][i]))
+        rows = [np.array(data["columns"][i], np.int64) for i in order]
+        labels_ = np.array([data["label"][i] for i in order], float)
+        return Machine(buckets, index, *fit(rows, labels_, len(index), rank)), np.array(data["no"], np.int64)[order], rows, labels_
+
+    found, numbers, rows, labels_ = machine(single)
+    if len(common) > 1:
+        p = 1 / (1 + np.exp(-np.clip([found.logit(r.tolist()) for r in rows], -30, 30)))
+        left = docs.sparkSession.createDataFrame(pd.DataFrame({"no": numbers, "residual": labels_ - p, "variance": p * (1 - p) + 0.01}))
+        places = {int(x): i for i, x in enumerate(common)}
+        more = {int(common[c]) for c in telling_pairs(vectors(places).join(F.broadcast(left), "no").select("no", "residual", "variance", "columns"), len(common))}
+        if more - single:
+            found = machine(single | more)[0]
     # The sample may hold the labels in another proportion than all rows.
     found.bias += float(np.log((share / (1 - share)) / (n1 / n0))) if 0 < share < 1 else 0.0
     return found
