@@ -41,11 +41,16 @@ class Engine:
         usage = text.is_usage_path(F.col("filePath"))
         return found.orderBy("_rank", F.coalesce(usage, F.lit(False)), "id").limit(1).drop("_rank")
 
-    def context(self, name: str, path: str | None = None) -> DataFrame:
-        return traverse.context(self.graph, self.symbol(name, path).select("id"))
+    def context(self, name: str, path: str | None = None, tests: bool = False) -> DataFrame:
+        """Neighbours of a symbol; those in tests and examples only if asked for."""
+        return traverse.context(self.graph, self.symbol(name, path).select("id"), self._usage(tests))
 
-    def impact(self, name: str, direction: str = "downstream", depth: int = 5, path: str | None = None) -> DataFrame:
-        return traverse.impact(self.graph, self.symbol(name, path).select("id"), direction, depth)
+    def impact(self, name: str, direction: str = "downstream", depth: int = 5, path: str | None = None, tests: bool = False) -> DataFrame:
+        """What a change reaches; through tests and examples only if asked for."""
+        return traverse.impact(self.graph, self.symbol(name, path).select("id"), direction, depth, self._usage(tests))
+
+    def _usage(self, tests: bool):
+        return None if tests else text.is_usage_path(F.col("filePath"))
 
     def schema(self) -> dict[str, DataFrame]:
         return {"labels": self.graph.label_counts(), "types": self.graph.type_counts(), "properties": self.graph.property_keys()}

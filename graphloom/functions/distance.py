@@ -53,7 +53,30 @@ def closest(names: DataFrame, asked: DataFrame) -> DataFrame:
     """
     last = F.regexp_extract("name", r"[^/]*$", 0)
     known = names.select(F.explode(F.array("name", last)).alias("name")).filter("name is not null").distinct()
-    near = asked.select("asked").distinct().join(known, edit_distance(F.lower("asked"), F.lower("name")) <= allowed_distance(F.col("asked"), F.col("name")))
+    # Names of a length that four edits can reach meet, by equality of lengths.
+    lengths = F.explode(F.transform(F.sequence(F.lit(-4), F.lit(4)), lambda d: F.length("asked") + d)).alias("length")
+    near = asked.select("asked").distinct().select("asked", lengths).join(known.withColumn("length", F.length("name")), "length").drop("length")
+    near = near.filter(edit_distance(F.lower("asked"), F.lower("name")) <= allowed_distance(F.col("asked"), F.col("name")))
     near = near.withColumn("distance", edit_distance(F.lower("asked"), F.lower("name")))
     order = Window.partitionBy("asked").orderBy("distance", "name")
     return near.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
+
+
+def distance(a: str, b: str) -> int:
+    """Edits of one character and exchanges of two neighbours, each place edited once."""
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            best = min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, rows[-2][j - 2] + 1)
+            row.append(best)
+        rows.append(row)
+    return rows[-1][-1]
+
+
+def suggest(asked: str, names: list[str]) -> str | None:
+    """The name of a short list that a string may mean, by whole names and their last parts."""
+    near = [(distance(asked.lower(), part.lower()), n) for n in names for part in {n, n.rsplit("/", 1)[-1]} if distance(asked.lower(), part.lower()) <= min(4, max(1, max(len(asked), len(part)) * 2 // 5))]
+    return min(near)[1] if near else None

@@ -81,7 +81,7 @@ def scored_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = _table(spark, sf_dir, "lineitem").join(p.select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("callee")), "l_partkey")
     line = line.join(p.select(F.col("p_partkey").alias("l_suppkey"), file.alias("file"), F.col("p_brand").alias("receiverType")), "l_suppkey")
     found = line.select(F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("call"), "callee", F.lit(None).cast("string").alias("original"), "file", F.lit("").alias("receiver"), "receiverType").distinct()
-    one = p.filter("p_partkey <= 200").select(F.col("p_partkey").alias("k"), file.alias("f"))
+    one = p.select(F.col("p_partkey").alias("k"), file.alias("f"))
     imports = one.select("k", F.col("f").alias("file")).join(one.select((F.col("k") - 1).alias("k"), F.col("f").alias("target")), "k").select("file", "target")
     return resolve.calls(found, symbols, imports).select("call", "id", F.col("score").cast("long").alias("score"))
 
@@ -102,14 +102,15 @@ def suffix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orphan_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors whose id is no supplier's."""
-    s = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("vec_id"))
-    return _table(spark, sf_dir, "embeddings").select("vec_id").join(s, "vec_id", "left_anti")
+    s = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    return embedding.orphans(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), s).select(F.col("id").alias("vec_id"))
 
 
 def vector_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 20 neighbours of at least 0.2 of every vector whose id is divisible by 20."""
     v = _table(spark, sf_dir, "embeddings")
-    found = search.vector_top(v, v.filter("vec_id = 1").select("embedding").first()[0], 20, 0.2, "vec_id", "embedding")
-    return found.select(F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
+    found = search.vector_top_all(v, v.filter("vec_id % 20 = 0"), 20, 0.2, "vec_id", "embedding")
+    return found.select("query", F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
 def vector_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,11 +253,11 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "flow_pagerank": (flow_pagerank, None),
     "leiden_members": (leiden_members, None),
     "mro_ambiguity": (mro_ambiguity, "WITH o AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), m AS (SELECT s_nationkey AS nk, p_name, p_partkey AS p, min(s_suppkey) AS s, max(CASE WHEN s_acctbal > 5000 THEN 1 ELSE 0 END) AS solid FROM o JOIN supplier ON s_suppkey = s JOIN part ON p_partkey = p GROUP BY 1, 2, 3), g AS (SELECT nk, p_name, count(*) AS n, sum(solid) AS c, min(s) AS first, min(CASE WHEN solid = 1 THEN 'part:' || p END) AS one FROM m GROUP BY 1, 2 HAVING count(*) > 1) SELECT 'nation:' || nk AS child, p_name AS method_name, n, CASE WHEN nk % 3 = 2 THEN NULL WHEN nk % 3 = 1 THEN CASE WHEN c = 1 THEN one END ELSE (SELECT min('part:' || m.p) FROM m WHERE m.nk = g.nk AND m.p_name = g.p_name AND m.s = g.first) END AS resolved FROM g"),
-    "scored_best_match": (scored_best_match, f"WITH p AS (SELECT *, {_FILE} AS f, 'b/' || p_brand AS d FROM part), i AS (SELECT DISTINCT a.f AS f, b.f AS t, b.d AS td FROM p a JOIN p b ON b.p_partkey = a.p_partkey + 1 WHERE b.p_partkey <= 200), k AS (SELECT DISTINCT x.p_name AS name, y.p_brand AS brand, y.f AS f, y.d AS d FROM lineitem JOIN p x ON x.p_partkey = l_partkey JOIN p y ON y.p_partkey = l_suppkey), s AS (SELECT k.name, k.f, p_partkey AS id, 10 * (p_size > 25)::INT + 100 * (p.f = k.f)::INT + CASE WHEN (k.f, p.f) IN (SELECT (f, t) FROM i) THEN 50 WHEN (k.f, p.d) IN (SELECT (f, td) FROM i) THEN 45 ELSE 0 END + 40 * (p.d = k.d AND p.f <> k.f)::INT + 200 * (p.p_brand = k.brand)::INT AS score FROM k JOIN p ON p.p_name = k.name), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY name, f ORDER BY score DESC, id) = 1) SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS call, id, score::BIGINT AS score FROM lineitem JOIN p x ON x.p_partkey = l_partkey JOIN p y ON y.p_partkey = l_suppkey JOIN b ON b.name = x.p_name AND b.f = y.f"),
+    "scored_best_match": (scored_best_match, f"WITH p AS (SELECT *, {_FILE} AS f, 'b/' || p_brand AS d FROM part), i AS (SELECT DISTINCT a.f AS f, b.f AS t, b.d AS td FROM p a JOIN p b ON b.p_partkey = a.p_partkey + 1), k AS (SELECT DISTINCT x.p_name AS name, y.p_brand AS brand, y.f AS f, y.d AS d FROM lineitem JOIN p x ON x.p_partkey = l_partkey JOIN p y ON y.p_partkey = l_suppkey), s AS (SELECT k.name, k.f, p_partkey AS id, 10 * (p_size > 25)::INT + 100 * (p.f = k.f)::INT + CASE WHEN (k.f, p.f) IN (SELECT (f, t) FROM i) THEN 50 WHEN (k.f, p.d) IN (SELECT (f, td) FROM i) THEN 45 ELSE 0 END + 40 * (p.d = k.d AND p.f <> k.f)::INT + 200 * (p.p_brand = k.brand)::INT AS score FROM k JOIN p ON p.p_name = k.name), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY name, f ORDER BY score DESC, id) = 1) SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS call, id, score::BIGINT AS score FROM lineitem JOIN p x ON x.p_partkey = l_partkey JOIN p y ON y.p_partkey = l_suppkey JOIN b ON b.name = x.p_name AND b.f = y.f"),
     "range_enclosing": (range_enclosing, "WITH s AS (SELECT p_brand, p_size AS span, min(p_retailprice) AS a, max(p_retailprice) AS b FROM part GROUP BY 1, 2) SELECT p_partkey AS point, span FROM part JOIN s USING (p_brand) WHERE p_retailprice BETWEEN a AND b QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY b - a, span) = 1"),
     "suffix_join": (suffix_join, "WITH f AS (SELECT DISTINCT 'src/' || p_brand || '/' || p_size || '.py' AS path FROM part) SELECT s_suppkey AS want, path FROM supplier JOIN f ON path = 'src/Brand#1' || (s_suppkey % 5 + 1) || '/' || (s_suppkey % 50 + 1) || '.py'"),
     "orphan_anti": (orphan_anti, "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT s_suppkey FROM supplier)"),
-    "vector_min_score": (vector_min_score, f"SELECT vec_id, round(c, 5) AS score FROM (SELECT vec_id, {_COS.format(1)} AS c FROM embeddings) WHERE c >= 0.2 ORDER BY c DESC, vec_id LIMIT 20"),
+    "vector_min_score": (vector_min_score, "WITH s AS (SELECT q.vec_id AS query, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) SELECT query, vec_id, round(score, 5) AS score FROM s WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY s.score DESC, vec_id) <= 20"),
     "vector_supplement": (vector_supplement, f"SELECT vec_id, round(c, 5) AS score FROM (SELECT vec_id, c FROM (SELECT vec_id, {_COS.format(2)} AS c FROM embeddings) WHERE c >= 0 ORDER BY c DESC, vec_id LIMIT 25) WHERE vec_id % 2 <> 0 ORDER BY c DESC, vec_id LIMIT 5"),
     "overlap_boost": (overlap_boost, "SELECT p_partkey, round(1 + 0.15 * len(list_intersect(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9_]+'), ['copper', 'small', 'brand'])), 4)::DOUBLE AS boost FROM part"),
     "label_boost": (label_boost, "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 1.25 WHEN 1 THEN 0.95 WHEN 2 THEN 0.85 ELSE 1.0 END::DOUBLE AS boost FROM part"),

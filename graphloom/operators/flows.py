@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import text
 from .graph import PropertyGraph
-from .traverse import _written
+from .traverse import written
 
 # Limits of flows and of the functions that coordinate others.
 DEPTH, BRANCH, LEAST_STEPS, LEAST_CONFIDENCE = 10, 4, 3, 0.5
@@ -114,8 +114,8 @@ def trace(graph: PropertyGraph, begin: DataFrame, depth: int = DEPTH, branch: in
     steps = _calls(graph).withColumn("confidence", sure).filter(~((sure > 0) & (sure < confidence)))
     # Parallel calls to one child can use its budget once only.
     steps = steps.groupBy("src", F.col("dst").alias("to")).agg(F.max("confidence").alias("confidence")).join(graph.nodes.select(F.col("id").alias("to")), "to", "left_semi")
-    steps = _written(steps)
-    levels = [_written(begin.select(F.col("id").alias("flow"), F.col("id").alias("node"), F.lit(1).alias("pos"), F.lit(0).alias("depth")).distinct())]
+    steps = written(steps)
+    levels = [written(begin.select(F.col("id").alias("flow"), F.col("id").alias("node"), F.lit(1).alias("pos"), F.lit(0).alias("depth")).distinct())]
     for k in range(depth):
         front = levels[-1]
         near = front.join(steps, F.col("node") == F.col("src")).select("flow", F.col("to").alias("node"), "pos", "confidence", F.lit(True).alias("new"))
@@ -125,7 +125,7 @@ def trace(graph: PropertyGraph, begin: DataFrame, depth: int = DEPTH, branch: in
         known = known.join(front.select("flow").distinct(), "flow", "left_semi").select("flow", "node", "pos", F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("new"))
         ordered = near.union(known).repartition("flow").sortWithinPartitions("flow", "new", "pos", F.desc("confidence"), "node")
         new = ordered.mapInPandas(_advance(k, branch), "flow string, node string, pos int, depth int")
-        level = _written(new)
+        level = written(new)
         if level.isEmpty():
             break
         levels.append(level)
@@ -134,7 +134,7 @@ def trace(graph: PropertyGraph, begin: DataFrame, depth: int = DEPTH, branch: in
         found = found.union(level)
     same = found.groupBy("flow").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("node")), "\n"), 256).alias("key")).filter(F.col("n") >= least)
     chosen = same.groupBy("key").agg(F.min("flow").alias("flow")).select("flow")
-    return _written(found.join(chosen, "flow", "left_semi"))
+    return written(found.join(chosen, "flow", "left_semi"))
 
 
 def importance(graph: PropertyGraph, steps: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def importance(graph: PropertyGraph, steps: DataFrame, kinds: DataFrame) -> Data
     """
     nodes = graph.nodes.select(F.col("id").alias("node"), "name", F.coalesce("filePath", F.lit("")).alias("path"))
     share = steps.groupBy("node").agg(F.count(F.lit(1)).alias("share"))
-    s = _written(steps.join(share, "node").join(nodes, "node"))
+    s = written(steps.join(share, "node").join(nodes, "node"))
     package = F.when(text.path_dir(F.col("path")) != "", text.path_dir(F.col("path")))
     base = s.groupBy("flow").agg(F.count(F.lit(1)).cast("double").alias("steps"), F.sum(1 / F.cbrt("share")).alias("weight"), F.count_distinct(package).alias("packages"))
 
@@ -207,12 +207,12 @@ def page_rank(scores: DataFrame, steps: DataFrame, rounds: int = ROUNDS, damping
     ids = scores.select("flow")
     held = steps.join(ids.select(F.col("flow").alias("node")), "node", "left_semi").join(ids, "flow", "left_semi").select("flow", F.col("node").alias("other"))
     outs = held.groupBy("flow").agg(F.count(F.lit(1)).alias("outs"))
-    links = _written(held.filter("flow <> other").join(outs, "flow"))
-    seed = _written(scores.select("flow", "importance"))
+    links = written(held.filter("flow <> other").join(outs, "flow"))
+    seed = written(scores.select("flow", "importance"))
     rank = seed.withColumnRenamed("importance", "rank")
     for _ in range(rounds):
         given = links.join(rank, "flow").groupBy(F.col("other").alias("flow")).agg(F.sum(F.col("rank") / F.col("outs")).alias("given"))
-        rank = _written(seed.join(given, "flow", "left").select("flow", ((1 - damping) * F.col("importance") + damping * F.coalesce("given", F.lit(0.0))).alias("rank")))
+        rank = written(seed.join(given, "flow", "left").select("flow", ((1 - damping) * F.col("importance") + damping * F.coalesce("given", F.lit(0.0))).alias("rank")))
     ratio = F.when(F.col("importance") > 0, F.col("rank") / F.col("importance")).otherwise(0.0)
     lifted = F.when(ratio > 1, F.col("importance") * (1 + F.log1p(F.greatest(ratio - 1, F.lit(0.0))))).otherwise(F.col("importance"))
     return seed.join(rank, "flow").select("flow", lifted.alias("importance"))
@@ -220,9 +220,9 @@ def page_rank(scores: DataFrame, steps: DataFrame, rounds: int = ROUNDS, damping
 
 def add_flows(graph: PropertyGraph, tests: bool = False) -> PropertyGraph:
     """The graph with a Process node per flow and numbered steps from its symbols."""
-    kinds = _written(starts(graph, tests))
+    kinds = written(starts(graph, tests))
     steps = trace(graph, kinds)
-    scored = _written(importance(graph, steps, kinds))
+    scored = written(importance(graph, steps, kinds))
     ranked = page_rank(scored, steps).join(scored.drop("importance"), "flow")
     name = F.concat("name", F.lit("-flow"))
     head = ranked.join(graph.nodes.select(F.col("id").alias("flow"), "name"), "flow")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -31,10 +31,20 @@ class PropertyGraph:
 
     @staticmethod
     def of(nodes: DataFrame, edges: DataFrame) -> PropertyGraph:
-        """A graph with all of the model's columns."""
+        """A graph with all of the model's columns.
+
+        Edges without edge_id get a hash of what they hold and of their number
+        among equal ones, so that it is the same wherever it is worked out.
+        """
+        named = "edge_id" in edges.columns
         nodes = conform(nodes, model.NODE_SCHEMA).withColumn("labels", F.coalesce("labels", F.array("label")))
         edges = conform(edges, model.EDGE_SCHEMA)
-        return PropertyGraph(nodes, edges.withColumn("edge_id", F.coalesce("edge_id", model.edge_id("src", "dst", "type", F.monotonically_increasing_id().cast("string")))))
+        if named:
+            return PropertyGraph(nodes, edges)
+        plain = [c for c in edges.columns if c not in ("edge_id", "props")]
+        equal = Window.partitionBy(*plain, F.to_json("props")).orderBy("src")
+        parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in plain] + [F.coalesce(F.to_json("props"), F.lit("")), F.row_number().over(equal).cast("string")]
+        return PropertyGraph(nodes, edges.withColumn("edge_id", model.edge_id(*parts)))
 
     # Scans and lookups
 

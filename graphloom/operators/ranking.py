@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from . import search
 from .graph import PropertyGraph
-from .traverse import _written
+from .traverse import written
 
 # What is searched and how fields weigh for identifiers and for prose.
 SEARCHED = "File Function Class Method Interface Struct Enum Const Variable Module Namespace Trait TypeAlias Property Constructor Delegate Record Macro Typedef Union Dependency".split()
@@ -216,8 +216,8 @@ def query(graph: PropertyGraph, asked: str, limit: int = 10, vectors: DataFrame
         extra = supplement(found, vectors, vector, limit).join(graph.nodes.select("id", "name", "label", "filePath"), "id")
         extra = extra if tests else extra.filter(~text.is_usage_path(F.col("filePath")))
         found = found.unionByName(extra.select("id", "name", "label", "filePath", "score"))
-    found = _written(found)
-    flows = _written(processes(graph, asked, found, limit))
+    found = written(found)
+    flows = written(processes(graph, asked, found, limit))
     budget = min(max(limit // 2, 3), 10)
     steps = graph.edges_of("STEP_IN_PROCESS").join(flows.select(F.col("id").alias("dst"), "relevance"), "dst").groupBy(F.col("src").alias("id")).agg(F.max("relevance").alias("relevance"))
     near = steps.join(found.select("id"), "id", "left_anti").join(graph.nodes.select("id", "name", "label", "filePath", "signature"), "id").join(graph.degree(), "id", "left")

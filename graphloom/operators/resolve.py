@@ -91,7 +91,17 @@ def imports(found: DataFrame, files: DataFrame) -> DataFrame:
     beside = rows.withColumn("path", F.when(F.col("folder") == "", F.col("rest")).otherwise(F.concat_ws("/", "folder", "rest"))).join(f, "path").select("imp", "path", F.lit(0).alias("tier"))
     rooted = rows.withColumn("path", F.col("rest")).join(f, "path").select("imp", "path", F.lit(1).alias("tier"))
     ended = by_suffix(rows.select(F.col("imp").alias("want"), F.col("rest").alias("suffix")), f).select(F.col("want").alias("imp"), "path", F.lit(2).alias("tier"))
-    every = beside.union(rooted).union(ended)
+    # A Go import names a folder, by the end of its path; Swift ones name one, too.
+    # The folder stands for its first file outside tests.
+    here = f.withColumn("at", text.path_dir(F.col("path"))).filter(F.col("path").rlike(r"\.(go|swift)$") & ~text.is_test_path(F.col("path")))
+    first = here.groupBy("at", F.regexp_extract("path", r"([a-z]+)$", 1).alias("language")).agg(F.min("path").alias("path"))
+    parts = F.split("source", "/")
+    ends_ = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    named = found.filter("language in ('go', 'swift') and source <> ''").select("imp", "language", F.posexplode(ends_).alias("n", "at"))
+    # A name of one part is of the standard library; settings write the project's own as './name'.
+    own = found.filter("language = 'go' and startswith(source, './')").select("imp", "language", F.lit(0).alias("n"), F.substring("source", 3, 10_000).alias("at"))
+    inside = named.filter(F.col("at").contains("/") & ~F.col("at").startswith("./")).unionByName(own).join(first, ["at", "language"]).select("imp", "path", (F.lit(3) + F.col("n")).alias("tier"))
+    every = beside.union(rooted).union(ended).union(inside)
     return every.groupBy("imp").agg(F.min_by("path", F.struct("tier", F.char_length("path"), "path")).alias("path"))
 
 
@@ -105,3 +115,30 @@ def first_by_name(refs: DataFrame, symbols: DataFrame, *labels: str) -> DataFram
     """The smallest id among symbols (id, name, label) with a reference's name: ref, id."""
     s = symbols.filter(F.col("label").isin(*labels)) if labels else symbols
     return refs.join(s.groupBy("name").agg(F.min("id").alias("id")), "name").select("ref", "id")
+
+
+# Names of built-in functions, which calls leave out.
+BUILT_IN = (
+    "log warn error info debug setTimeout setInterval clearTimeout clearInterval parseInt parseFloat isNaN isFinite parse stringify resolve reject then catch finally require map filter reduce forEach find "
+    "findIndex some every includes indexOf slice splice concat join split push pop shift unshift sort reverse keys values entries assign freeze hasOwnProperty toString useState useEffect useCallback useMemo "
+    "useRef useContext useReducer createElement createContext forwardRef memo print len range str int float list dict set tuple open read write close append extend update super type isinstance issubclass "
+    "getattr setattr hasattr enumerate zip sorted reversed min max sum abs printf fprintf sprintf snprintf scanf fscanf sscanf malloc calloc realloc free memcpy memmove memset memcmp strlen strcpy strncpy "
+    "strcat strcmp sizeof assert abort exit fopen fclose fread fwrite make new panic recover copy delete puts p pp raise fail lambda proc each select detect collect inject flat_map any? all? none? count first "
+    "last sort_by group_by partition compact flatten uniq attr_accessor attr_reader attr_writer public private protected include prepend require_relative likely unlikely printk kfree kmalloc kzalloc"
+).split()
+
+
+def kept_calls(met: DataFrame) -> DataFrame:
+    """Resolved calls (kind, name, dst, ...) of other than built-in names."""
+    return met.filter((F.col("kind") == "call") & ~F.col("name").isin(*BUILT_IN))
+
+
+def kept_delegates(met: DataFrame) -> DataFrame:
+    """Resolved function values: (kind, name, receiver, src, dst, label, of, score).
+
+    Only functions and methods that score as in the same file or owner count; a
+    method with an owner needs a receiver, and nothing delegates to itself.
+    """
+    sure = (F.col("kind") == "delegate") & (F.col("score") >= SAME_FILE) & F.col("label").isin("Function", "Method") & ~F.col("name").isin(*BUILT_IN)
+    bare = (F.coalesce("receiver", F.lit("")) == "") & (F.col("label") == "Method") & (F.coalesce("of", F.lit("")) != "")
+    return met.filter(sure & ~bare & (F.col("src") != F.col("dst")))

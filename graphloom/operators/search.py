@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +89,73 @@ def vector_top(vectors: DataFrame, query: list[float], k: int = 10, least: float
     return s.filter(F.col("score") >= least).orderBy(F.desc("score"), "id").limit(k)
 
 
+def vector_top_all(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0, id_col: str = "id", vector_col: str = "vector", block: int = 1024) -> DataFrame:
+    """Nearest vectors of every query: query, id, score.
+
+    Queries go out in blocks of at most ``block`` vectors; a task keeps its
+    best ``k`` of each query, and these meet in a last ranking. Scores are
+    cosines in doubles, 0 for unlike lengths or a zero vector; ties to nine
+    places rank by id.
+    """
+    spark = vectors.sparkSession
+    ids = queries.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id")).orderBy("id")
+    kind = vectors.schema[id_col].dataType.simpleString()
+    edges = [r["id"] for r in ids.withColumn("n", F.row_number().over(Window.orderBy("id"))).filter((F.col("n") - 1) % block == 0).select("id").collect()]
+    parts = []
+    for low, high in zip(edges, [*edges[1:], None]):
+        own = queries.filter(F.col(id_col) >= low) if high is None else queries.filter((F.col(id_col) >= low) & (F.col(id_col) < high))
+        rows = own.filter(F.col(vector_col).isNotNull()).select(id_col, vector_col).orderBy(id_col).collect()
+        sent = spark.sparkContext.broadcast(([r[0] for r in rows], [np.asarray(r[1], float) for r in rows]))
+        near = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).mapInPandas(_nearest(sent, k, least), f"query {kind}, id {kind}, score double")
+        parts.append(near)
+    if not parts:
+        return spark.createDataFrame([], f"query {kind}, id {kind}, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return reduce(DataFrame.union, parts).withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
+
+
+def _nearest(sent, k: int, least: float):
+    """Each task's best ``k`` vectors of every query of a block."""
+
+    def unit(rows: list[np.ndarray]) -> np.ndarray:
+        m = np.stack(rows)
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, wanted = sent.value
+        sizes = sorted({len(q) for q in wanted})
+        of_size = {n: [i for i, q in enumerate(wanted) if len(q) == n] for n in sizes}
+        units = {n: unit([wanted[i] for i in own]) for n, own in of_size.items()}
+        held: list[pd.DataFrame] = []
+
+        def best(parts: list[pd.DataFrame]) -> pd.DataFrame:
+            rows = pd.concat(parts).sort_values(["query", "score", "id"], ascending=[True, False, True], kind="stable")
+            return rows.groupby("query", sort=False).head(k)
+
+        for batch in batches:
+            batch = batch[batch["vector"].notna()]
+            if not len(batch):
+                continue
+            lengths = batch["vector"].map(len).to_numpy()
+            keys = batch["id"].to_numpy()
+            for n in sizes:
+                scores = np.zeros((len(of_size[n]), len(batch)))
+                like = np.flatnonzero(lengths == n)
+                if len(like):
+                    scores[:, like] = np.round(units[n] @ unit([np.asarray(v, float) for v in batch["vector"].to_numpy()[like]]).T, 9)
+                some = min(k, len(batch))
+                # The k-th best score of each query; ties beyond it are settled by id.
+                cut = np.partition(scores, len(batch) - some, axis=1)[:, len(batch) - some]
+                q, v = np.nonzero((scores >= cut[:, None]) & (scores >= least))
+                held.append(pd.DataFrame({"query": np.array(names, dtype=keys.dtype)[np.array(of_size[n])[q]], "id": keys[v], "score": scores[q, v]}))
+            held = [best(held)]
+        if held:
+            yield held[0]
+
+    return run
+
+
 def min_max(df: DataFrame, col: str = "score") -> DataFrame:
     """Scores between 0 and 1; all equal gives 1."""
     s = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import is_test_path
 from .graph import PropertyGraph
 
 # Edge types that impact follows.
@@ -16,16 +17,25 @@ DOWNSTREAM_IN = "CALLS SPAWNS DELEGATES_TO IMPORTS EXTENDS IMPLEMENTS HAS_METHOD
 DOWNSTREAM_OUT = "HAS_METHOD HAS_PROPERTY".split()
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """A written copy in the shared folder, which ends the lineage."""
-    spark: SparkSession = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share.
+
+    Only a local session may name none; elsewhere that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/graphloom/frontier-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A written copy in the shared folder, which ends the lineage."""
+    path = scratch(df.sparkSession, "frontier")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reach(steps: DataFrame, start: DataFrame, depth: int, blocked: DataFrame | None = None) -> DataFrame:
@@ -34,14 +44,14 @@ def reach(steps: DataFrame, start: DataFrame, depth: int, blocked: DataFrame | N
     ``start`` (id) has depth 0 and isn't returned. Nodes in ``blocked`` (id)
     are neither returned nor expanded.
     """
-    seen = _written(start.select("id", F.lit(0).alias("depth")).distinct())
+    seen = written(start.select("id", F.lit(0).alias("depth")).distinct())
     frontier = seen
     for k in range(1, depth + 1):
         near = frontier.join(steps, F.col("id") == F.col("from")).select(F.col("to").alias("id")).distinct()
         near = near.join(seen, "id", "left_anti")
         if blocked is not None:
             near = near.join(blocked, "id", "left_anti")
-        frontier = _written(near.select("id", F.lit(k).alias("depth")))
+        frontier = written(near.select("id", F.lit(k).alias("depth")))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
@@ -69,26 +79,36 @@ def impact(graph: PropertyGraph, start: DataFrame, direction: str = "downstream"
     return reach(steps, start, depth, blocked).join(graph.nodes, "id")
 
 
-def context(graph: PropertyGraph, start: DataFrame) -> DataFrame:
-    """One-hop neighbourhood of ``start`` (id): section, id, name, label; one pass over edges."""
-    e = graph.edges.join(F.broadcast(start.select("id").distinct()), (F.col("src") == F.col("id")) | (F.col("dst") == F.col("id")))
-    out = F.col("src") == F.col("id")
-    call = F.col("type").isin("CALLS", "SPAWNS", "DELEGATES_TO")
+def context(graph: PropertyGraph, start: DataFrame, usage: Column | None = None) -> DataFrame:
+    """One-hop neighbourhood of ``start`` (id): section, id, name, label.
+
+    Nodes for which ``usage`` holds are left out. Of nodes in one section with
+    the same name, file and line only the smallest id is returned.
+    """
+    keys = start.select("id").distinct()
+    e = graph.edges.select("src", "dst", "type")
+    out = e.join(keys.withColumnRenamed("id", "src"), "src").select("type", F.lit(True).alias("out"), F.col("dst").alias("other"))
+    back = e.join(keys.withColumnRenamed("id", "dst"), "dst").select("type", F.lit(False).alias("out"), F.col("src").alias("other"))
+    call, t, away = F.col("type").isin("CALLS", "SPAWNS", "DELEGATES_TO"), F.col("type"), F.col("out")
     section = (
-        F.when(call, F.when(out, "callees").otherwise("callers"))
-        .when(F.col("type") == "IMPORTS", F.when(out, "imports").otherwise("importers"))
-        .when((F.col("type") == "STEP_IN_PROCESS") & out, "processes")
-        .when((F.col("type") == "IMPLEMENTS") & ~out, "implementors")
-        .when((F.col("type") == "EXTENDS") & out, "extends")
+        F.when(call, F.when(away, "callees").otherwise("callers"))
+        .when(t == "IMPORTS", F.when(away, "imports").otherwise("importers"))
+        .when((t == "STEP_IN_PROCESS") & away, "processes")
+        .when((t == "IMPLEMENTS") & ~away, "implementors")
+        .when((t == "EXTENDS") & away, "extends")
     )
-    near = e.select(section.alias("section"), F.when(out, F.col("dst")).otherwise(F.col("src")).alias("other")).filter("section is not null").distinct()
-    return near.join(graph.nodes, F.col("other") == F.col("id")).select("section", "id", "name", "label")
+    near = out.union(back).select(section.alias("section"), "other").filter("section is not null").distinct()
+    nodes = graph.nodes if usage is None else graph.nodes.filter(~F.coalesce(usage, F.lit(False)))
+    found = near.join(nodes, F.col("other") == F.col("id"))
+    place = F.struct(F.coalesce("filePath", "id").alias("file"), F.coalesce("startLine", F.lit(-1)).alias("line"))
+    one = found.groupBy("section", "name", place.alias("place")).agg(F.min(F.struct("id", "label")).alias("n"))
+    return one.select("section", "n.id", "name", "n.label")
 
 
 def entry_points(graph: PropertyGraph) -> DataFrame:
-    """Functions and methods that nothing calls."""
+    """Functions and methods outside tests that nothing calls."""
     called = graph.edges_of("CALLS").select(F.col("dst").alias("id"))
-    return graph.by_label("Function", "Method").join(called, "id", "left_anti")
+    return graph.by_label("Function", "Method").filter(~is_test_path(F.col("filePath"))).join(called, "id", "left_anti")
 
 
 def set_containment(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ A variable's properties are flat columns ``var__property``, so Catalyst prunes
 them and pushes predicates to the scans. Typed patterns filter edges before
 they join; a pattern predicate becomes a semi or anti join; a node that nothing
 looks at is never joined; bounded variable lengths unroll into joins with a
-check that no relationship repeats.
+check that no relationship repeats in a clause. A variable length without an
+upper bound is worked out hop by hop, each written, until nothing is left.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import PropertyGraph
+from ..operators.traverse import written
 from .parser import CypherError, Match, Path, Projection, Query, Rel, Unwind, parse
 
 AGGREGATES = frozenset("count sum avg min max collect".split())
@@ -44,7 +46,7 @@ def _has_aggregate(e) -> bool:
 
 
 class _Lowering:
-    def __init__(self, graph: PropertyGraph, query: Query, params: dict, max_hops: int) -> None:
+    def __init__(self, graph: PropertyGraph, query: Query, params: dict, max_hops: int | None) -> None:
         self.g, self.query, self.params, self.max_hops = graph, query, params, max_hops
         self.df: DataFrame | None = None
         #: What a name stands for: node, rel, path or value.
@@ -101,6 +103,8 @@ class _Lowering:
             return out.otherwise(self.column(e[2]))
         if op == "comprehension":
             return self.comprehension(*e[1:])
+        if op == "flag":
+            return F.coalesce(F.col(e[1]), F.lit(False))
         if op == "call":
             return self.call(e)
         raise CypherError(f"{op} isn't allowed here")
@@ -295,13 +299,12 @@ class _Lowering:
             rest = list(zip(rels, nodes, nodes[1:]))
         for r, a, b in rest:
             if r.low is not None or r.high is not None:
-                df = self.hops(df, r, a.var, bound, p)
+                df = self.hops(df, r, a.var, bound, p, used)
+                used.append(r)
                 df = place(b, df, f"{r.var}__end")
                 continue
             df = df.join(self.edges_as(r.var, r), F.col(f"{a.var}__id") == F.col(f"{r.var}__from"))
-            for other in used:
-                if not r.types or not other.types or set(r.types) & set(other.types):
-                    df = df.filter(F.col(f"{r.var}__edge_id") != F.col(f"{other.var}__edge_id"))
+            df = self.apart(df, r, used, f"{r.var}__edge_id")
             bound[r.var] = "rel"
             used.append(r)
             df = place(b, df, f"{r.var}__to")
@@ -320,7 +323,18 @@ class _Lowering:
             df = df.withColumns({f"{p.var}__nodes": F.concat(*parts_n), f"{p.var}__rels": F.concat(*parts_r) if parts_r else F.array()})
         return df
 
-    def hops(self, df: DataFrame, r: Rel, start: str, bound: dict[str, str], p: Path) -> DataFrame:
+    def apart(self, df: DataFrame, r: Rel, used: list[Rel], edge: str) -> DataFrame:
+        """Rows whose edge isn't one that the clause has used already."""
+        for other in used:
+            if r.types and other.types and not set(r.types) & set(other.types):
+                continue
+            if other.low is not None or other.high is not None:
+                df = df.filter(~F.exists(f"{other.var}__rels", lambda x: x["edge_id"] == F.col(edge)))
+            else:
+                df = df.filter(F.col(edge) != F.col(f"{other.var}__edge_id"))
+        return df
+
+    def hops(self, df: DataFrame, r: Rel, start: str, bound: dict[str, str], p: Path, used: list[Rel]) -> DataFrame:
         """Variable length by unrolled joins; no relationship occurs twice."""
         low, high = r.low or 0, self.max_hops if r.high is None else r.high
         v = r.var
@@ -331,17 +345,26 @@ class _Lowering:
         now = df.withColumns({f"{v}__end": F.col(f"{start}__id"), f"{v}__rels": F.array().cast(rel_type), f"{v}__inner": F.array().cast(node_type)})
         hop = Rel("_h", r.types, r.props, r.direction)
         parts = [now] if low == 0 else []
-        for k in range(1, high + 1):
+        k = 0
+        while high is None or k < high:
+            k += 1
             e = self.edges_as("_h", hop).select("_h__from", "_h__to", *[f"_h__{c}" for c in ("edge_id", "type", "src", "dst")])
             now = now.join(e, F.col(f"{v}__end") == F.col("_h__from"))
             now = now.filter(~F.exists(f"{v}__rels", lambda x: x["edge_id"] == F.col("_h__edge_id")))
+            now = self.apart(now, hop, used, "_h__edge_id")
             now = now.withColumns({f"{v}__end": F.col("_h__to"), f"{v}__rels": F.concat(f"{v}__rels", F.array(step_rel))})
             if p.var is not None:
                 n = self.g.nodes.select(F.col("id").alias("_n__id"), F.struct(*[F.col(c).cast("string").alias(c) for c in keep]).alias("_n__all"))
                 now = now.join(n, F.col(f"{v}__end") == F.col("_n__id")).withColumn(f"{v}__inner", F.concat(f"{v}__inner", F.array("_n__all"))).drop("_n__id", "_n__all")
             now = now.drop(*[c for c in now.columns if c.startswith("_h__")])
+            if high is None:
+                now = written(now)
+                if now.isEmpty():
+                    break
             if k >= low:
                 parts.append(now)
+        if not parts:
+            parts = [now.filter("false")]
         bound[v] = "rels"
         return reduce(DataFrame.unionByName, parts)
 
@@ -357,20 +380,52 @@ class _Lowering:
             negated = c[0] == "not" and c[1][0] == "pattern"
             if c[0] == "pattern" or negated:
                 df = self.semi(df, (c[1][1] if negated else c[1]), "left_anti" if negated else "left_semi")
-            else:
-                df = df.filter(self.column(c))
+                continue
+            flags: list[str] = []
+            df, c = self.flagged(df, c, flags)
+            df = df.filter(self.column(c)).drop(*flags)
         return df
 
-    def semi(self, df: DataFrame, p: Path, how: str) -> DataFrame:
-        """Keep rows that have, or don't have, the pattern."""
-        shared = [n.var for n in p.nodes if self.kinds.get(n.var) == "node"]
+    def flagged(self, df: DataFrame, e, flags: list[str]) -> tuple[DataFrame, object]:
+        """A condition whose patterns are columns, joined to the rows as flags."""
+        if isinstance(e, tuple) and e and e[0] == "pattern":
+            keys, on = self.keys_of(e[1])
+            self.serial += 1
+            name = f"_f{self.serial}"
+            flags.append(name)
+            marked = keys.withColumn(name, F.lit(True))
+            df = df.join(marked, on, "left").drop(*keys.columns) if on is not None else df.join(F.broadcast(marked.limit(1).select(name)), F.lit(True), "left")
+            return df, ("flag", name)
+        if isinstance(e, tuple | list):
+            out = []
+            for x in e:
+                df, y = self.flagged(df, x, flags)
+                out.append(y)
+            return df, type(e)(out)
+        return df, e
+
+    def keys_of(self, p: Path) -> tuple[DataFrame, list[Column] | None]:
+        """Distinct ids of a pattern's bound nodes, and how rows join them.
+
+        None where the pattern has no node in common with the rows: then it
+        holds for all rows or for none.
+        """
+        shared = list(dict.fromkeys(n.var for n in p.nodes if self.kinds.get(n.var) == "node"))
         bound: dict[str, str] = {}
         before = dict(self.kinds)
         own = self.with_path(None, p, bound, set(), [])
         self.kinds = before
-        keys = own.select(*[F.col(f"{v}__id").alias(f"_k{i}") for i, v in enumerate(dict.fromkeys(shared))]).distinct()
-        on = [F.col(f"{v}__id") == F.col(f"_k{i}") for i, v in enumerate(dict.fromkeys(shared))]
-        return df.join(keys, on, how) if on else df
+        self.serial += 1
+        names = [f"_k{self.serial}_{i}" for i in range(len(shared))]
+        if not shared:
+            return own.select(F.lit(1).alias(f"_k{self.serial}")), None
+        keys = own.select(*[F.col(f"{v}__id").alias(k) for v, k in zip(shared, names)]).distinct()
+        return keys, [F.col(f"{v}__id") == F.col(k) for v, k in zip(shared, names)]
+
+    def semi(self, df: DataFrame, p: Path, how: str) -> DataFrame:
+        """Keep rows that have, or don't have, the pattern."""
+        keys, on = self.keys_of(p)
+        return df.join(keys, on, how) if on is not None else df.join(F.broadcast(keys.limit(1)), F.lit(True), how)
 
     def match(self, m: Match, seen: set[str]) -> None:
         if m.optional:
@@ -389,7 +444,8 @@ class _Lowering:
         outer, kinds = self.df, self.kinds
         right, used = None, []
         for p in m.paths:
-            right = self.with_path(right, p, bound, seen | _variables(m.where), used)
+            # Of a name that is bound already the right side needs the id alone.
+            right = self.with_path(right, p, bound, (seen - set(shared)) | _variables(m.where), used)
         self.kinds = {**kinds, **bound}
         right = self.where(right, m.where)
         mapped = right.select(*[F.col(f"{v}__id").alias(f"_k{i}") for i, v in enumerate(shared)], *[c for c in right.columns if c.split("__")[0] not in shared])
@@ -489,9 +545,10 @@ class _Lowering:
         return self.df
 
 
-def cypher(graph: PropertyGraph, text: str, max_hops: int = 5, **params) -> DataFrame:
+def cypher(graph: PropertyGraph, text: str, max_hops: int | None = None, **params) -> DataFrame:
     """The result of a read-only query as a lazy DataFrame.
 
-    A variable length without an upper bound ends at ``max_hops``.
+    A variable length without an upper bound ends at ``max_hops``, if given;
+    else its hops are worked out at once, until no path can be made longer.
     """
     return _Lowering(graph, parse(text), params, max_hops).run()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import graph_queries
 from .functions import text
-from .operators import search, traverse
+from .operators import postings, search, traverse
 from .plans.cypher import cypher
 from .session import ship
 from .sources.relational import relational_graph
@@ -61,6 +61,22 @@ CYPHER: dict[str, tuple[str, str]] = {
     "fn_string": ("MATCH (r:Region) RETURN toUpper(r.name) AS u, toLower(r.name) AS l, trim('  x ') AS t, length(r.name) AS n, toString(12) AS s", "SELECT upper(r_name) AS u, lower(r_name) AS l, 'x' AS t, CAST(strlen(r_name) AS INT) AS n, '12' AS s FROM region"),
     "fn_list": ("MATCH (r:Region) RETURN r.name AS name, head([1,2,3]) AS h, last([1,2,3]) AS l, size(tail([1,2,3])) AS t, [x IN [1,2,3] WHERE x > 1 | x * 2][0] AS c", "SELECT r_name AS name, 1 AS h, 3 AS l, 2 AS t, 4 AS c FROM region"),
     "fn_cast": ("MATCH (r:Region) RETURN r.name AS name, toInteger('12abc') AS a, toInteger('x') AS b, coalesce(r.brand, 'none') AS c", "SELECT r_name AS name, CAST(12 AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, 'none' AS c FROM region"),
+    "flows_touching": ("MATCH (p:Part {brand:'Brand#11'})<-[:HAS_ITEM]-(o:Order) RETURN DISTINCT id(o) AS id, o.total AS total ORDER BY total DESC, id LIMIT 5", "SELECT DISTINCT 'order:' || o_orderkey AS id, o_totalprice AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_brand = 'Brand#11' ORDER BY total DESC, id LIMIT 5"),
+    "top_flows": ("MATCH (o:Order) RETURN id(o) AS id, o.total AS total ORDER BY o.total DESC, id(o) LIMIT 10", "SELECT 'order:' || o_orderkey AS id, o_totalprice AS total FROM orders ORDER BY total DESC, id LIMIT 10"),
+    "chain_paths": ("MATCH p = (a:Turn)-[:REPLIES*1..5]->(b:Turn) WHERE a.name = 'user' RETURN id(a) AS id, length(p) AS hops, last([x IN nodes(p) | x.id]) AS target", "SELECT 'turn:' || a.conv_id || '-' || a.turn AS id, CAST(a.turn - b.turn AS INT) AS hops, 'turn:' || b.conv_id || '-' || b.turn AS target FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 5 AND a.turn - 1 WHERE a.role = 'user'"),
+    "unused_large": ("MATCH (o:Order) WHERE NOT (o)-[:HAS_ITEM]->() AND o.total > 100000 RETURN id(o) AS id", "SELECT 'order:' || o_orderkey AS id FROM orders WHERE o_totalprice > 100000 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"),
+    "most_called": ("MATCH (o:Order)-[:HAS_ITEM]->(p:Part) RETURN id(p) AS id, count(o) AS calls ORDER BY calls DESC, id LIMIT 10", "SELECT 'part:' || l_partkey AS id, count(*) AS calls FROM lineitem GROUP BY 1 ORDER BY calls DESC, id LIMIT 10"),
+    "dead_code": ("MATCH (p:Part) WHERE NOT (:Order {priority:'1-URGENT', status:'F'})-[:HAS_ITEM]->(p) AND p.brand STARTS WITH 'Brand#1' AND NOT p.size > 30 RETURN id(p) AS id", "SELECT 'part:' || p_partkey AS id FROM part WHERE p_brand LIKE 'Brand#1%' AND NOT p_size > 30 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')"),
+    "prefix_cross": ("MATCH (c:Customer)-[:PLACED]->(o:Order)-[:SUPPLIED_BY]->(s:Supplier) WHERE c.segment STARTS WITH 'B' AND NOT s.name ENDS WITH '1' RETURN c.segment AS seg, s.name AS supplier, count(*) AS n", "SELECT c_mktsegment AS seg, s_name AS supplier, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_mktsegment LIKE 'B%' AND NOT s_name LIKE '%1' GROUP BY 1, 2"),
+    "chain_depth": ("MATCH p = (a:Turn)-[:REPLIES*1..3]->(b:Turn) RETURN id(a) AS a, id(b) AS b, length(p) AS depth ORDER BY depth DESC, a, b LIMIT 50", "SELECT 'turn:' || a.conv_id || '-' || a.turn AS a, 'turn:' || b.conv_id || '-' || b.turn AS b, CAST(a.turn - b.turn AS INT) AS depth FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 3 AND a.turn - 1 ORDER BY depth DESC, a, b LIMIT 50"),
+    "two_expansions": ("MATCH (n:Nation)<-[:IN_NATION]-(c:Customer), (n)<-[:LOCATED_IN]-(s:Supplier) RETURN n.name AS nation, size(collect(DISTINCT c.name)) AS customers, size(collect(DISTINCT s.name)) AS suppliers", "SELECT n_name AS nation, CAST(count(DISTINCT c_name) AS INT) AS customers, CAST(count(DISTINCT s_name) AS INT) AS suppliers FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1"),
+    "order_by_collected": ("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.name AS name, size(collect(o.status)) AS n ORDER BY size(collect(o.status)) DESC, name LIMIT 10", "SELECT c_name AS name, CAST(count(*) AS INT) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name ORDER BY n DESC, name LIMIT 10"),
+    "two_distinct_having": ("MATCH (o:Order)-[:HAS_ITEM]->(p:Part) WITH p.brand AS brand, count(DISTINCT o) AS orders, count(DISTINCT p) AS parts WHERE orders > 20 AND parts > 5 RETURN brand, orders, parts", "SELECT p_brand AS brand, count(DISTINCT l_orderkey) AS orders, count(DISTINCT p_partkey) AS parts FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1 HAVING count(DISTINCT l_orderkey) > 20 AND count(DISTINCT p_partkey) > 5"),
+    "hop2_or_contains": ("MATCH (c:Customer)-[:PLACED]->(o:Order)-[:HAS_ITEM]->(p:Part) WHERE p.brand CONTAINS '3' OR c.segment CONTAINS 'BUILD' RETURN c.segment AS seg, count(*) AS n", "SELECT c_mktsegment AS seg, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_brand LIKE '%3%' OR c_mktsegment LIKE '%BUILD%' GROUP BY 1"),
+    "reachable_distinct": ("MATCH (a:Turn)-[:REPLIES*1..3]->(b:Turn) WHERE a.name = 'assistant' RETURN DISTINCT id(b) AS id", "SELECT DISTINCT 'turn:' || b.conv_id || '-' || b.turn AS id FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 3 AND a.turn - 1 WHERE a.role = 'assistant'"),
+    "pattern_or": ("MATCH (c:Customer) WHERE (c)-[:PLACED]->(:Order {status:'P'}) OR c.acctbal > 9000 RETURN c.name AS name", "SELECT c_name AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') OR c_acctbal > 9000"),
+    "pattern_unanchored": ("MATCH (r:Region) WHERE (:Order {status:'F'})-[:HAS_ITEM]->() AND NOT (:Order {status:'none'})-[:HAS_ITEM]->() RETURN r.name AS name", "SELECT r_name AS name FROM region WHERE EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'none')"),
+    "varlen_unbounded": ("MATCH (a:Turn)-[:REPLIES*]->(b:Turn) RETURN a.name AS role, count(*) AS n", "SELECT a.role AS role, count(*) AS n FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn GROUP BY 1"),
 }
 
 
@@ -98,27 +114,39 @@ def set_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.set_containment(left, right).select("owner")
 
 
+_indexes: dict[tuple[str, str], postings.Index] = {}
+
+
+def _documents_index(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """Postings of all documents, built once for a session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        folder = traverse.scratch(spark, "documents-index")
+        _indexes[key] = postings.Index(spark, folder).build(_table(spark, sf_dir, "documents"), ["text"], "doc_id", plain=True)
+    return _indexes[key]
+
+
 def bm25_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.bm25(_table(spark, sf_dir, "documents"), ["the", "license"], "doc_id")
+    found = _documents_index(spark, sf_dir).search("text", "the license", plain=True)
     return found.select(F.col("id").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.phrase(_table(spark, sf_dir, "documents"), ["of", "the"], "doc_id").select(F.col("id").alias("doc_id"), "times")
+    return _documents_index(spark, sf_dir).phrase("text", "of the", plain=True).select(F.col("id").alias("doc_id"), "times")
 
 
 def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _table(spark, sf_dir, "part").filter("p_size > 40")
+    p = _table(spark, sf_dir, "part")
     one = p.select(F.lit("price").alias("list_id"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"), F.lit(2.0).alias("weight"))
     two = p.select(F.lit("size").alias("list_id"), F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("score"), F.lit(0.0).alias("weight"))
     return search.reciprocal_rank_fusion(one.union(two)).select("id", F.round("score", 6).alias("score"))
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every vector whose id is divisible by 20, among all."""
     v = _table(spark, sf_dir, "embeddings")
-    query = v.filter("vec_id = 0").select("embedding").first()[0]
-    found = search.vector_top(v, query, 10, 0.0, "vec_id", "embedding")
-    return found.select(F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
+    found = search.vector_top_all(v, v.filter("vec_id % 20 = 0"), 10, 0.0, "vec_id", "embedding")
+    return found.select("query", F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
 def minmax_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,8 +200,8 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "set_containment": (set_containment, "SELECT o_custkey AS owner FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1 HAVING count(DISTINCT p_brand) = (SELECT count(DISTINCT p_brand) FROM part)"),
     "bm25_single": (bm25_single, f"WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), t AS (SELECT doc_id, len(w) AS dl, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'license')) AS b FROM w), s AS (SELECT count(*) AS n, avg(dl) AS avgdl, sum((a > 0)::INT) AS da, sum((b > 0)::INT) AS db FROM t) SELECT doc_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avgdl)), 4) AS score FROM t, s WHERE a > 0 OR b > 0"),
     "bm25_phrase": (bm25_phrase, f"WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), e AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w) SELECT doc_id, count(*) AS times FROM e WHERE w[i] = 'of' AND w[i + 1] = 'the' GROUP BY 1"),
-    "rrf_weighted": (rrf_weighted, "WITH p AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS a, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS b FROM part WHERE p_size > 40) SELECT id, round(2.0 / (60 + a) + 1.0 / (60 + b), 6) AS score FROM p"),
-    "vector_topk": (vector_topk, "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 5) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 10"),
+    "rrf_weighted": (rrf_weighted, "WITH p AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS a, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS b FROM part) SELECT id, round(2.0 / (60 + a) + 1.0 / (60 + b), 6) AS score FROM p"),
+    "vector_topk": (vector_topk, "WITH s AS (SELECT q.vec_id AS query, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) SELECT query, vec_id, round(score, 5) AS score FROM s WHERE score >= 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY s.score DESC, vec_id) <= 10"),
     "minmax_norm": (minmax_norm, "SELECT s_suppkey, round((s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()), 6) AS score FROM supplier"),
     "cap_per_name": (cap_per_name, "SELECT p_name, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_retailprice DESC, p_partkey) <= 3"),
     "centrality_boost": (centrality_boost, "SELECT 'customer:' || o_custkey AS id, round(least(2.0, 1 + 0.15 * log2(count(*) + 1)), 6) AS boost FROM orders GROUP BY 1"),

@@ -7,9 +7,10 @@ import posixpath
 import re
 import tomllib
 from collections.abc import Iterable, Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
@@ -18,7 +19,9 @@ from ..operators.traverse import reach
 
 # Manifest names, and version signs in the order they are looked for.
 REQUIREMENTS = "requirements.txt requirements-dev.txt requirements-test.txt requirements-prod.txt requirements_dev.txt requirements_test.txt".split()
-MANIFESTS = "go.mod package.json Cargo.toml composer.json Gemfile pyproject.toml".split()
+MANIFESTS = "go.mod package.json Cargo.toml composer.json Gemfile pyproject.toml Package.swift pom.xml build.gradle gradle.lockfile vcpkg.json".split()
+#: Names of files that hold the same kind of manifest.
+ALIASES = {"build.gradle.kts": "build.gradle", "buildscript-gradle.lockfile": "gradle.lockfile"}
 SIGNS = "=== == >= <= ~= != > <".split()
 
 Found = tuple[str, str, bool]  # name, version, whether for development only
@@ -119,7 +122,71 @@ def _requirements(text: str) -> Iterator[Found]:
             yield name, version, False
 
 
-PARSERS = {"go.mod": _go, "package.json": _npm, "Cargo.toml": _cargo, "composer.json": _composer, "Gemfile": _gems, "pyproject.toml": _pyproject, "requirements.txt": _requirements}
+def _xml(text: str) -> ElementTree.Element:
+    """Root of a document, its namespaces left off; ValueError if it isn't well formed or declares entities."""
+    if "<!ENTITY" in text:
+        raise ValueError("entities aren't read")
+    try:
+        root = ElementTree.fromstring(text.encode())
+    except ElementTree.ParseError as e:
+        raise ValueError(str(e)) from e
+    for e in root.iter():
+        e.tag = e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
+    return root
+
+
+def _csproj(text: str) -> Iterator[Found]:
+    for e in _xml(text).iterfind("ItemGroup/PackageReference"):
+        name = (e.get("Include") or e.get("Update") or "").strip()
+        version = (e.get("Version") or e.findtext("Version") or "").strip()
+        if name and not any(re.fullmatch(r"\$\(.*\)", x) for x in (name, version)):
+            yield name, version, False
+
+
+def _swift(text: str) -> Iterator[Found]:
+    for url, rest in re.findall(r'\.package\s*\(\s*url:\s*"([^"]+)"\s*,\s*((?:from:|exact:|\.upToNextM(?:ajor|inor)|")[^)]*)', text):
+        version = re.search(r'"([^"]+)"', rest)
+        if version:
+            yield url.removesuffix(".git").rsplit("/", 1)[-1] or url, version[1], False
+
+
+def _maven(text: str) -> Iterator[Found]:
+    root = _xml(text)
+    known = {e.tag: (e.text or "").strip() for e in root.iterfind("properties/*")}
+    for part in ("groupId", "artifactId", "version"):
+        if root.findtext(part):
+            known[f"project.{part}"] = known[f"pom.{part}"] = root.findtext(part).strip()
+    full = lambda e, part: re.sub(r"\$\{([^}]+)\}", lambda m: known.get(m[1], m[0]), (e.findtext(part) or "").strip())
+    for where, left_out in (("dependencies/dependency", ("provided", "system")), ("dependencyManagement/dependencies/dependency", ("import",))):
+        for e in root.iterfind(where):
+            name, scope = f"{full(e, 'groupId')}:{full(e, 'artifactId')}", (e.findtext("scope") or "").strip()
+            if "${" not in name and scope not in left_out:
+                yield name, full(e, "version"), scope == "test"
+
+
+def _gradle(text: str) -> Iterator[Found]:
+    for kind, group, name, version in re.findall(r"""\b(\w*(?:[iI]mplementation|[aA]pi|[cC]ompileOnly|[rR]untimeOnly|[kK]apt|annotationProcessor|ksp))\s*\(?\s*['"]([^:'"]+):([^:'"]+):([^'"]+)['"]""", text):
+        if "$" not in version:
+            yield f"{group}:{name}", version, "test" in kind.lower()
+
+
+def _gradle_lock(text: str) -> Iterator[Found]:
+    for line in map(str.strip, text.splitlines()):
+        parts = line.split(":", 2)
+        if line and not line.startswith("#") and len(parts) == 3:
+            version, _, paths = parts[2].partition("=")
+            yield ":".join(parts[:2]), version, bool(paths) and all(x.startswith("test") for x in paths.split(","))
+
+
+def _vcpkg(text: str) -> Iterator[Found]:
+    for d in json.loads(text).get("dependencies") or []:
+        if isinstance(d, str):
+            yield d, "", False
+        elif isinstance(d, dict) and d.get("name"):
+            yield d["name"], d.get("version>=") or d.get("version") or "", False
+
+
+PARSERS = {"*.csproj": _csproj, "Package.swift": _swift, "pom.xml": _maven, "build.gradle": _gradle, "gradle.lockfile": _gradle_lock, "vcpkg.json": _vcpkg, "go.mod": _go, "package.json": _npm, "Cargo.toml": _cargo, "composer.json": _composer, "Gemfile": _gems, "pyproject.toml": _pyproject, "requirements.txt": _requirements}
 
 
 def parse(kind: str, text: str) -> list[Found]:
@@ -154,7 +221,10 @@ def dependencies(files: DataFrame, depth: int = 10) -> DataFrame:
     Requirement files include others, up to ``depth`` steps away, each read once.
     """
     rows = files.filter("content is not null").select("filePath", "content")
-    top = rows.filter(F.col("filePath").isin(*MANIFESTS)).select("filePath", F.col("filePath").alias("source"), "content")
+    kind = F.when(F.col("filePath").isin(*MANIFESTS), F.col("filePath")).when(F.col("filePath").rlike(r"^[^/]+\.csproj$"), "*.csproj")
+    for name, like in ALIASES.items():
+        kind = kind.when(F.col("filePath") == name, like)
+    top = rows.withColumn("source", kind).filter("source is not null").select("filePath", "source", "content")
     lists = rows.filter(F.col("filePath").rlike(r"\.(txt|in)$"))
     begin = lists.filter(F.col("filePath").isin(*REQUIREMENTS)).select(F.col("filePath").alias("id"))
     more = reach(lists.mapInPandas(_links, "`from` string, `to` string"), begin, depth).select("id")
@@ -163,6 +233,60 @@ def dependencies(files: DataFrame, depth: int = 10) -> DataFrame:
     return every.mapInPandas(_rows, "filePath string, source string, name string, version string, devDep boolean")
 
 
+def settings(files: DataFrame) -> list[tuple[str, str, str]]:
+    """How imports are to be read: (language, beginning of an import, what stands for it).
+
+    From the files at the top of the tree: the module of go.mod, paths and base
+    of tsconfig or jsconfig (and of the one it extends), PSR-4 folders, a
+    project's root namespace, targets of a Swift package. A few files come to
+    the driver, each at most a megabyte of text.
+    """
+    names = F.col("filePath").isin("go.mod", "tsconfig.json", "jsconfig.json", "composer.json", "Package.swift") | F.col("filePath").rlike(r"^[^/]+\.(csproj|json)$")
+    own = {r["filePath"]: r["content"] for r in files.filter(names & (F.length("content") <= 1_000_000)).select("filePath", "content").collect()}
+    out: list[tuple[str, str, str]] = []
+
+    def read(name: str) -> dict:
+        try:
+            found = json.loads(own.get(name) or "{}")
+        except ValueError:
+            return {}
+        return found if isinstance(found, dict) else {}
+
+    module = re.search(r"^\s*module\s+(\S+)", own.get("go.mod") or "", re.M)
+    if module:
+        out.append(("go", module[1] + "/", "./"))
+    config = read("tsconfig.json") or read("jsconfig.json")
+    options = config.get("compilerOptions") or {}
+    if isinstance(config.get("extends"), str) and not options.get("baseUrl") and not options.get("paths"):
+        options = read(posixpath.normpath(config["extends"] if config["extends"].endswith(".json") else config["extends"] + ".json")).get("compilerOptions") or {}
+    base = posixpath.normpath(options.get("baseUrl") or ".")
+    for pattern, targets in sorted((options.get("paths") or {}).items(), key=lambda x: (-len(x[0]), x[0])):
+        for t in targets[:1] if isinstance(targets, list) else []:
+            path = posixpath.normpath(posixpath.join(base, t.removesuffix("*"))) + ("/" if t.endswith("/*") else "")
+            out += [(lang, pattern.removesuffix("*"), path.removeprefix("./")) for lang in ("typescript", "javascript")]
+    for prefix, paths in sorted(((read("composer.json").get("autoload") or {}).get("psr-4") or {}).items(), key=lambda x: (-len(x[0]), x[0])):
+        path = paths if isinstance(paths, str) else next((p for p in paths if isinstance(p, str)), "")
+        out.append(("php", prefix, path.rstrip("/") + "/" if path else ""))
+    for name in sorted(n for n in own if n.endswith(".csproj")):
+        root = re.search(r"<RootNamespace>([^<]+)</RootNamespace>", own[name] or "")
+        if root:
+            out.append(("csharp", root[1] + ".", ""))
+            break
+    swift = own.get("Package.swift") or ""
+    for m in re.finditer(r'\.(?:target|executableTarget|testTarget)\s*\(\s*name:\s*"([^"]+)"', swift):
+        path = re.search(r'path:\s*"([^"]+)"', swift[m.end() : m.end() + 200])
+        out.append(("swift", m[1], path[1] if path else f"Sources/{m[1]}"))
+    return out
+
+
+def apply_settings(source: Column, lang: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """An import with the first rule that fits put into effect."""
+    out = source
+    for language, begin, instead in reversed(rules):
+        out = F.when((lang == language) & source.startswith(begin), F.concat(F.lit(instead), F.substring(source, len(begin) + 1, 10_000))).otherwise(out)
+    return out
+
+
 def add_dependencies(graph: PropertyGraph, found: DataFrame) -> PropertyGraph:
     """The graph with a Dependency node per package and source, and an edge from each manifest's file.
 
