@@ -118,7 +118,7 @@ def chance(tests: int) -> float:
     return max(3.0, math.sqrt(2 * math.log(max(1, tests))))
 
 
-def telling_pairs(rows: DataFrame, size: int, block: int = 1024) -> set[int]:
+def telling_pairs(rows: DataFrame, size: int, block: int = 512) -> set[int]:
     """Columns below ``size`` in pairs whose joint presence goes with the residuals.
 
     ``rows`` is (no, residual, variance, columns), a row a document. Documents'
@@ -139,20 +139,21 @@ def telling_pairs(rows: DataFrame, size: int, block: int = 1024) -> set[int]:
 
     def test(rows: pd.DataFrame) -> pd.DataFrame:
         i, j = tasks[int(rows["task"].iat[0])]
-        rows = rows.sort_values(["no", "block"])
-        docs = rows.drop_duplicates("no")
-        place = {no: n for n, no in enumerate(docs["no"])}
-        r, v = docs["r"].to_numpy(np.float32), docs["v"].to_numpy(np.float32)
+        # Documents in order of their number, so that sums don't depend on how rows came.
+        numbers, at = np.unique(rows["no"].to_numpy(), return_index=True)
+        place = {no: n for n, no in enumerate(numbers.tolist())}
+        r, v = rows["r"].to_numpy(np.float32)[at], rows["v"].to_numpy(np.float32)[at]
 
         def part(k: int) -> np.ndarray:
-            x = np.zeros((len(docs), block), np.float32)
+            x = np.zeros((len(numbers), block), np.float32)
             for no, cells in rows.loc[rows["block"] == k, ["no", "cells"]].itertuples(index=False):
                 x[place[no], np.frombuffer(cells, np.int16)] = 1
             return x
 
         x, y = part(i), part(j) if i != j else None
         y = x if y is None else y
-        z = np.abs((x * r[:, None]).T @ y) / np.sqrt((x * v[:, None]).T @ y + 1e-3)
+        z = np.abs((x * r[:, None]).T @ y)
+        z /= np.sqrt((x * v[:, None]).T @ y + 1e-3)
         a, b = np.nonzero(z >= least)
         a, b = a + i * block, b + j * block
         return pd.DataFrame({"column": np.unique(np.concatenate([a[a != b], b[a != b]]))})
@@ -162,7 +163,7 @@ def telling_pairs(rows: DataFrame, size: int, block: int = 1024) -> set[int]:
     return {r[0] for r in dealt.groupBy("task").applyInPandas(test, "column long").distinct().collect()}
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = 6000, buckets: int = 1 << 18, pair_share: float = 0.02, rank: int = 4) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = 4000, buckets: int = 1 << 18, pair_share: float = 0.02, rank: int = 4) -> Machine:
     """Fit on at most about ``train_docs`` labelled rows of each label."""
     known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
