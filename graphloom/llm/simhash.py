@@ -22,7 +22,7 @@ an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import repeat
 
@@ -143,20 +143,15 @@ def link_run(fps: np.ndarray, distance: int) -> np.ndarray:
     return parent
 
 
-def apart(fps: np.ndarray, comps: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices i > j of a run's pairs within the distance that differ in component, in blocks."""
-    n = len(fps)
-    step = max(1, (1 << 20) // n)
-    for a in range(0, n, step):
-        near = (popcount(fps[a : a + step, None] ^ fps[None, :]) <= distance) & (comps[a : a + step, None] != comps[None, :])
-        i, j = np.nonzero(near)
-        i += a
-        keep = j < i
-        if keep.any():
-            yield i[keep], j[keep]
+def first_met(differ: np.ndarray, key_no: np.ndarray, masks: list[np.uint64]) -> np.ndarray:
+    """Whether pairs that differ in these bits meet under no key before ``key_no``."""
+    met = np.zeros(len(differ), bool)
+    for k, mask in enumerate(masks):
+        met |= (k < key_no) & ((differ & mask) == 0)
+    return ~met
 
 
-def _short_runs(starts: np.ndarray, ends: np.ndarray, fp: np.ndarray, rep: np.ndarray, comp: np.ndarray, key_no: np.ndarray, before: list[np.uint64], distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _short_runs(starts: np.ndarray, ends: np.ndarray, fp: np.ndarray, rep: np.ndarray, key_no: np.ndarray, before: list[np.uint64], distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (greater, smaller name) inside runs of at most ``SHORT`` rows, together.
 
     Two fingerprints meet under many keys; a link is given under the first of
@@ -164,21 +159,17 @@ def _short_runs(starts: np.ndarray, ends: np.ndarray, fp: np.ndarray, rep: np.nd
     """
     lengths = ends - starts
     index = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-    f, r, c, run, own = fp[index].view(np.uint64), rep[index], comp[index], np.repeat(np.arange(len(starts)), lengths), key_no[index]
+    f, r, run, own = fp[index].view(np.uint64), rep[index], np.repeat(np.arange(len(starts)), lengths), key_no[index]
     a, b = [], []
     for lag in range(1, int(lengths.max())):
-        near = np.flatnonzero((run[lag:] == run[:-lag]) & (popcount(f[lag:] ^ f[:-lag]) <= distance) & (c[lag:] != c[:-lag]))
-        differ, first = f[near + lag] ^ f[near], own[near]
-        met = np.zeros(len(near), bool)
-        for k, mask in enumerate(before):
-            met |= (k < first) & ((differ & mask) == 0)
-        near = near[~met]
+        near = np.flatnonzero((run[lag:] == run[:-lag]) & (popcount(f[lag:] ^ f[:-lag]) <= distance))
+        near = near[first_met(f[near + lag] ^ f[near], own[near], before)]
         a.append(np.maximum(r[near + lag], r[near]))
         b.append(np.minimum(r[near + lag], r[near]))
     return np.concatenate(a), np.concatenate(b)
 
 
-def _links(distance: int, run_limit: int, level: int, direct: bool, split: bool):
+def _links(distance: int, run_limit: int, level: int, direct: bool):
     """Edges inside runs of equal keys; long runs come back under second keys.
 
     With ``direct`` an edge of a name to itself marks it as one of a long run.
@@ -191,23 +182,20 @@ def _links(distance: int, run_limit: int, level: int, direct: bool, split: bool)
         return [(i, m) for i, m in enumerate(_mask(s) & ~(1 << p) for s in segments(rest, distance) for p in s)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []  # of the open run: fps, reps, components
+        held: list[tuple] = []  # of the open run: fps, reps
         size, long_run = 0, False
 
-        def spill(key_no, fp, rep, comp) -> pd.DataFrame:
-            parts = [pd.DataFrame({"a": rep, "b": comp, "key_no": key_no, "key": fp & np.int64(_signed(masks[key_no])), "no2": i, "key2": fp & np.int64(_signed(m)), "fp": fp}) for i, m in second(key_no)]
+        def spill(key_no, fp, rep) -> pd.DataFrame:
+            parts = [pd.DataFrame({"a": rep, "b": rep, "key_no": key_no, "key": fp & np.int64(_signed(masks[key_no])), "no2": i, "key2": fp & np.int64(_signed(m)), "fp": fp}) for i, m in second(key_no)]
             return pd.concat(parts)
 
-        def close(fp, rep, comp) -> Iterator[pd.DataFrame]:
+        def close(fp, rep) -> Iterator[pd.DataFrame]:
             if len(fp) < 2:
                 return
             order = np.argsort(rep, kind="stable")
-            fp, rep, comp = fp[order].view(np.uint64), rep[order], comp[order]
-            if split:
-                found = ((rep[i], rep[j]) for i, j in apart(fp, comp, distance))
-            else:
-                first = rep[(first_link if direct else link_run)(fp, distance)]
-                found = [(rep, first), (rep, rep)] if direct else [(rep[rep != first], first[rep != first])]
+            fp, rep = fp[order].view(np.uint64), rep[order]
+            first = rep[(first_link if direct else link_run)(fp, distance)]
+            found = [(rep, first), (rep, rep)] if direct else [(rep[rep != first], first[rep != first])]
             for a, b in found:
                 if len(a):
                     yield pd.DataFrame({"a": a, "b": b, "key_no": -1, "key": np.int64(0), "no2": -1, "key2": np.int64(0), "fp": np.int64(0)})
@@ -216,7 +204,6 @@ def _links(distance: int, run_limit: int, level: int, direct: bool, split: bool)
         for batch in batches:
             keys = batch[["key_no", "key", "no2", "key2"]].to_numpy()
             fp, rep = batch["fp"].to_numpy(), batch["rep"].to_numpy()
-            comp = batch["comp"].to_numpy() if split else rep
             starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
             ends = np.append(starts[1:], len(keys))
             # Runs of one row inside the batch can't link; only its ends may go on.
@@ -224,7 +211,7 @@ def _links(distance: int, run_limit: int, level: int, direct: bool, split: bool)
             short = (ends - starts > 1) & (ends - starts <= SHORT) & ~edge
             if short.any():
                 # Under second keys the first ones have the same number; each run stands for itself.
-                a, b = _short_runs(starts[short], ends[short], fp, rep, comp, keys[:, 0], before, distance)
+                a, b = _short_runs(starts[short], ends[short], fp, rep, keys[:, 0], before, distance)
                 if len(a):
                     yield pd.DataFrame({"a": a, "b": b, "key_no": -1, "key": np.int64(0), "no2": -1, "key2": np.int64(0), "fp": np.int64(0)})
             some = (ends - starts > SHORT) | edge
@@ -235,11 +222,11 @@ def _links(distance: int, run_limit: int, level: int, direct: bool, split: bool)
                         yield from close(*(np.concatenate(x) for x in zip(*held)))
                     open_key, held, size, long_run = key, [], 0, False
                 if level == 1 and (long_run or size + e - s > run_limit):
-                    for part in [*held, (fp[s:e], rep[s:e], comp[s:e])]:
+                    for part in [*held, (fp[s:e], rep[s:e])]:
                         yield spill(int(key[0]), *part)
                     held, long_run = [], True
                 else:
-                    held.append((fp[s:e], rep[s:e], comp[s:e]))
+                    held.append((fp[s:e], rep[s:e]))
                     size += e - s
         if held and not long_run:
             yield from close(*(np.concatenate(x) for x in zip(*held)))
@@ -250,24 +237,22 @@ def _links(distance: int, run_limit: int, level: int, direct: bool, split: bool)
 _EDGE = "a long, b long, key_no int, key long, no2 int, key2 long, fp long"
 
 
-def edges(reps: DataFrame, distance: int = 3, run_limit: int = 4096, direct: bool = False, split: bool = False) -> DataFrame:
+def edges(reps: DataFrame, distance: int = 3, run_limit: int = 4096, direct: bool = False) -> DataFrame:
     """Edges (a, b), b < a, that span the links among distinct fingerprints.
 
     With ``direct`` each edge is a link itself: all links of a short run, and
     in a long one those to the smallest name within the distance; names in long
-    runs have an edge (a, a), too. With ``split`` all links between rows of
-    different components are edges; ``reps`` then has comp, the component, too.
+    runs have an edge (a, a), too.
 
     ``reps`` has fp and rep, a long that names the fingerprint.
     """
     n = shuffle_partitions(reps.sparkSession)
     key = F.explode(F.array(*[F.struct(F.lit(i).alias("key_no"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in variants(distance)])).alias("v")
-    comp = ["comp"] if split else []
-    first = reps.select("fp", "rep", *comp, key).select(F.col("v.key_no"), F.col("v.key"), F.lit(-1).alias("no2"), F.lit(0).cast("long").alias("key2"), "fp", "rep", *comp)
+    first = reps.select("fp", "rep", key).select(F.col("v.key_no"), F.col("v.key"), F.lit(-1).alias("no2"), F.lit(0).cast("long").alias("key2"), "fp", "rep")
     sort = ["key_no", "key", "no2", "key2"]
-    one = materialize(first.repartition(n, *sort).sortWithinPartitions(*sort).mapInPandas(_links(distance, run_limit, 1, direct, split), _EDGE), "simhash-runs")
-    more = one.filter("no2 >= 0").select("key_no", "key", "no2", "key2", "fp", F.col("a").alias("rep"), *[F.col("b").alias(c) for c in comp])
-    two = more.repartition(n, *sort).sortWithinPartitions(*sort).mapInPandas(_links(distance, run_limit, 2, direct, split), _EDGE)
+    one = materialize(first.repartition(n, *sort).sortWithinPartitions(*sort).mapInPandas(_links(distance, run_limit, 1, direct), _EDGE), "simhash-runs")
+    more = one.filter("no2 >= 0").select("key_no", "key", "no2", "key2", "fp", F.col("a").alias("rep"))
+    two = more.repartition(n, *sort).sortWithinPartitions(*sort).mapInPandas(_links(distance, run_limit, 2, direct), _EDGE)
     return one.filter("no2 < 0").select("a", "b").union(two.select("a", "b")).distinct()
 
 
@@ -426,6 +411,125 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
+def apart(run: np.ndarray, fp: np.ndarray, comp: np.ndarray, distance: int, second: Callable[[int], list[np.uint64]] | None = None, run_limit: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows in one run, within the distance and in different components.
+
+    ``run`` numbers the runs of adjacent rows. A run of more than ``run_limit``
+    rows is split by its second keys; ``second`` gives their masks for the
+    run's first row. Each pair comes once.
+    """
+    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    lengths = np.diff(np.append(starts, len(run)))
+    few = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= SHORT), lengths))
+    for lag in range(1, min(SHORT, len(few))):
+        i, j = few[lag:], few[:-lag]
+        at = (run[i] == run[j]) & (comp[i] != comp[j]) & (popcount(fp[i] ^ fp[j]) <= distance)
+        yield i[at], j[at]
+    for s, n in zip(starts[lengths > SHORT].tolist(), lengths[lengths > SHORT].tolist()):
+        own = comp[s : s + n]
+        names, sizes = np.unique(own, return_counts=True)
+        if len(names) == 1:
+            continue
+        if second is not None and n > run_limit:
+            masks = second(s)
+            for k, mask in enumerate(masks):
+                keys = fp[s : s + n] & mask
+                order = np.argsort(keys, kind="stable") + s
+                for i, j in apart(keys[order - s], fp[order], comp[order], distance):
+                    i, j = order[i], order[j]
+                    once = first_met(fp[i] ^ fp[j], np.full(len(i), k), masks)
+                    yield i[once], j[once]
+            continue
+        # The largest component's rows needn't meet each other.
+        most = names[sizes.argmax()]
+        rest = np.flatnonzero(own != most)
+        step = max(1, (1 << 20) // n)
+        for a in range(0, len(rest), step):
+            x = rest[a : a + step, None]
+            near = (popcount(fp[s + x] ^ fp[None, s : s + n]) <= distance) & (own[x] != own[None])
+            i, j = np.nonzero(near & ((own[None] == most) | (x > np.arange(n)[None])))
+            yield s + x[i, 0], s + j
+
+
+def _whole_runs(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+    """Rows of longs, sorted by their first two columns; no run of these is cut."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        rows = batch.to_numpy(np.int64)
+        if not len(rows):
+            continue
+        if held and (held[0][0, :2] == rows[0, :2]).all() and (rows[0, :2] == rows[-1, :2]).all():
+            held.append(rows)
+            continue
+        rows = np.concatenate([*held, rows])
+        other = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
+        last = other[-1] + 1 if len(other) else 0
+        if last:
+            yield rows[:last]
+        held = [rows[last:]]
+    if held:
+        yield np.concatenate(held)
+
+
+def pairs_apart(texts: DataFrame, sketch: DataFrame, similarity: float, distance: int, run_limit: int = 4096) -> DataFrame:
+    """Pairs (a, b), b < a, that may reach the similarity, of texts in different components.
+
+    ``texts`` has k, the number of a fingerprint, fp, that fingerprint, id, comp
+    and n, a row for each fingerprint of an id that takes part. All pairs
+    within the distance in one of them are tested by size and by the sketches'
+    bound (see ``possible``) where they meet, under the first key they share:
+    only those not ruled out become rows. Sketches are sent to keys under which
+    a text has a partner, not to all.
+    """
+    keys = variants(distance)
+    masks = [np.uint64(m) for _, m in keys]
+    by_key: dict[int, list[np.uint64]] = {}
+
+    def second(key_no: int) -> list[np.uint64]:
+        if key_no not in by_key:
+            rest = [p for p in range(BITS) if not int(masks[key_no]) >> p & 1]
+            by_key[key_no] = [np.uint64(_mask(s) & ~(1 << p)) for s in segments(rest, distance) for p in s]
+        return by_key[key_no]
+
+    cols = ["key_no", "key", "id", "comp", "n", "fp"]
+
+    def met(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        run = np.cumsum(np.append(False, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+        fp, n, own = np.ascontiguousarray(rows[:, 5]).view(np.uint64), rows[:, 4], rows[:, 0] % len(keys)
+        for i, j in apart(run, fp, rows[:, 3], distance, lambda s: second(int(own[s])), run_limit):
+            at = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6
+            i, j = i[at], j[at]
+            at = first_met(fp[i] ^ fp[j], own[i], masks)
+            yield i[at], j[at]
+
+    def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_runs(batches):
+            some = np.zeros(len(rows), bool)
+            for i, j in met(rows):
+                some[i] = some[j] = True
+            if some.any():
+                yield pd.DataFrame(rows[some], columns=cols)
+
+    def tested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_runs(batches):
+            for i, j in met(rows):
+                differ = popcount(np.ascontiguousarray(rows[i, 6:] ^ rows[j, 6:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                at = differ <= (1 - similarity) / (1 + similarity) * (rows[i, 4] + rows[j, 4]) + 1e-6
+                if at.any():
+                    a, b = rows[i[at], 2], rows[j[at], 2]
+                    yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    count = shuffle_partitions(texts.sparkSession)
+    by = ["key_no", "key"]
+    key = F.explode(F.array(*[F.struct((F.col("k") * len(keys) + i).cast("long").alias("key_no"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in keys]))
+    rows = texts.select(key.alias("v"), "id", "comp", "n", "fp").select("v.key_no", "v.key", "id", "comp", "n", "fp")
+    kinds = ", ".join(f"{c} long" for c in cols)
+    some = materialize(rows.repartition(count, *by).sortWithinPartitions(*by).mapInPandas(partners, kinds), "near-partners")
+    bits = [f"m{k}" for k in range(LONGS)]
+    with_bits = some.join(sketch.select("id", *bits), "id").select(*cols, *bits)
+    return with_bits.repartition(count, *by).sortWithinPartitions(*by).mapInPandas(tested, "a long, b long").distinct()
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 5, number: int = 3) -> DataFrame:
     """Rows of ``docs`` with one of each group of near copies, the smallest id.
 
@@ -439,8 +543,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     fingerprints of a run with each other (in a long run with the first in
     reach). Then come all pairs of texts still in different components whose
     fingerprints link and which that left out: those of fingerprints with more
-    than one text or in a long run, and of the fingerprints linked to them. So
-    the components are those of all linked pairs.
+    than one text or in a long run, and of the fingerprints linked to them. The
+    bound rules these out where they meet, before they become rows. So the
+    components are those of all linked pairs.
 
     Null and empty texts are copies of each other. Rows without id have no part
     in the choice and stay. Of rows that repeat an id all stay or go; where
@@ -454,7 +559,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     own = materialize(sketches(texts, shingle, number).join(firsts.select(F.col("first").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "near-sketches")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        left = materialize(possible(pairs, own, similarity), "near-pairs")
+        left = materialize(pairs, "near-pairs")
         ids = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         some = materialize(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "near-texts")
         return materialize(similar(left, some, shingle, similarity), "near-links")
@@ -469,20 +574,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         wide.append(materialize(reps.join(many.union(around).distinct(), "rep", "left_semi").select("fp"), "near-wide"))
         same = own.select("id", F.col(f"f{k}").alias("fp")).join(reps.select("fp", "rep"), "fp").filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
         proposals.append(same.union(met.filter("a != b")))
-    links = confirmed(reduce(DataFrame.union, proposals).distinct())
-    found = components(links)
-    placed = own.join(found, own["id"] == found["name"], "left").withColumn("comp", F.coalesce("component", "id"))
-    placed = materialize(placed.select("id", "comp", *[f"f{k}" for k in range(number)]), "near-components")
-    rest = []
-    for k in range(number):
-        here = placed.select("id", "comp", F.col(f"f{k}").alias("fp")).join(wide[k], "fp", "left_semi")
-        groups = materialize(here.groupBy("fp", "comp").agg(F.min("id").alias("rep")), "near-groups")
-        members = materialize(here.join(groups, ["fp", "comp"]).select("rep", "id"), "near-members")
-        left = members.select(F.col("rep").alias("_a"), F.col("id").alias("a"))
-        right = members.select(F.col("rep").alias("_b"), F.col("id").alias("b"))
-        apart_ = edges(groups, distance, split=True).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-        rest.append(materialize(apart_.join(left, "_a").join(right, "_b").select("a", "b"), "near-rest"))
-    found = components(links.union(confirmed(reduce(DataFrame.union, rest).distinct())))
+    found = components(confirmed(possible(reduce(DataFrame.union, proposals).distinct(), own, similarity)))
+    fps = [own.select(F.lit(k).alias("k"), F.col(f"f{k}").alias("fp"), "id", "n").join(wide[k], "fp", "left_semi") for k in range(number)]
+    here = reduce(DataFrame.unionByName, fps).join(found, F.col("id") == found["name"], "left").withColumn("comp", F.coalesce("component", "id"))
+    rest = confirmed(pairs_apart(here, own, similarity, distance))
+    # A component stands for its links.
+    found = components(found.select(F.col("name").alias("a"), F.col("component").alias("b")).union(rest))
     gone = fresh(docs, "_gone")
     near = found.filter("name != component").select(F.col("name").alias(gone))
     copies = hashed.join(firsts, "copy").filter("id != first").select(F.col("id").alias(gone))

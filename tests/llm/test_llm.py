@@ -610,6 +610,45 @@ def test_keep_one_against_all_pairs(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(frame(spark, texts)).collect()) == want
 
 
+def test_same_words_in_other_orders_make_no_rows_for_pairs(spark, monkeypatch):
+    """One fingerprint, no similar pair: what is written grows with the texts, not with their pairs."""
+    rng = random.Random(9)
+    base = [f"word{i}" for i in range(90)]
+    texts = [" ".join(rng.sample(base, len(base))) for _ in range(120)]
+    counts, write = {}, simhash.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    assert simhash.keep_one(frame(spark, texts)).count() == len(texts)
+    assert max(counts.values()) <= 64 * len(texts), counts
+
+
+@pytest.mark.parametrize("run_limit", [4096, 9])
+def test_pairs_apart_against_all_pairs(spark, run_limit):
+    rng = random.Random(11)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    fps = [base[i % 4] ^ sum(1 << p for p in rng.sample(range(64), rng.randrange(6))) for i in range(160)]
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    n = [rng.randrange(0, 3) * 20 + 40 for _ in fps]
+    bitmaps = [[signed(sum(1 << p for p in rng.sample(range(64), rng.randrange(3)))) for _ in range(simhash.LONGS)] for _ in fps]
+    comp = [i if rng.random() < 0.7 else i % 4 for i in range(len(fps))]
+    texts = spark.createDataFrame([(k, signed(f), i, n[i], comp[i]) for k in (0, 1) for i, f in enumerate(fps)], "k int, fp long, id long, n long, comp long")
+    sketch = spark.createDataFrame([(i, *b) for i, b in enumerate(bitmaps)], "id long, " + ", ".join(f"m{k} long" for k in range(simhash.LONGS)))
+    want = set()
+    for i in range(len(fps)):
+        for j in range(i):
+            differ = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(bitmaps[i], bitmaps[j]))
+            most = (n[i] + n[j]) / 9 + 1e-6
+            if comp[i] != comp[j] and (fps[i] ^ fps[j]).bit_count() <= 5 and differ <= most and abs(n[i] - n[j]) <= most:
+                want.add((i, j))
+    got = [(r["a"], r["b"]) for r in simhash.pairs_apart(texts, sketch, 0.8, 5, run_limit).collect()]
+    assert len(want) > 50 and len(got) == len(set(got)) and set(got) == want
+
+
 # Media
 
 
