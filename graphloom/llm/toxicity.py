@@ -100,13 +100,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, rank: int = 4, ep
     tell = lambda x: np.bincount(which, x, n)
     sums = lambda x: np.bincount(flat, x, size)
     for _ in range(epochs):
-        vf = v[flat]
-        s = np.stack([tell(vf[:, k]) for k in range(rank)], axis=1) if len(which) else np.zeros((n, rank))
-        z = b + tell(w[flat]) + 0.5 * ((s * s).sum(axis=1) - tell((vf * vf).sum(axis=1)))
+        # One factor at a time: all at once would hold several numbers a term and factor.
+        s, squares = np.zeros((n, rank)), np.zeros(len(flat))
+        for k in range(rank):
+            vf = v[flat, k]
+            s[:, k] = tell(vf)
+            squares += vf * vf
+        z = b + tell(w[flat]) + 0.5 * ((s * s).sum(axis=1) - tell(squares))
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / n
         ef = e[which]
         dw = sums(ef) + l2 * w / max(size, 1)
-        dv = np.stack([sums(ef * (s[which, k] - vf[:, k])) for k in range(rank)], axis=1) + l2 * v / max(size, 1)
+        dv = np.stack([sums(ef * (s[which, k] - v[flat, k])) for k in range(rank)], axis=1) + l2 * v / max(size, 1)
         db = e.sum()
         gw, gv, gb = gw + dw * dw, gv + dv * dv, gb + db * db
         w, v, b = w - rate * dw / np.sqrt(gw), v - rate * 0.3 * dv / np.sqrt(gv), b - rate * db / np.sqrt(gb)
@@ -184,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         some = np.flatnonzero(total.any(axis=0))
         yield pd.DataFrame({"bucket": np.append(some, -1), "n0": np.append(total[0, some], seen[0]), "n1": np.append(total[1, some], seen[1])})
 
-    table = sample.mapInPandas(presence, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    table = sample.mapInPandas(presence, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow().to_pandas()
     all_ = table[table["bucket"] < 0]
     n0, n1 = (int(all_[c].sum()) for c in ("n0", "n1"))
     if not n0 or not n1:
@@ -210,12 +214,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def machine(chosen: set[int]) -> tuple[Machine, np.ndarray, list[np.ndarray], np.ndarray]:
         """Fitted on some buckets, for the sample's share of labels; documents' numbers, columns and labels."""
         index = {x: i for i, x in enumerate(sorted(chosen))}
-        data = vectors(index).toArrow().to_pydict()
-        # A total order, so that sums don't depend on how tasks ended.
-        order = sorted(range(len(data["no"])), key=lambda i: (data["label"][i], data["columns"][i], data["no"][i]))
-        rows = [np.array(data["columns"][i], np.int64) for i in order]
-        labels_ = np.array([data["label"][i] for i in order], float)
-        return Machine(buckets, index, *fit(rows, labels_, len(index), rank)), np.array(data["no"], np.int64)[order], rows, labels_
+        data = vectors(index).toArrow()
+        numbers, labels_, columns = data["no"].to_numpy(), data["label"].to_numpy(), data["columns"].combine_chunks()
+        flat, ends = columns.flatten().to_numpy(), np.cumsum(columns.value_lengths().to_numpy())
+        rows = np.split(flat, ends[:-1])
+        # A total order, so that sums don't depend on how tasks ended; big-endian bytes stand in the order of the columns.
+        order = sorted(range(len(rows)), key=lambda i: (labels_[i], rows[i].astype(">i4").tobytes(), numbers[i]))
+        rows, labels_ = [rows[i] for i in order], labels_[order].astype(float)
+        return Machine(buckets, index, *fit(rows, labels_, len(index), rank)), numbers[order], rows, labels_
 
     found, numbers, rows, labels_ = machine(single)
     if len(common) > 1:
