@@ -172,7 +172,7 @@ def _short_runs(starts: np.ndarray, ends: np.ndarray, fp: np.ndarray, rep: np.nd
 def _links(distance: int, run_limit: int, level: int, direct: bool):
     """Edges inside runs of equal keys; long runs come back under second keys.
 
-    With ``direct`` an edge of a name to itself marks it as one of a long run.
+    With ``direct`` no2 is -2 where a is one of a long run.
     """
     masks = dict(variants(distance))
     before = [np.uint64(m) for _, m in variants(distance)] if level == 1 else []
@@ -195,10 +195,9 @@ def _links(distance: int, run_limit: int, level: int, direct: bool):
             order = np.argsort(rep, kind="stable")
             fp, rep = fp[order].view(np.uint64), rep[order]
             first = rep[(first_link if direct else link_run)(fp, distance)]
-            found = [(rep, first), (rep, rep)] if direct else [(rep[rep != first], first[rep != first])]
-            for a, b in found:
-                if len(a):
-                    yield pd.DataFrame({"a": a, "b": b, "key_no": -1, "key": np.int64(0), "no2": -1, "key2": np.int64(0), "fp": np.int64(0)})
+            a, b = (rep, first) if direct else (rep[rep != first], first[rep != first])
+            if len(a):
+                yield pd.DataFrame({"a": a, "b": b, "key_no": -1, "key": np.int64(0), "no2": -2 if direct else -1, "key2": np.int64(0), "fp": np.int64(0)})
 
         open_key = None
         for batch in batches:
@@ -241,8 +240,8 @@ def edges(reps: DataFrame, distance: int = 3, run_limit: int = 4096, direct: boo
     """Edges (a, b), b < a, that span the links among distinct fingerprints.
 
     With ``direct`` each edge is a link itself: all links of a short run, and
-    in a long one those to the smallest name within the distance; names in long
-    runs have an edge (a, a), too.
+    in a long one those to the smallest name within the distance, be it a
+    itself; a column, long, tells that a is one of a long run.
 
     ``reps`` has fp and rep, a long that names the fingerprint.
     """
@@ -253,7 +252,8 @@ def edges(reps: DataFrame, distance: int = 3, run_limit: int = 4096, direct: boo
     one = materialize(first.repartition(n, *sort).sortWithinPartitions(*sort).mapInPandas(_links(distance, run_limit, 1, direct), _EDGE), "simhash-runs")
     more = one.filter("no2 >= 0").select("key_no", "key", "no2", "key2", "fp", F.col("a").alias("rep"))
     two = more.repartition(n, *sort).sortWithinPartitions(*sort).mapInPandas(_links(distance, run_limit, 2, direct), _EDGE)
-    return one.filter("no2 < 0").select("a", "b").union(two.select("a", "b")).distinct()
+    cols = ["a", "b", *([(F.col("no2") == -2).alias("long")] if direct else [])]
+    return one.filter("no2 < 0").select(*cols).union(two.select(*cols)).distinct()
 
 
 def components(edge: DataFrame, rounds: int = 60) -> DataFrame:
@@ -568,12 +568,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     for k in range(number):
         reps = materialize(own.groupBy(F.col(f"f{k}").alias("fp")).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("texts")), "representatives")
         met = materialize(edges(reps.select("fp", "rep"), distance, direct=True), "near-edges")
-        many = reps.filter("texts > 1").select("rep").union(met.filter("a = b").select(F.col("a").alias("rep"))).distinct()
-        both = met.filter("a != b").union(met.filter("a != b").select("b", "a"))
+        many = reps.filter("texts > 1").select("rep").union(met.filter("long").select(F.col("a").alias("rep"))).distinct()
+        met = met.filter("a != b").select("a", "b")
+        both = met.union(met.select("b", "a"))
         around = both.join(many.withColumnRenamed("rep", "a"), "a", "left_semi").select(F.col("b").alias("rep"))
         wide.append(materialize(reps.join(many.union(around).distinct(), "rep", "left_semi").select("fp"), "near-wide"))
         same = own.select("id", F.col(f"f{k}").alias("fp")).join(reps.select("fp", "rep"), "fp").filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-        proposals.append(same.union(met.filter("a != b")))
+        proposals.append(same.union(met))
     found = components(confirmed(possible(reduce(DataFrame.union, proposals).distinct(), own, similarity)))
     fps = [own.select(F.lit(k).alias("k"), F.col(f"f{k}").alias("fp"), "id", "n").join(wide[k], "fp", "left_semi") for k in range(number)]
     here = reduce(DataFrame.unionByName, fps).join(found, F.col("id") == found["name"], "left").withColumn("comp", F.coalesce("component", "id"))
