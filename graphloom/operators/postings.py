@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from .search import B, K1
 STOPS = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 TEXT_FIELDS = ("name", "content", "signature", "description")
 BUCKETS = 64
+#: Places of terms that go out together.
+BATCH_PLACES = 200_000
 
 
 # Endings of Porter's algorithm and what takes their place.
@@ -89,22 +92,84 @@ def stem(w: str) -> str:
     return w
 
 
-def analyze(value: str | None, plain: bool = False) -> list[tuple[str, int]]:
-    """(term, place) of a text; dropped words keep their place. ``plain`` only splits."""
+def _split(value: str | None, plain: bool) -> tuple[list[str], np.ndarray]:
+    """Terms of a text and their places."""
+    value = (value or "").lower()
     if plain:
-        return [(m[0], i) for i, m in enumerate(regex.finditer(r"[\p{L}\p{Nd}_]+", (value or "").lower()))]
-    out = []
-    for i, m in enumerate(re.finditer(r"[^\W_][\w]*(?:['’][^\W_]+)?|_\w*", (value or "").lower())):
+        # The same words, faster where there is nothing but ASCII.
+        found = re.findall(r"[A-Za-z0-9_]+", value) if value.isascii() else regex.findall(r"[\p{L}\p{Nd}_]+", value)
+        return found, np.arange(len(found), dtype=np.int32)
+    out, at = [], []
+    for i, m in enumerate(re.finditer(r"[^\W_][\w]*(?:['’][^\W_]+)?|_\w*", value)):
         w = re.sub(r"['’]s$", "", m[0])
         if w not in STOPS:
-            out.append((stem(w), i))
-    return out
+            out.append(stem(w))
+            at.append(i)
+    return out, np.array(at, np.int32)
+
+
+def analyze(value: str | None, plain: bool = False) -> list[tuple[str, int]]:
+    """(term, place) of a text; dropped words keep their place. ``plain`` only splits."""
+    terms, places = _split(value, plain)
+    return list(zip(terms, places.tolist()))
 
 
 def bucket_of(field: str, term: str) -> int:
     return zlib.crc32(f"{field}\x00{term}".encode()) % BUCKETS
 
 
+def _indexed(fields: list[str], plain: bool):
+    """Rows of postings of batches whose first column is the id.
+
+    Texts gather until they have ``BATCH_PLACES`` places, so that a task holds
+    that many and one text more.
+    """
+    def rows(bucket: Callable[[str, str], int], ids: pa.Array, docs: list[int], kinds: list[int], parts: list[tuple[list[str], np.ndarray]]) -> pa.RecordBatch:
+        lengths = np.array([len(t) for t, _ in parts], np.int64)
+        coded = pa.array([x for t, _ in parts for x in t], pa.string()).dictionary_encode()
+        size = max(len(coded.dictionary), 1)
+        key = np.repeat(np.arange(len(parts)), lengths) * size + coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        part, code = key[first] // size, key[first] % size
+        kind = np.array(kinds, np.int64)
+        named, back = np.unique(kind[part] * size + code, return_inverse=True)
+        known = coded.dictionary.to_pylist()
+        own = np.array([bucket(fields[n // size], known[n % size]) for n in named.tolist()], np.int64)[back]
+        # A row for each text comes before those of its terms.
+        whole = lambda a, b: pa.array(np.concatenate([a, b]).astype(np.int32))
+        every = np.concatenate([np.arange(len(parts)), part])
+        places = np.concatenate([at for _, at in parts])[order]
+        starts = whole(np.zeros(len(parts)), np.append(first, len(key)))
+        return pa.RecordBatch.from_arrays(
+            [
+                whole([bucket(fields[k], "") for k in kinds], own), pa.array(fields, pa.string()).take(pa.array(kind[every])),
+                pa.concat_arrays([pa.array([""] * len(parts), pa.string()), coded.dictionary.take(pa.array(code))]), ids.take(pa.array(np.array(docs, np.int64)[every])),
+                pa.array(lengths[every].astype(np.int32)), pa.ListArray.from_arrays(starts, pa.array(places)),
+            ],
+            ["bucket", "field", "term", "id", "length", "places"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = lru_cache(1 << 16)(bucket_of)
+        for batch in batches:
+            docs, kinds, parts, held = [], [], [], 0
+            for k in range(batch.num_rows):
+                for f in range(len(fields)):
+                    docs.append(k)
+                    kinds.append(f)
+                    parts.append(_split(batch.column(1 + f)[k].as_py(), plain))
+                    held += len(parts[-1][0])
+                if held >= BATCH_PLACES:
+                    yield rows(bucket, batch.column(0), docs, kinds, parts)
+                    docs, kinds, parts, held = [], [], [], 0
+            if parts:
+                yield rows(bucket, batch.column(0), docs, kinds, parts)
+
+    return run
+
+
 class Index:
     """Postings under ``folder``: build, search, phrases, count, delete."""
 
@@ -116,27 +181,14 @@ class Index:
 
         Nulls and empty texts have no terms but count as documents. Rows
         without id are left out; rows that repeat an id are one document each.
+        A task holds one document's postings and a bounded number of others.
         """
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = []
-                for key, *values in zip(batch["id"], *(batch[f] for f in fields)):
-                    for f, v in zip(fields, values):
-                        own = analyze(v, plain)
-                        at: dict[str, list[int]] = {}
-                        for t, i in own:
-                            at.setdefault(t, []).append(i)
-                        rows.append((bucket_of(f, ""), f, "", key, len(own), []))
-                        rows += [(bucket_of(f, t), f, t, key, len(own), places) for t, places in at.items()]
-                yield pd.DataFrame(rows, columns=["bucket", "field", "term", "id", "length", "places"]).astype({"id": object})
-
         kind = docs.schema[id_col].dataType.simpleString()
         picked = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *[F.col(f).cast("string").alias(f) for f in fields])
-        rows = picked.mapInPandas(run, f"bucket int, field string, term string, id {kind}, length int, places array<int>")
+        rows = picked.mapInArrow(_indexed(fields, plain), f"bucket int, field string, term string, id {kind}, length int, places array<int>")
         # A row a field and document, with no term, is dealt by its document.
         salt = F.when(F.col("term") == "", F.pmod(F.xxhash64("id"), F.lit(BUCKETS))).otherwise(F.pmod(F.xxhash64("id"), F.lit(4)))
-        rows.repartition("bucket", salt).sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings")
+        rows.repartition("bucket", salt).sortWithinPartitions("bucket", "field", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings")
         lengths = self._rows().filter("term = ''").groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
         lengths.write.mode("overwrite").parquet(f"{self.folder}/fields")
         return self

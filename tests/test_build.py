@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,6 +314,20 @@ def test_postings(spark, tmp_path):
     assert not (tmp_path / "ix").exists()
 
 
+def test_postings_leave_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(postings, "BATCH_PLACES", 11)
+    texts = [f"w{i} x w{i % 3} été x" for i in range(40)] + [None, ""]
+    sent = list(postings._indexed(["t", "u"], True)([pa.RecordBatch.from_pydict({"id": list(range(42)), "t": texts, "u": texts[::-1]})]))
+    assert len(sent) > 20 and max(sum(map(len, b.column("places").to_pylist())) for b in sent) < 11 + 10
+    got = {(r["id"], r["field"], r["term"]): (r["bucket"], r["length"], r["places"]) for b in sent for r in b.to_pylist()}
+    want = {}
+    for f, ts in (("t", texts), ("u", texts[::-1])):
+        for i, t in enumerate(ts):
+            own = (t or "").split()
+            want |= {(i, f, w): (postings.bucket_of(f, w), len(own), [k for k, x in enumerate(own) if x == w]) for w in ["", *own]}
+    assert got == want and sum(b.num_rows for b in sent) == len(want)
+
+
 def test_index_documents(spark):
     nodes = spark.createDataFrame([("file:a/userStore.go", "File", "userStore.go", "a/userStore.go", None), ("f", "Function", "getUser", "a/userStore.go", "func getUser(id int)"), ("file:b.go", "File", "b.go", "lib/dbPool.go", None)], "id string, label string, name string, filePath string, signature string")
     edges = spark.createDataFrame([("file:a/userStore.go", "f", "CONTAINS"), ("file:a/userStore.go", "file:b.go", "IMPORTS")], "src string, dst string, type string")
