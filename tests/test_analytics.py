@@ -115,6 +115,21 @@ def test_flows_against_brute_force(spark):
     assert {r["flow"]: round(r["importance"], 9) for r in ranked.collect()} == {k: round(v, 9) for k, v in final.items()}
 
 
+def test_flows_by_number_and_callers_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(flows, "CHUNK", 3)
+    edges = [("r", x, "CALLS", 0.9) for x in "ab"] + [(f"c{i}", "b", "CALLS", 0.9) for i in range(8)] + [("c1", "a", "CALLS", 0.9), ("a", "b", "CALLS", 0.9)]
+    g = graph(spark, [(x, "Function", x, f"{x}.go") for x in ["r", "a", "b", *(f"c{i}" for i in range(8))]], edges)
+    n, ids = flows.numbered(g)
+    assert [r["id"] for r in ids.orderBy("n").collect()] == sorted(["r", "a", "b", *(f"c{i}" for i in range(8))])
+    kinds = flows.starts(g)
+    by_name = flows.trace(g, kinds)
+    by_number = flows.named(flows.steps_of(flows.traced(n, flows.starts(n))), ids, "flow", "node")
+    assert {tuple(r) for r in by_number.collect()} == {tuple(r) for r in by_name.collect()} and by_number.dtypes == by_name.dtypes
+    scores = {r["flow"]: r["callers"] for r in flows.importance(g, by_name, kinds).collect()}
+    # c1 calls two steps of the flow and counts once; r and a are steps themselves.
+    assert scores["r"] == 8
+
+
 def test_importance_of_a_plain_chain(spark):
     g = graph(spark, [(x, "Function", x, f"{x}.go") for x in "abc"], [("a", "b", "CALLS", 0.9), ("b", "c", "CALLS", 0.9)])
     kinds = flows.starts(g)
