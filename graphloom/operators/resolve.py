@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -20,37 +20,61 @@ def calls(found: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame
     Candidates share the callee's name or, under an alias, the original one.
     Ties go to the smallest id.
 
-    A candidate scores above its label's share only by its file, folder or
-    owner. So those join on the name and that key, and of all others just the
-    best of each name competes: a frequent name doesn't meet all its symbols.
+    Calls that ask the same are answered once, and candidates that differ in
+    nothing but their id stand for the smallest. A candidate scores above its
+    label's share only by its file, folder or owner; so those join on the name
+    and that key, and of each folder, owner and name just the best competes: a
+    frequent name doesn't meet all its symbols.
     """
+    ask = ["callee", "original", "file", "receiver", "receiverType"]
     c = found.select("call", "callee", "original", "file", F.coalesce("receiver", F.lit("")).alias("receiver"), "receiverType")
-    c = c.withColumn("name", F.explode(F.array_distinct(F.array_compact(F.array("callee", F.nullif("original", F.lit(""))))))).withColumn("dir", text.path_dir(F.col("file")))
-    s = symbols.select("id", "name", F.col("label").isin(*CALLABLE_LABELS).alias("callable"), F.col("file").alias("at"), text.path_dir(F.col("file")).alias("at_dir"), F.coalesce("owner", F.lit("")).alias("owner"))
+    # One row a question, whatever its nulls.
+    c = c.withColumn("ask", F.sha2(F.to_json(F.struct(*ask)), 256))
+    asked = c.groupBy("ask").agg(*[F.first(x).alias(x) for x in ask]).withColumn("dir", text.path_dir(F.col("file")))
+    key = asked.withColumn("name", F.explode(F.array_distinct(F.array_compact(F.array("callee", F.nullif("original", F.lit(""))))))).select("ask", "name", "file", "dir", "receiverType")
     base = F.when(F.coalesce("callable", F.lit(False)), CALLABLE).otherwise(0)
-    best = s.groupBy("name").agg(F.min_by("id", F.struct(-base, F.col("id"))).alias("id"))
+    s = symbols.select("id", "name", F.col("label").isin(*CALLABLE_LABELS).alias("callable"), F.col("file").alias("at"), F.coalesce("owner", F.lit("")).alias("owner")).withColumn("base", base)
+    s = s.groupBy("name", "at", "owner").agg(F.min(F.struct((-F.col("base")).alias("less"), "id")).alias("b"))
+    s = s.select("name", "at", text.path_dir(F.col("at")).alias("at_dir"), "owner", "b")
     imp = imports.select("file", F.col("target").alias("at"), text.path_dir(F.col("target")).alias("at_dir")).distinct()
-    row = lambda df, gain: df.select("call", "name", "id", F.lit(gain).alias("gain"))
-    key = c.select("call", "name", "file", "dir", "receiverType")
-    rows = row(key.join(best, "name"), 0)
-    rows = rows.union(row(key.withColumnsRenamed({"file": "at"}).join(s.drop("at_dir", "owner"), ["name", "at"]), 0))
-    rows = rows.union(row(key.withColumnRenamed("dir", "at_dir").join(s.drop("at", "owner"), ["name", "at_dir"]), 0))
-    rows = rows.union(row(key.withColumnRenamed("receiverType", "owner").filter("owner <> ''").join(s.drop("at", "at_dir"), ["name", "owner"]), 0))
-    rows = rows.union(row(key.drop("dir").join(imp.select("file", "at"), "file").join(s.drop("at_dir", "owner"), ["name", "at"]), IMPORTED_FILE))
-    rows = rows.union(row(key.drop("dir").join(imp.select("file", "at_dir").distinct(), "file").join(s.drop("at", "owner"), ["name", "at_dir"]), IMPORTED_DIR))
-    pairs = rows.groupBy("call", "id").agg(F.max("gain").alias("gain"))
-    full = pairs.join(c.drop("name").dropDuplicates(["call"]), "call").join(s.drop("name"), "id")
+    dirs = imp.select("file", "at_dir").distinct()
+
+    def best(*by: str) -> DataFrame:
+        """Of each key the best symbol, and the best one of another file, which the caller's own may stand for."""
+        per = s.groupBy(*by, "at").agg(F.min("b").alias("b"))
+        n = F.row_number().over(Window.partitionBy(*by).orderBy("b"))
+        return per.withColumn("_n", n).filter("_n <= 2").select(*by, F.col("b.id").alias("id"))
+
+    one = lambda *by: s.groupBy(*by).agg(F.min("b").alias("b")).select(*by, F.col("b.id").alias("id"))
+    each = s.select("name", "at", F.col("b.id").alias("id"))
+    owned = key.withColumnRenamed("receiverType", "owner").filter("owner <> ''")
+    row = lambda df: df.select("ask", "id")
+    rows = row(key.join(one("name"), "name"))
+    for more in (
+        key.withColumnRenamed("file", "at").join(each, ["name", "at"]),
+        key.withColumnRenamed("dir", "at_dir").join(best("name", "at_dir"), ["name", "at_dir"]),
+        owned.join(one("name", "owner"), ["name", "owner"]),
+        owned.withColumnRenamed("dir", "at_dir").join(best("name", "at_dir", "owner"), ["name", "at_dir", "owner"]),
+        key.join(imp.select("file", "at"), "file").join(each, ["name", "at"]),
+        key.join(dirs, "file").join(best("name", "at_dir"), ["name", "at_dir"]),
+        owned.join(dirs, "file").join(best("name", "at_dir", "owner"), ["name", "at_dir", "owner"]),
+    ):
+        rows = rows.union(row(more))
+    whole = s.select(F.col("b.id").alias("id"), (-F.col("b.less")).alias("base"), "at", "at_dir", "owner")
+    full = rows.distinct().join(asked, "ask").join(whole, "id")
+    full = full.join(imp.select("file", "at", F.lit(IMPORTED_FILE).alias("of_file")), ["file", "at"], "left").join(dirs.withColumn("of_dir", F.lit(IMPORTED_DIR)), ["file", "at_dir"], "left")
     r, o = F.lower("receiver"), F.lower("owner")
     near = (r == "") | (o == "") | (F.char_length("receiver") <= 2) | o.startswith(r)
     score = (
-        base
+        F.col("base")
         + F.when((F.col("at") == F.col("file")) & near, SAME_FILE).otherwise(0)
-        + F.col("gain")
+        + F.coalesce("of_file", "of_dir", F.lit(0))
         + F.when((F.col("at_dir") == F.col("dir")) & (F.col("at") != F.col("file")), SAME_DIR).otherwise(0)
         + F.when((F.col("owner") != "") & (F.col("owner") == F.col("receiverType")), SAME_OWNER).otherwise(0)
     )
     chosen = F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), F.col("id")))
-    return full.withColumn("score", score).groupBy("call").agg(chosen.alias("b")).select("call", "b.id", "b.score")
+    answer = full.withColumn("score", score).groupBy("ask").agg(chosen.alias("b"))
+    return c.select("call", "ask").join(answer, "ask").groupBy("call").agg(F.min(F.struct((-F.col("b.score")).alias("less"), "b.id")).alias("b")).select("call", "b.id", (-F.col("b.less")).alias("score"))
 
 
 def by_suffix(wanted: DataFrame, files: DataFrame) -> DataFrame:

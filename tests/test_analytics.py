@@ -7,6 +7,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import classes, communities, flows, resolve, traverse
 from graphloom.operators.graph import PropertyGraph
@@ -192,6 +193,27 @@ def test_calls_against_all_pairs(spark):
     assert {r["call"]: (-r["score"], r["id"]) for r in got.collect()} == want
 
 
+def test_calls_of_a_frequent_name_meet_few_symbols(spark):
+    # 300 calls ask three questions of one name with 300 symbols in six places.
+    found = spark.range(300).select(F.col("id").alias("call"), F.lit("f").alias("callee"), F.lit(None).cast("string").alias("original"), F.concat(F.lit("a/"), F.col("id") % 3, F.lit(".py")).alias("file"), F.lit("").alias("receiver"), F.lit("o1").alias("receiverType"))
+    symbols = spark.range(300).select(F.format_string("s%03d", "id").alias("id"), F.lit("f").alias("name"), F.lit("Method").alias("label"), F.concat(F.lit("a/"), F.col("id") % 6, F.lit(".py")).alias("file"), F.concat(F.lit("o"), F.col("id") % 2).alias("owner"))
+    out = resolve.calls(found, symbols, spark.createDataFrame([], "file string, target string"))
+    got = {r["call"]: (r["id"], r["score"]) for r in out.collect()}
+    assert got == {i: [("s001", 250), ("s001", 310), ("s001", 250)][i % 3] for i in range(300)}
+    rows = []
+
+    def walk(p):
+        while p.nodeName() == "AdaptiveSparkPlan" or "QueryStage" in p.nodeName():
+            p = p.executedPlan() if p.nodeName() == "AdaptiveSparkPlan" else p.plan()
+        if "Join" in p.nodeName():
+            rows.append(p.metrics().get("numOutputRows").get().value())
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    walk(out._jdf.queryExecution().executedPlan())
+    assert rows and max(rows) <= 300
+
+
 def test_imports(spark):
     files = spark.createDataFrame([(p,) for p in "pkg/a.py pkg/sub/__init__.py pkg/sub/b.py web/app.ts web/lib/index.ts src/main/java/org/x/Y.java crate/net/mod.rs".split()], "path string")
     rows = [(1, "pkg/sub/b.py", "..a", "python"), (2, "pkg/a.py", "pkg.sub", "python"), (3, "web/app.ts", "./lib", "typescript"), (4, "web/lib/index.ts", "../app", "typescript"), (5, "Z.java", "org.x.Y", "java"), (6, "m.rs", "crate::net", "rust"), (7, "pkg/a.py", "os", "python")]
