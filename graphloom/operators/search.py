@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Vectors that are compared with a block of queries at once.
+SLICE = 512
 
 
 def words(c: Column) -> Column:
@@ -133,7 +135,7 @@ def _nearest(sent, k: int, least: float):
             rows = pd.concat(parts).sort_values(["query", "score", "id"], ascending=[True, False, True], kind="stable")
             return rows.groupby("query", sort=False).head(k)
 
-        for batch in batches:
+        for batch in (b[i : i + SLICE] for b in batches for i in range(0, len(b), SLICE)):
             batch = batch[batch["vector"].notna()]
             if not len(batch):
                 continue
@@ -149,9 +151,10 @@ def _nearest(sent, k: int, least: float):
                 cut = np.partition(scores, len(batch) - some, axis=1)[:, len(batch) - some]
                 q, v = np.nonzero((scores >= cut[:, None]) & (scores >= least))
                 held.append(pd.DataFrame({"query": np.array(names, dtype=keys.dtype)[np.array(of_size[n])[q]], "id": keys[v], "score": scores[q, v]}))
-            held = [best(held)]
+            if sum(map(len, held)) > 4 * k * len(names):
+                held = [best(held)]
         if held:
-            yield held[0]
+            yield best(held)
 
     return run
 

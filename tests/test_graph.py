@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from graphloom.operators import search, traverse
@@ -99,6 +102,31 @@ def test_modularity_bounds(spark):
     assert traverse.modularity(adj, member).first()[0] == pytest.approx(19 / 42, abs=1e-3)
 
 
+def test_range_join_against_all_pairs(spark):
+    rng = random.Random(4)
+    points = [(i, rng.choice(["a", "b", None]), rng.choice([*range(30), None])) for i in range(200)]
+    spans = [(rng.randrange(40), rng.choice("abc"), x, x + rng.randrange(-2, 12)) for x in rng.choices(range(30), k=60)]
+    out = traverse.tightest_enclosing(spark.createDataFrame(points, "point long, file string, line int"), spark.createDataFrame(spans, "span int, file string, first int, last int"))
+    want = {p: min([(b - a, s) for s, g, a, b in spans if g == f and x is not None and a <= x <= b], default=(0, None))[1] for p, f, x in points}
+    assert {r["point"]: r["span"] for r in out.collect()} == want
+    # Points meet spans in a sweep, not in a join on the file.
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_compares_few_vectors_at_once(monkeypatch):
+    rng = np.random.default_rng(1)
+    v, shapes, cut = rng.normal(size=(100, 4)), [], np.partition
+    monkeypatch.setattr(search.np, "partition", lambda a, *x, **k: shapes.append(a.shape) or cut(a, *x, **k))
+    monkeypatch.setattr(search, "SLICE", 7, raising=False)
+    sent = type("Sent", (), {"value": (list(range(10)), list(v[:10]))})
+    out = pd.concat(search._nearest(sent, 3, -1.0)(iter([pd.DataFrame({"id": range(100), "vector": list(v)})])))
+    u = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    for q in range(10):
+        got = out[out["query"] == q].sort_values(["score", "id"], ascending=[False, True])["id"].tolist()[:3]
+        assert got == sorted(range(100), key=lambda i: (-round(u[q] @ u[i], 9), i))[:3]
+    assert max(n for _, n in shapes) <= 7
+
+
 def test_range_and_containment(spark):
     points = spark.createDataFrame([(1, "a", 12), (2, "a", 99)], "point long, file string, line long")
     spans = spark.createDataFrame([("outer", "a", 1, 50), ("inner", "a", 10, 15)], "span string, file string, first long, last long")
