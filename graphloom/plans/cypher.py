@@ -45,6 +45,28 @@ def _has_aggregate(e) -> bool:
     return isinstance(e, list) and any(map(_has_aggregate, e))
 
 
+def _fields(e, var: str) -> set[str]:
+    """Properties of a list's element that an expression reads; ``*`` stands for all."""
+    if e == ("var", var):
+        return {"*"}
+    if isinstance(e, tuple) and e[:1] == ("prop",) and e[1] == ("var", var):
+        return {e[2]}
+    if isinstance(e, tuple) and e[:2] == ("call", "id") and e[3] == [("var", var)]:
+        return {"id"}
+    return set().union(*(_fields(x, var) for x in e)) if isinstance(e, tuple | list) and e else set()
+
+
+def _path_fields(e, path: str) -> set[str]:
+    """Properties of a path's nodes that an expression reads; ``*`` stands for all."""
+    if e == ("var", path):
+        return {"*"}
+    if isinstance(e, tuple) and e[:1] == ("call",) and e[3] == [("var", path)] and e[1] in ("length", "size", "relationships", "rels"):
+        return set()
+    if isinstance(e, tuple) and e[:1] == ("comprehension",) and e[2][:2] == ("call", "nodes") and e[2][3] == [("var", path)]:
+        return _fields([e[3], e[4]], e[1]) | _path_fields([e[3], e[4]], path)
+    return set().union(*(_path_fields(x, path) for x in e)) if isinstance(e, tuple | list) and e else set()
+
+
 class _Lowering:
     def __init__(self, graph: PropertyGraph, query: Query, params: dict, max_hops: int | None) -> None:
         self.g, self.query, self.params, self.max_hops = graph, query, params, max_hops
@@ -353,7 +375,11 @@ class _Lowering:
             now = now.filter(~F.exists(f"{v}__rels", lambda x: x["edge_id"] == F.col("_h__edge_id")))
             now = self.apart(now, hop, used, "_h__edge_id")
             now = now.withColumns({f"{v}__end": F.col("_h__to"), f"{v}__rels": F.concat(f"{v}__rels", F.array(step_rel))})
-            if p.var is not None:
+            if p.var is not None and not self.read_of(p.var) - {"id"}:
+                # Nobody looks at more than the ids of these nodes.
+                bare = F.struct(*[(F.col(f"{v}__end") if c == "id" else F.lit(None)).cast("string").alias(c) for c in keep])
+                now = now.withColumn(f"{v}__inner", F.concat(f"{v}__inner", F.array(bare)))
+            elif p.var is not None:
                 n = self.g.nodes.select(F.col("id").alias("_n__id"), F.struct(*[F.col(c).cast("string").alias(c) for c in keep]).alias("_n__all"))
                 now = now.join(n, F.col(f"{v}__end") == F.col("_n__id")).withColumn(f"{v}__inner", F.concat(f"{v}__inner", F.array("_n__all"))).drop("_n__id", "_n__all")
             now = now.drop(*[c for c in now.columns if c.startswith("_h__")])
@@ -368,6 +394,18 @@ class _Lowering:
         bound[v] = "rels"
         return reduce(DataFrame.unionByName, parts)
 
+    def read_of(self, path: str) -> set[str]:
+        """Properties of a path's nodes that the query reads."""
+        said = []
+        for part in self.query.parts:
+            if isinstance(part, Match):
+                said.append(part.where)
+            elif isinstance(part, Projection):
+                said += [*(i.expr for i in part.items), *(e for e, _ in part.order), part.where, *([("var", path)] if part.star else [])]
+            else:
+                said.append(part.expr)
+        return _path_fields(said, path)
+
     # Clauses
 
     def conjuncts(self, e: tuple | None) -> list[tuple]:

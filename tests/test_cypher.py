@@ -50,3 +50,15 @@ def test_order(spark):
     g = PropertyGraph.of(spark.createDataFrame([(str(i), "N", i * 7 % 5) for i in range(12)], "id string, label string, size long"), spark.createDataFrame([], "src string, dst string, type string"))
     got = [(r["s"], r["id"]) for r in cypher(g, "MATCH (n:N) RETURN n.size AS s, id(n) AS id ORDER BY n.size DESC, id(n)").collect()]
     assert got == sorted(got, key=lambda x: (-x[0], x[1]))
+
+
+def test_nodes_of_a_path_join_only_if_their_properties_are_read(spark):
+    nodes = spark.createDataFrame([(x, "T", x.upper()) for x in "abc"], "id string, label string, name string")
+    g = PropertyGraph.of(nodes, spark.createDataFrame([("1", "a", "b", "R"), ("2", "b", "c", "R")], "edge_id string, src string, dst string, type string"))
+    joins = {}
+    for key in ("id", "name"):
+        out = cypher(g, f"MATCH p = (a:T)-[:R*1..2]->(b:T) RETURN id(a) AS a, length(p) AS n, [x IN nodes(p) | x.{key}] AS way")
+        up = (lambda w: w) if key == "id" else (lambda w: [x.upper() for x in w])
+        assert {(r["a"], r["n"], tuple(r["way"])) for r in out.collect()} == {("a", 1, tuple(up(["a", "b"]))), ("b", 1, tuple(up(["b", "c"]))), ("a", 2, tuple(up(["a", "b", "c"])))}
+        joins[key] = out._jdf.queryExecution().optimizedPlan().toString().count("Join Inner")
+    assert joins == {"id": 4, "name": 7}
