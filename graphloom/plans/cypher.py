@@ -67,6 +67,17 @@ def _path_fields(e, path: str) -> set[str]:
     return set().union(*(_path_fields(x, path) for x in e)) if isinstance(e, tuple | list) and e else set()
 
 
+def _mentions_pattern(e) -> bool:
+    return isinstance(e, tuple | list) and (e[:1] == ("pattern",) or any(map(_mentions_pattern, e)))
+
+
+def _ignores_repeats(e) -> bool:
+    """Whether all aggregates of an expression are the same if rows repeat."""
+    if isinstance(e, tuple) and e[:1] == ("call",) and e[1] in AGGREGATES:
+        return e[1] in ("min", "max") or (bool(e[2]) and e[1] in ("count", "collect") and e[3] != [("star",)])
+    return all(map(_ignores_repeats, e)) if isinstance(e, tuple | list) else True
+
+
 class _Lowering:
     def __init__(self, graph: PropertyGraph, query: Query, params: dict, max_hops: int | None) -> None:
         self.g, self.query, self.params, self.max_hops = graph, query, params, max_hops
@@ -208,6 +219,10 @@ class _Lowering:
             return F.array_sort(F.map_keys(m)) if name == "keys" else m
         if name in ("length", "size") and kind == "path":
             return F.size(f"{of[1]}__rels")
+        if name == "size" and of and of[:2] == ("call", "collect") and of[3][0][0] == "prop":
+            # Collected values are counted without a list of them.
+            c = self.column(of[3][0])
+            return (F.count_distinct(c) if of[2] else F.count(c)).cast("int")
         a = [self.column(x) for x in args]
         text = of is not None and (of[0] == "lit" and isinstance(of[1], str) or of[0] == "prop" or of[0] == "call" and of[1] in ("tolower", "toupper", "trim", "tostring"))
         simple = {
@@ -548,6 +563,120 @@ class _Lowering:
         else:
             self.df = self.where(df.drop(*[n for n, _ in hidden]), p.where)
 
+    def factored(self, m: Match, p: Projection, seen: set[str]) -> bool:
+        """Aggregate the branches of a pattern around one node apart, where that is the same.
+
+        It is if the groups are of that node, and each aggregate either looks
+        at one branch and at distinct values, least or greatest ones, or counts
+        all rows. The branches' product is then never built: rows are counted
+        as the product of the branches' counts, less those in which the two
+        ends that must differ are one. True if the clauses are done.
+        """
+        items = {i.alias: i.expr for i in p.items}
+        aggs = {a: e for a, e in items.items() if _has_aggregate(e)}
+        groups = {a: e for a, e in items.items() if a not in aggs}
+        named = set().union(*map(_variables, groups.values())) if groups else set()
+        order = [(e[1] if e[0] == "var" and e[1] in items else next((a for a, x in items.items() if x == e), None), down) for e, down in p.order]
+        if m.optional or p.star or p.distinct or not aggs or len(named) != 1 or any(a is None for a, _ in order):
+            return False
+        centre = named.pop()
+        if any(e[0] == "var" and e[1] == centre for e in groups.values()):
+            return False
+        at = [n for path in m.paths for n in path.nodes if n.var == centre]
+        plain = all(path.var is None and all(r.low is None and r.high is None for r in path.rels) for path in m.paths)
+        if not at or not plain or any(n.labels or n.props for n in at[1:]) or any(_variables(x.props) for path in m.paths for x in (*path.nodes, *path.rels)):
+            return False
+        # Paths between the places where they meet the node.
+        pieces: list[Path] = []
+        for path in m.paths:
+            cut = [0, *(i for i, n in enumerate(path.nodes) if n.var == centre and 0 < i < len(path.nodes) - 1), len(path.nodes) - 1]
+            nodes = [at[0] if n.var == centre else n for n in path.nodes]
+            pieces += [Path(nodes[a : b + 1], path.rels[a:b]) for a, b in zip(cut, cut[1:]) if b > a]
+        branches: list[tuple[set[str], list[Path]]] = []
+        for piece in pieces:
+            own = {n.var for n in piece.nodes} - {centre}
+            if not own:
+                return False
+            own |= {r.var for r in piece.rels}
+            like = [b for b in branches if b[0] & own]
+            branches = [b for b in branches if b not in like] + [(own.union(*(b[0] for b in like)), [x for b in like for x in b[1]] + [piece])]
+        if len(branches) < 2 or not all(any(n.var == centre for path in b[1] for n in path.nodes) for b in branches):
+            return False
+        of = lambda e: [k for k, b in enumerate(branches) if b[0] & _variables(e)]
+        wheres: list[list[tuple]] = [[] for _ in branches]
+        apart: list[tuple[int, str, int, str]] = []
+        for c in self.conjuncts(m.where):
+            if _mentions_pattern(c):
+                return False
+            mine = of(c)
+            if len(mine) < 2:
+                for k in mine or range(len(branches)):
+                    wheres[k].append(c)
+            elif c[:2] == ("cmp", "<>") and all(x[0] == "var" and any(n.var == x[1] for path in m.paths for n in path.nodes) for x in c[2:4]):
+                apart.append((of(c[2])[0], c[2][1], of(c[3])[0], c[3][1]))
+            else:
+                return False
+        counts = all(e == ("call", "count", False, [("star",)]) for e in aggs.values())
+        if apart and not (counts and len(apart) == 1 and len(branches) == 2):
+            return False
+        if not counts and not all(len(of(e)) <= 1 and _variables(e) and _ignores_repeats(e) for e in aggs.values()):
+            return False
+        # Two edges of different branches must differ by their types or by their far ends.
+        ends = {frozenset((apart[0][1], apart[0][3]))} if apart else set()
+        steps = [(k, r, {path.nodes[i].var, path.nodes[i + 1].var} - {centre}) for k, b in enumerate(branches) for path in b[1] for i, r in enumerate(path.rels)]
+        for i, (k, r, a) in enumerate(steps):
+            for j, q, b in steps[i + 1 :]:
+                if k != j and not (r.types and q.types and not set(r.types) & set(q.types)) and (len(a) != 1 or len(b) != 1 or frozenset(a | b) not in ends):
+                    return False
+
+        key, frames = f"{centre}__id", []
+        for (_, paths), where in zip(branches, wheres):
+            self.kinds, used, df = {}, [], None
+            for path in paths:
+                df = self.with_path(df, path, self.kinds, seen | {centre}, used)
+            df = self.where(df, reduce(lambda a, b: ("and", a, b), where) if where else None)
+            frames.append((df, self.kinds))
+        by = lambda: [self.column(e).alias(f"_g{i}") for i, e in enumerate(groups.values())]
+        names = [f"_g{i}" for i in range(len(groups))]
+        if counts:
+            whole = None
+            for k, (df, self.kinds) in enumerate(frames):
+                one = df.groupBy(key, *(by() if k == 0 else [])).agg(F.count(F.lit(1)).alias(f"_c{k}"))
+                whole = one if whole is None else whole.join(one, key)
+            n = reduce(lambda a, b: a * b, [F.col(f"_c{k}") for k in range(len(frames))])
+            for i, a, j, b in apart:
+                met = [frames[k][0].groupBy(key, F.col(f"{v}__id").alias("_x")).agg(F.count(F.lit(1)).alias(f"_m{x}")) for x, (k, v) in enumerate(((i, a), (j, b)))]
+                same = met[0].join(met[1], [key, "_x"]).groupBy(key).agg(F.sum(F.col("_m0") * F.col("_m1")).alias("_same"))
+                whole, n = whole.join(same, key, "left"), n - F.coalesce("_same", F.lit(0))
+            whole = whole.withColumn("_n", n).filter("_n > 0").groupBy(*names).agg(F.sum("_n").alias("_n"))
+            df = whole.select(*[F.col(g).alias(a) for g, a in zip(names, groups)], *[F.col("_n").alias(a) for a in aggs])
+        else:
+            df = None
+            for k, (own, self.kinds) in enumerate(frames):
+                mine = {a: e for a, e in aggs.items() if (of(e) or [0]) == [k]}
+                if not mine:
+                    continue
+                for j, (other, _) in enumerate(frames):
+                    if j != k:
+                        own = own.join(other.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left_semi")
+                part = own.groupBy(*by()).agg(*[self.column(e).alias(a) for a, e in mine.items()])
+                if df is None:
+                    df = part
+                else:
+                    part = part.withColumnsRenamed({g: f"{g}r" for g in names})
+                    df = df.join(part, reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"{g}r")) for g in names])).drop(*[f"{g}r" for g in names])
+            df = df.withColumnsRenamed(dict(zip(names, groups)))
+        self.kinds = {a: "value" for a in items}
+        df = df.select(*[f"`{a}`" for a in items])
+        if order:
+            df = df.orderBy(*[F.col(f"`{n}`").desc_nulls_first() if d else F.col(f"`{n}`").asc_nulls_last() for n, d in order])
+        if p.skip is not None:
+            df = df.offset(int(self.number(p.skip)))
+        if p.limit is not None:
+            df = df.limit(int(self.number(p.limit)))
+        self.df = df if p.final else self.where(df, p.where)
+        return True
+
     def number(self, e: tuple) -> int:
         return self.params[e[1]] if e[0] == "param" else e[1]
 
@@ -560,8 +689,10 @@ class _Lowering:
         return [self.expand(x, aliases) for x in e] if isinstance(e, list) else e
 
     def run(self) -> DataFrame:
-        parts = self.query.parts
+        parts, done = self.query.parts, None
         for k, part in enumerate(parts):
+            if part is done:
+                continue
             if isinstance(part, Match):
                 # Names that anything else looks at need their node's columns.
                 seen = _variables(part.where)
@@ -574,7 +705,11 @@ class _Lowering:
                             seen |= {n.var for p in part.paths for n in p.nodes}
                     elif isinstance(later, Unwind):
                         seen |= _variables(later.expr)
-                self.match(part, seen)
+                after = parts[k + 1] if k + 1 < len(parts) else None
+                if self.df is None and isinstance(after, Projection) and self.factored(part, after, seen):
+                    done = after
+                else:
+                    self.match(part, seen)
             elif isinstance(part, Unwind):
                 self.df = self.df.withColumn(part.alias, F.explode(self.column(part.expr)))
                 self.kinds[part.alias] = "value"

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from graphloom.operators.graph import PropertyGraph
+from graphloom.plans import cypher as compiler
 from graphloom.plans.cypher import cypher
 
 
@@ -62,3 +65,28 @@ def test_nodes_of_a_path_join_only_if_their_properties_are_read(spark):
         assert {(r["a"], r["n"], tuple(r["way"])) for r in out.collect()} == {("a", 1, tuple(up(["a", "b"]))), ("b", 1, tuple(up(["b", "c"]))), ("a", 2, tuple(up(["a", "b", "c"])))}
         joins[key] = out._jdf.queryExecution().optimizedPlan().toString().count("Join Inner")
     assert joins == {"id": 4, "name": 7}
+
+
+@pytest.mark.parametrize(
+    "query,apart",
+    [
+        ("MATCH (n:N)<-[:A]-(a:X)-[:D]->(d:N), (n)<-[:B]-(b:X) RETURN n.name AS n, count(DISTINCT a.name) AS x, size(collect(DISTINCT b.name)) AS y, max(d.name) AS z", True),
+        ("MATCH (a:X)-[:A]->(n:N)<-[:A]-(b:X) WHERE a <> b RETURN n.name AS n, count(*) AS c ORDER BY c DESC, n", True),
+        ("MATCH (a:X)-[:A]->(n:N)<-[:B]-(b:X) WHERE a.name < 'x6' AND n.name <> 'q' RETURN n.name AS n, count(*) AS c", True),
+        ("MATCH (a:X)-[:A]->(n:N)<-[:A]-(b:X) RETURN n.name AS n, count(*) AS c", False),
+        ("MATCH (a:X)-[:A]->(n:N)<-[:B]-(b:X) WHERE a.name < b.name RETURN n.name AS n, count(*) AS c", False),
+        ("MATCH (a:X)-[:A]->(n:N)<-[:B]-(b:X) RETURN n.name AS n, count(a.name) AS c, min(b.name) AS m", False),
+    ],
+)
+def test_branches_are_aggregated_apart(spark, monkeypatch, query, apart):
+    rng = random.Random(7)
+    nodes = [(f"n{i}", "N", "pqr"[i % 3] if i else None) for i in range(5)] + [(f"x{i}", "X", f"x{i % 7}") for i in range(9)]
+    edges = [(f"x{rng.randrange(9)}", f"n{rng.randrange(5)}", rng.choice("AABBD")) for _ in range(60)]
+    g = PropertyGraph.of(spark.createDataFrame(nodes, "id string, label string, name string"), spark.createDataFrame(edges, "src string, dst string, type string"))
+    kept, said = compiler._Lowering.factored, []
+    monkeypatch.setattr(compiler._Lowering, "factored", lambda self, *a: said.append(kept(self, *a)) or said[-1])
+    got = cypher(g, query)
+    assert said == [apart]
+    monkeypatch.setattr(compiler._Lowering, "factored", lambda self, *a: False)
+    want = cypher(g, query)
+    assert got.dtypes == want.dtypes and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and want.count()
