@@ -14,6 +14,32 @@ def _members(graph: PropertyGraph) -> DataFrame:
     return graph.edges_of("MEMBER_OF").select("src", "dst").join(c, "dst").join(n, "src").select("module", F.col("src").alias("id"), "name", "filePath").distinct()
 
 
+COLS = ["module", "fromName", "fromFile", "toName", "toFile"]
+
+
+def _calls(graph: PropertyGraph) -> DataFrame:
+    """Calls of modules, which may repeat.
+
+    Nodes know their modules and those of their file, so an edge meets its two
+    ends and nothing else.
+    """
+    m = _members(graph)
+    n = graph.nodes.select("id", "name", "filePath")
+    n = n.join(m.groupBy("id").agg(F.collect_set("module").alias("own")), "id", "left").join(m.groupBy("filePath").agg(F.collect_set("module").alias("near")), "filePath", "left")
+    end = lambda key, to: n.select(F.col("id").alias(key), F.col("name").alias(f"{to}Name"), F.col("filePath").alias(f"{to}File"), F.coalesce("own", F.array()).alias(f"{to}Own"), F.coalesce("near", F.array()).alias(f"{to}Near"))
+    e = graph.edges_of("CALLS").select("src", "dst").join(end("src", "from"), "src").join(end("dst", "to"), "dst")
+    mark = lambda kind, modules: F.transform(modules, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("module")))
+    inside = F.when(F.col("fromFile") != F.col("toFile"), F.array_intersect("fromOwn", "toOwn")).otherwise(F.array().cast("array<string>"))
+    each = F.concat(mark("intra", inside), mark("out", F.array_except("fromOwn", "toNear")), mark("in", F.array_except("toOwn", "fromNear")))
+    return e.select(*COLS[1:], F.explode(each).alias("k")).select("k.module", *COLS[1:], "k.kind")
+
+
+def _first(found: DataFrame, cap: int) -> DataFrame:
+    """The first distinct calls of each module and kind; the rest is dropped before it moves."""
+    rank = F.dense_rank().over(Window.partitionBy("module", "kind").orderBy(*COLS[1:]))
+    return found.withColumn("_n", rank).filter(F.col("_n") <= cap).drop("_n").distinct()
+
+
 def calls(graph: PropertyGraph, cap: int | None = None) -> DataFrame:
     """Calls of modules: module, kind, fromName, fromFile, toName, toFile.
 
@@ -21,21 +47,10 @@ def calls(graph: PropertyGraph, cap: int | None = None) -> DataFrame:
     ``in``, whose other end's file has no member of the module. Each once; with
     ``cap``, out and in calls go up to that many a module, first in order.
     """
-    m = _members(graph)
-    files = m.select("module", "filePath").distinct()
-    end = lambda key, to: graph.nodes.select(F.col("id").alias(key), F.col("name").alias(f"{to}Name"), F.col("filePath").alias(f"{to}File"))
-    e = graph.edges_of("CALLS").select("src", "dst").join(end("src", "from"), "src").join(end("dst", "to"), "dst")
-    by = lambda key: m.select("module", F.col("id").alias(key))
-    cols = ["module", "fromName", "fromFile", "toName", "toFile"]
-    away = lambda df, col: df.join(files.withColumnRenamed("filePath", col), ["module", col], "left_anti")
-    intra = e.join(by("src"), "src").join(by("dst"), ["module", "dst"], "left_semi").filter("fromFile <> toFile").select(*cols, F.lit("intra").alias("kind"))
-    out = away(e.join(by("src"), "src"), "toFile").select(*cols, F.lit("out").alias("kind"))
-    inward = away(e.join(by("dst"), "dst"), "fromFile").select(*cols, F.lit("in").alias("kind"))
-    found = intra.union(out).union(inward).distinct()
+    found = _calls(graph)
     if cap is None:
-        return found
-    rank = F.row_number().over(Window.partitionBy("module", "kind").orderBy(*cols[1:]))
-    return found.withColumn("_n", rank).filter((F.col("kind") == "intra") | (F.col("_n") <= cap)).drop("_n")
+        return found.distinct()
+    return found.filter("kind = 'intra'").distinct().union(_first(found.filter("kind <> 'intra'"), cap))
 
 
 def between(graph: PropertyGraph, cap: int | None = None) -> DataFrame:
@@ -54,7 +69,7 @@ def pages(graph: PropertyGraph, cap: int = 30) -> DataFrame:
     Every list of a page is capped, so that a page is a small row.
     """
     part = F.concat(F.lit("- `"), "fromName", F.lit("` ("), "fromFile", F.lit(") -> `"), "toName", F.lit("` ("), "toFile", F.lit(")"))
-    found = calls(graph, cap).withColumn("_n", F.row_number().over(Window.partitionBy("module", "kind").orderBy("fromName", "fromFile", "toName", "toFile"))).filter(F.col("_n") <= cap)
+    found = _first(_calls(graph), cap)
     lines = found.groupBy("module").agg(*[F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == k, part))), "\n").alias(k) for k in ("intra", "out", "in")])
     files = _members(graph).select("module", "filePath").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("module").orderBy("filePath"))).filter(F.col("_n") <= cap)
     files = files.groupBy("module").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), "filePath"))), "\n").alias("files"))

@@ -132,3 +132,24 @@ def test_modules(spark):
     assert [tuple(r) for r in modules.between(g).collect()] == [("M1", "M2", 1)]
     page = {r[0]: r[1] for r in modules.pages(g).collect()}
     assert page["M1"] == "# M1\n\n## Files\n\n- src/pkg/x.py\n\n## Calls out\n\n- `authUser` (src/pkg/x.py) -> `go` (lib/y.py)\n\n## Calls in\n\n- `tiny` (lib/y.py) -> `authUser` (src/pkg/x.py)\n" and set(page) == {"M1", "M2"}
+
+
+def test_module_calls_drop_what_is_beyond_the_cap_before_they_move(spark):
+    nodes = spark.createDataFrame([(f"f{i}", "Function", f"f{i:02}", f"{i % 4}.go") for i in range(12)] + [(f"m{i}", "Community", f"M{i}", None) for i in range(3)], "id string, label string, name string, filePath string")
+    edges = [(f"f{i}", f"f{j}", "CALLS") for i in range(12) for j in range(12) if (i * j) % 3 == 1] * 2 + [(f"f{i}", f"m{i % 3}", "MEMBER_OF") for i in range(9)]
+    g = PropertyGraph.of(nodes, spark.createDataFrame(edges, "src string, dst string, type string"))
+    name, file = (lambda i: f"f{i:02}"), (lambda i: f"{i % 4}.go")
+    homes = {(f"M{i % 3}", file(i)) for i in range(9)}
+    want = set()
+    for s, d, t in edges:
+        i, j = int(s[1:]), int(d[1:])
+        if t == "CALLS":
+            row = (name(i), file(i), name(j), file(j))
+            want |= {(f"M{i % 3}", "intra", *row)} if i < 9 and j < 9 and i % 3 == j % 3 and file(i) != file(j) else set()
+            want |= {(f"M{i % 3}", "out", *row)} if i < 9 and (f"M{i % 3}", file(j)) not in homes else set()
+            want |= {(f"M{j % 3}", "in", *row)} if j < 9 and (f"M{j % 3}", file(i)) not in homes else set()
+    cols = ("module", "kind", "fromName", "fromFile", "toName", "toFile")
+    assert {tuple(r[c] for c in cols) for r in modules.calls(g).collect()} == want and modules.calls(g).count() == len(want)
+    some = {k: sorted(w for w in want if w[:2] == k) for k in {w[:2] for w in want}}
+    assert {tuple(r[c] for c in cols) for r in modules.calls(g, 2).collect()} == {w for k, v in some.items() for w in (v if k[1] == "intra" else v[:2])}
+    assert "WindowGroupLimit" in modules.pages(g)._jdf.queryExecution().executedPlan().toString().split("Window [dense_rank", 1)[1]
