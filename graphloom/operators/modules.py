@@ -25,12 +25,14 @@ def _calls(graph: PropertyGraph) -> DataFrame:
     """
     m = _members(graph)
     n = graph.nodes.select("id", "name", "filePath")
-    n = n.join(m.groupBy("id").agg(F.collect_set("module").alias("own")), "id", "left").join(m.groupBy("filePath").agg(F.collect_set("module").alias("near")), "filePath", "left")
-    end = lambda key, to: n.select(F.col("id").alias(key), F.col("name").alias(f"{to}Name"), F.col("filePath").alias(f"{to}File"), F.coalesce("own", F.array()).alias(f"{to}Own"), F.coalesce("near", F.array()).alias(f"{to}Near"))
+    n = n.join(m.groupBy("id").agg(F.collect_set("module").alias("own"), F.max(F.col("module").isNull()).alias("unnamed")), "id", "left").join(m.groupBy("filePath").agg(F.collect_set("module").alias("near")), "filePath", "left")
+    end = lambda key, to: n.select(F.col("id").alias(key), F.col("name").alias(f"{to}Name"), F.col("filePath").alias(f"{to}File"), F.coalesce("own", F.array()).alias(f"{to}Own"), F.coalesce("near", F.array()).alias(f"{to}Near"), F.coalesce("unnamed", F.lit(False)).alias(f"{to}Unnamed"))
     e = graph.edges_of("CALLS").select("src", "dst").join(end("src", "from"), "src").join(end("dst", "to"), "dst")
     mark = lambda kind, modules: F.transform(modules, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("module")))
     inside = F.when(F.col("fromFile") != F.col("toFile"), F.array_intersect("fromOwn", "toOwn")).otherwise(F.array().cast("array<string>"))
-    each = F.concat(mark("intra", inside), mark("out", F.array_except("fromOwn", "toNear")), mark("in", F.array_except("toOwn", "fromNear")))
+    # A module without a name is no file's.
+    away = lambda a, b: F.concat(F.array_except(f"{a}Own", f"{b}Near"), F.when(F.col(f"{a}Unnamed"), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")))
+    each = F.concat(mark("intra", inside), mark("out", away("from", "to")), mark("in", away("to", "from")))
     return e.select(*COLS[1:], F.explode(each).alias("k")).select("k.module", *COLS[1:], "k.kind")
 
 

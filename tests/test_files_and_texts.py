@@ -164,3 +164,10 @@ def test_edges_of_texts_move_twice(spark):
     assert "Calls: b, c, d, e, f\n" in got["a"] and "bridges q, r, s; orchestrates 6 downstream functions" in got["a"]
     assert "Calls: c\n" in got["b"] and "bridges r; orchestrates 5 downstream" in got["b"] and "called from 6 call sites" in got["c"]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 9
+
+
+def test_calls_of_a_module_without_a_name(spark):
+    nodes = spark.createDataFrame([("a", "Function", "a", "a.go"), ("b", "Function", "b", "b.go"), ("m", "Community", None, None)], "id string, label string, name string, filePath string")
+    edges = spark.createDataFrame([("a", "b", "CALLS"), ("a", "m", "MEMBER_OF"), ("b", "m", "MEMBER_OF")], "src string, dst string, type string")
+    got = modules.calls(PropertyGraph.of(nodes, edges)).select("module", "kind", "fromName", "toName")
+    assert {tuple(r) for r in got.collect()} == {(None, "out", "a", "b"), (None, "in", "a", "b")}
